@@ -65,3 +65,31 @@ def map_batches(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch]
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def row_key(*columns: str):
+    """A digest of whole rows; equal for equal rows. Nulls differ from empty strings."""
+    return F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns)), 256)
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: str, most_rows: int = 100_000) -> DataFrame:
+    """Left join; ``small`` (a written table, one row per key) is broadcast only if it has few rows.
+
+    Beyond that a sort-merge join is planned, whose skewed partitions adaptive execution splits.
+    """
+    if small.count() <= most_rows:
+        small = F.broadcast(small)
+    return big.join(small, on, "left")
+
+
+def byte_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive values of a binary column as (first row, values), cut at about ``most`` bytes."""
+    first, held, size = 0, [], 0
+    for i, x in enumerate(column):
+        held.append(x.as_py() or b"")
+        size += len(held[-1])
+        if size >= most:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
