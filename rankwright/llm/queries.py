@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from rankwright.llm import bpe, decontaminate, pii, quality, urls, warc
+from rankwright.llm import bpe, decontaminate, language, lm_score, near_dedup, pii, quality, suffix_dedup, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_lm_scoring": lm_score.op3_lm_scoring,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_language_id": language.op5_language_id,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_pii": pii.op7_pii,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filters": urls.op10_url_filters,
 }
 
