@@ -123,22 +123,41 @@ def _texts(ids: pa.Array, texts: pa.Array):
             yield held
 
 
-def _batch(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
-    b, d, x = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.int64()), pa.array(x, pa.binary())], ["bucket", "doc", "block"])
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    b, x = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(x, pa.binary())], ["bucket", "block"])
 
 
-SCHEMA = "bucket int, doc long, block binary"
+SCHEMA = "bucket int, block binary"
 
 
-def _by_doc(docs: np.ndarray, *values: np.ndarray):
-    """(doc, values) with the values of each document as bytes of int64."""
-    order = np.argsort(docs, kind="stable")
-    docs = docs[order]
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    both = np.stack([v[order] for v in values], axis=1).astype(np.int64)
-    for a, b in zip([0, *cuts], [*cuts, len(docs)]):
-        yield int(docs[a]), both[a:b].tobytes()
+def _deal_by_doc(docs: np.ndarray, *values: np.ndarray, buckets: int):
+    """(bucket, block): the values of documents, dealt by document; a block is rows of int64, doc first."""
+    rows = np.stack([docs, *values], axis=1).astype(np.int64)
+    key = (docs.astype(np.uint64) * _MIX) >> np.uint64(32)
+    return [(b, rows[at].tobytes()) for b, at in _deal(key, buckets)] if len(docs) else []
+
+
+def gather(blocks: DataFrame, width: int) -> DataFrame:
+    """(doc, block) with one row per document, of (bucket, block) that were dealt by document."""
+
+    def run(batches):
+        held = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, width) for batch in batches for x in batch.column(0)]
+        if held:
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+            for a in range(0, len(cuts) + 1, 10_000):
+                ends = [*cuts[a : a + 10_000], *([len(rows)] if a + 10_000 > len(cuts) else [])]
+                start = 0 if a == 0 else cuts[a - 1]
+                out = []
+                for end in ends:
+                    out.append((int(rows[start, 0]), rows[start:end, 1:].tobytes()))
+                    start = end
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["doc", "block"])
+
+    dealt = blocks.repartition(shuffle_partitions(blocks.sparkSession), "bucket").select("block")
+    return dealt.mapInArrow(run, "doc long, block binary")
 
 
 def _deal(key: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -150,7 +169,7 @@ def _deal(key: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, block): places of anchors whose gram occurs twice or more; ``docs`` is (doc, text bytes)."""
+    """(bucket, block): places of anchors whose gram occurs twice or more; ``docs`` is (doc, text bytes)."""
 
     def find(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -167,13 +186,13 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             if not len(doc):
                 continue
             _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            rows = [(-1 - doc_id % buckets, doc_id, b"D" + x) for doc_id, x in _by_doc(doc[n[back] > 1], place[n[back] > 1])] if (n > 1).any() else []
+            rows = [(b, b"D" + b.to_bytes(4, "little") + x) for b, x in _deal_by_doc(doc[n[back] > 1], place[n[back] > 1], buckets=buckets)]
             # a gram goes on once, wherever else it is in this batch is settled
             sent = np.sort(first)
             for b, at in _deal(h[sent], buckets):
                 at = sent[at]
                 code = h[at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + doc[at].tobytes() + np.diff(place[at], prepend=0).astype(np.int64).tobytes()
-                rows.append((b, None, b"A" + len(at).to_bytes(8, "little") + pack.compress(code)))
+                rows.append((b, b"A" + len(at).to_bytes(8, "little") + pack.compress(code)))
             yield _batch(rows)
 
     def match(batches):
@@ -181,9 +200,9 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         grams, docs, places = [], [], []
         for batch in batches:
             known = []
-            for doc, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for block in batch.column(1).to_pylist():
                 if block[:1] == b"D":
-                    known.append((doc, block[1:]))
+                    known.append((int.from_bytes(block[1:5], "little"), block[5:]))
                     continue
                 n = int.from_bytes(block[1:9], "little")
                 raw = unpack.decompress(block[9:])
@@ -193,7 +212,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 docs.append(np.frombuffer(raw, np.int64, n, 6 * n))
                 places.append(np.cumsum(np.frombuffer(raw, np.int64, n, 14 * n)))
             if known:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in known], pa.int64()), pa.array([x[1] for x in known], pa.binary())], ["doc", "block"])
+                yield _batch(known)
         if grams:
             h, doc, place = map(np.concatenate, (grams, docs, places))
             order = np.argsort(h, kind="stable")
@@ -201,11 +220,10 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             same = h[1:] == h[:-1]
             twice = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
             if len(twice):
-                found = list(_by_doc(doc[twice], place[twice]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["doc", "block"])
+                yield _batch(_deal_by_doc(doc[twice], place[twice], buckets=buckets))
 
     sent = docs.mapInArrow(find, SCHEMA).repartition(shuffle_partitions(docs.sparkSession), "bucket")
-    return sent.mapInArrow(match, "doc long, block binary")
+    return sent.mapInArrow(match, SCHEMA)
 
 
 def entries(raw: bytes, places: np.ndarray) -> np.ndarray:
@@ -373,17 +391,14 @@ def earlier_strings(rows: np.ndarray, prefix: np.ndarray, doc: np.ndarray, place
 
 
 def removed_spans(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """(doc, block): spans to remove, as pairs of int64; ``found`` is (doc, blocks of places)."""
-
-    def spans_of(doc, start, end):
-        return [(x, y) for x, y in _by_doc(doc, start, end)] if len(doc) else []
+    """(bucket, block): spans to remove, as rows of doc, start and end; ``found`` is (doc, block of places)."""
 
     def sort(batches):
         for batch in batches:
             ids, places, rows = [], [], []
-            for doc, raw, blocks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for doc, raw, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 raw = raw.as_py()
-                at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in blocks]))
+                at = np.unique(np.frombuffer(block, np.int64))
                 at = at[at + GRAM <= len(raw)]
                 ids.append(np.full(len(at), doc))
                 places.append(at)
@@ -394,27 +409,25 @@ def removed_spans(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(run.view(f"S{WIDTH}").ravel(), kind="stable")
             run, doc, place = run[order], doc[order], place[order]
             keep, spans = _settle(run, common_prefixes(run), doc, place)
-            out = [(-1 - x % buckets, x, b"S" + y) for x, y in spans_of(*spans)]
+            out = [(b, b"S" + b.to_bytes(4, "little") + x) for b, x in _deal_by_doc(*spans, buckets=buckets)]
             run, doc, place = run[keep], doc[keep], place[keep]
             gram = gram_hashes(run[:, :GRAM].reshape(-1), GRAM)[::GRAM]
             for b, at in _deal(gram, buckets):
-                out.append((b, None, b"R" + len(at).to_bytes(8, "little") + doc[at].tobytes() + place[at].tobytes() + front_code(run[at])))
+                out.append((b, b"R" + len(at).to_bytes(8, "little") + doc[at].tobytes() + place[at].tobytes() + front_code(run[at])))
             yield _batch(out)
 
-    def made(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.binary())], ["doc", "block"])
-
     def merge(batches):
         runs = defaultdict(list)
         for batch in batches:
             known = []
-            for bucket, doc, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for bucket, block in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 if block[:1] == b"S":
-                    known.append((doc, block[1:]))
+                    known.append((int.from_bytes(block[1:5], "little"), block[5:]))
                 else:
                     runs[bucket].append(block)
             if known:
-                yield made(known)
+                yield _batch(known)
+        made = []
         for bucket in list(runs):
             parts, docs, places = [], [], []
             for block in runs.pop(bucket):
@@ -429,39 +442,38 @@ def removed_spans(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
             doc, place = np.concatenate(docs)[at], np.concatenate(places)[at]
             prefix = np.array(prefix)
             keep, spans = _settle(rows, prefix, doc, place)
-            out = spans_of(*spans)
+            made.append(spans)
             if keep.sum() > 1:
                 # the common prefix of kept neighbours is the least between them
                 kept = np.flatnonzero(keep)
                 least = np.minimum.reduceat(prefix, np.concatenate([[0], kept[:-1] + 1]))
                 more = earlier_strings(rows[kept], least, doc[kept], place[kept])
                 if more is not None:
-                    out += spans_of(*more)
-            if out:
-                yield made(out)
+                    made.append(more)
+        if made and (out := _deal_by_doc(*map(np.concatenate, zip(*made)), buckets=buckets)):
+            yield _batch(out)
 
-    joined = docs.join(found, "doc").select("doc", "raw", "blocks")
+    joined = docs.join(found, "doc").select("doc", "raw", "block")
     sent = joined.mapInArrow(sort, SCHEMA).repartition(shuffle_partitions(docs.sparkSession), "bucket")
-    return sent.mapInArrow(merge, "doc long, block binary")
+    return sent.mapInArrow(merge, SCHEMA)
 
 
 def cut_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept holds the remaining bytes."""
     buckets = 8 * shuffle_partitions(df.sparkSession)
     docs = df.select(F.coalesce(F.col(doc).cast("long"), F.lit(int(_NULL_ID))).alias("doc"), text_bytes(text).alias("raw"))
-    gathered = lambda x: x.groupBy("doc").agg(F.collect_list("block").alias("blocks"))
-    found = gathered(repeated_anchors(docs, buckets))
-    spans = gathered(removed_spans(docs, found, buckets))
+    found = gather(repeated_anchors(docs, buckets), 2)
+    spans = gather(removed_spans(docs, found, buckets), 3)
 
     def cut(batches):
         for batch in batches:
             out = []
-            for raw, blocks in zip(batch.column(1), batch.column(2).to_pylist()):
+            for raw, block in zip(batch.column(1), batch.column(2).to_pylist()):
                 raw = raw.as_py()
                 n_spans = removed = last = 0
                 kept = []
-                if blocks:
-                    pairs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in blocks])
+                if block:
+                    pairs = np.frombuffer(block, np.int64).reshape(-1, 2)
                     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                     reach = np.maximum.accumulate(pairs[:, 1])
                     new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
@@ -477,7 +489,7 @@ def cut_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataF
             n, r, s, k = zip(*out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = docs.join(spans, "doc", "left").select("doc", "raw", "blocks")
+    joined = docs.join(spans, "doc", "left").select("doc", "raw", "block")
     out = joined.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("doc") != int(_NULL_ID), F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
