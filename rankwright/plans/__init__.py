@@ -1,9 +1,17 @@
 """Registered queries of the rating engine and their SQL."""
 
+from rankwright.plans import rating, tables
+
+_ALL = {**rating.QUERIES, **tables.QUERIES}
+
+
+def flagship(spark, sf_dir):
+    return rating.rate_supplier_years(spark, sf_dir)
+
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

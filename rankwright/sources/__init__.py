@@ -1 +1,64 @@
+"""Sources and sinks: checked reads, parquet artifacts, JSON documents."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Fail with what is missing and what is there."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{name}: missing columns {missing}; present: {df.columns}")
+    return df
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A CSV file with header and explicit schema, only the columns asked for."""
+    df = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+    return df.select(*columns) if columns else df
+
+
+def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """S4."""
+    df = spark.read.parquet(path)
+    return require_columns(df, columns, path).select(*columns) if columns else df
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
+    """A stage's artifact, read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def optional(df: DataFrame, extra: DataFrame | None, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Join a source if there is one, else its columns as null."""
+    if extra is None:
+        return df.withColumns({c: F.lit(None).cast("double") for c in columns})
+    return df.join(extra.select(*keys, *columns), list(keys), "left")
+
+
+def document(players: DataFrame, rosters: DataFrame, ceiling: DataFrame, **meta: str) -> DataFrame:
+    """One nested row of meta, players, rosters by cell, and ceiling.
+
+    ``rosters`` is (cell, ids). This is the report of a curated pool, whose size the grid bounds.
+    """
+    listed = players.agg(F.array_sort(F.collect_list(F.struct(*players.columns))).alias("players"))
+    grid = rosters.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cell", "ids")))).alias("rosters"))
+    top = ceiling.select(F.struct(*ceiling.columns).alias("ceiling"))
+    head = F.struct(*(F.lit(v).alias(k) for k, v in sorted(meta.items()))) if meta else F.struct(F.lit(None).alias("none"))
+    return listed.crossJoin(grid).crossJoin(top).select(head.alias("meta"), "players", "rosters", "ceiling")
+
+
+def write_document(doc: DataFrame, path: str) -> None:
+    """Minified UTF-8 JSON."""
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def manifest(df: DataFrame, folder: str, *parts: str) -> DataFrame:
+    """Sorted distinct asset paths."""
+    return df.select(F.concat(F.lit(folder + "/"), F.concat_ws("/", *parts)).alias("path")).distinct().orderBy("path")
