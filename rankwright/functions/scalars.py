@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-_ACCENTED = "àáâãäåāăąçćčďđèéêëēęěğìíîïīłñńňòóôõöøōřśšşťùúûüūůýÿžźżÀÁÂÃÄÅÇĆČÈÉÊËÌÍÎÏÑÒÓÔÕÖØŠÙÚÛÜÝŽ"
-_PLAIN = "aaaaaaaaacccddeeeeeeegiiiiilnnnooooooorsssstuuuuuuyyzzzAAAAAACCCEEEEIIIINOOOOOOSUUUUYZ"
+#: Accented Latin letters and the plain letters they decompose into.
+_FOLDS = [(c, p) for c in map(chr, range(0xC0, 0x250)) if (p := unicodedata.normalize("NFKD", c)[0]) != c and p.isascii()]
+_ACCENTED, _PLAIN = ("".join(x) for x in zip(*_FOLDS))
 #: Name suffixes.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
