@@ -25,8 +25,8 @@ from xxhash import xxh3_64_intdigest
 
 from rankwright.llm.common import session, table
 
-#: Entries of each worker's memos, of pre-tokens and of merged ones; a memo is emptied when full.
-MEMO, MERGED = 1 << 17, 1 << 19
+#: Pre-tokens that a worker remembers in each of two generations; a full one becomes the older.
+MEMO = 3 << 16
 _MASK = (1 << 64) - 1
 
 
@@ -85,24 +85,29 @@ class PerfectVocabulary:
         return self.ids[s] if self.tokens[s] == token else None
 
 
-def merge_bytes(token: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a pre-token by merges: a heap of pairs over a linked list of spans."""
+def merge_bytes(token: bytes, ranks: dict[bytes, int], pairs: list[int | None]) -> list[int]:
+    """Ids of a pre-token by merges: a heap of pairs over a linked list of spans.
+
+    ``pairs`` has the rank of each pair of bytes. Heap entries are rank, start and end in one number.
+    """
     n = len(token)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n)), bytearray(b"\1") * n
-    get = ranks.get
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(token[i : i + 2])) is not None]
+    get, bits = ranks.get, n.bit_length()
+    mask = (1 << bits) - 1
+    heap = [((r << bits | i) << bits) | i + 2 for i, (x, y) in enumerate(zip(token, token[1:])) if (r := pairs[x << 8 | y]) is not None]
     heapify(heap)
     while heap:
-        _, i, end = heappop(heap)
+        entry = heappop(heap)
+        end, i = entry & mask, entry >> bits & mask
         if not alive[i] or (j := after[i]) >= n or after[j] != end:
             continue  # one of the two spans has changed
         alive[j], after[i] = 0, end
         if end < n:
             before[end] = i
             if (r := get(token[i : after[end]])) is not None:
-                heappush(heap, (r, i, after[end]))
+                heappush(heap, ((r << bits | i) << bits) | after[end])
         if (p := before[i]) >= 0 and (r := get(token[p:end])) is not None:
-            heappush(heap, (r, p, end))
+            heappush(heap, ((r << bits | p) << bits) | end)
     out, i = [], 0
     while i < n:
         out.append(ranks[token[i : after[i]]])
@@ -121,32 +126,29 @@ class Codec:
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.pieces[i] = token
-        self._split, self._merged = None, {}
+        self.pairs = [ranks.get(bytes((x, y))) for x in range(256) for y in range(256)]
+        self._split, self._known, self._older = None, {}, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_split": None, "_merged": {}}
+        return self.__dict__ | {"_split": None, "_known": {}, "_older": {}}
 
     def _ids(self, pretoken: str) -> tuple[int, ...]:
         token = pretoken.encode()
         found = self.perfect.find(token)
         if found is not None:
             return (found,)
-        ids = self._merged.get(token)
-        if ids is None:
-            if len(self._merged) >= MERGED:
-                self._merged.clear()
-            ids = self._merged[token] = tuple(merge_bytes(token, self.ranks))
-        return ids
-
-    def encode(self, text: str, known: dict[str, tuple[int, ...]]) -> list[int]:
+        return tuple(merge_bytes(token, self.ranks, self.pairs))
+
+    def encode(self, text: str) -> list[int]:
         if self._split is None:
             self._split = regex.compile(self.pattern).findall
         parts = self._split(text)
-        if len(known) > MEMO:
-            known.clear()
+        if len(self._known) > MEMO:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         for part in set(parts):
             if part not in known:
-                known[part] = self._ids(part)
+                known[part] = older.get(part) or self._ids(part)
         return list(chain.from_iterable(map(known.__getitem__, parts)))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -171,11 +173,10 @@ def encode(df: DataFrame, shared, text: str = "text", ids: str = "ids") -> DataF
     """Add the token ids of ``text`` as ``array<int>``."""
 
     def run(batches):
-        known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             ends, values = [0], []
             for x in batch.column(batch.schema.names.index(text)):
-                got = shared.value.encode(x.as_py() or "", known)
+                got = shared.value.encode(x.as_py() or "")
                 values.append(np.array(got, np.int32))
                 ends.append(ends[-1] + len(got))
             flat = np.concatenate(values) if values else np.empty(0, np.int32)

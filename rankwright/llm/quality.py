@@ -129,7 +129,7 @@ def quality(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
             made = [pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)] if rows else [pa.array([], k) for k in _KINDS]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
 
-    return df.select(*(f.name for f in passed), text_bytes(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*(f.name for f in passed), text_bytes(text).alias("_rankwright_text")).mapInArrow(run, schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
