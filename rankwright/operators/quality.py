@@ -45,6 +45,28 @@ def recall(expected: DataFrame, found: DataFrame, name: str, order: str, top: in
     return hit.withColumn("passed", F.col("value") >= F.greatest(F.lit(2), F.floor((2 * F.col("expected") + 2) / 3)))
 
 
+def scale_checks(df: DataFrame, ratings: Sequence[str], mean: float = 75, cap: float = 99, off: float = 3, most: float = 0.02) -> DataFrame:
+    """Q5: distance of each mean from the curve's, and the share at its cap; both hard, in one pass."""
+    one = df.agg(*(F.avg(r).alias(f"mean_{r}") for r in ratings), *(F.avg((F.col(r) >= cap).cast("double")).alias(f"cap_{r}") for r in ratings))
+    rows = []
+    for r in ratings:
+        gap = F.round(F.abs(F.col(f"mean_{r}") - mean), 6)
+        rows += [_row("scale_mean", r, gap, off, "hard", gap <= off), _row("share_at_cap", r, F.round(F.col(f"cap_{r}"), 6), most, "hard", F.col(f"cap_{r}") <= most)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def signature_floors(df: DataFrame, name: str, ratings: Sequence[str], floors: DataFrame) -> DataFrame:
+    """Q7: (name, ability, floor, best, passed) of each floor; names that are not found fail, softly.
+
+    ``floors`` has name, ability, floor. Only rows of its names are unpivoted.
+    """
+    wanted = floors.select(F.col("name").alias("_name")).distinct()
+    held = df.select(F.col(name).alias("_name"), *ratings).join(wanted, "_name", "left_semi")
+    best = held.groupBy("_name").agg(*(F.max(r).alias(r) for r in ratings)).unpivot("_name", list(ratings), "_ability", "best")
+    out = floors.join(best, (F.col("name") == F.col("_name")) & (F.col("ability") == F.col("_ability")), "left")
+    return out.select("name", "ability", "floor", "best", F.coalesce(F.col("best") >= F.col("floor"), F.lit(False)).alias("passed"))
+
+
 def digest(df: DataFrame) -> DataFrame:
     """Q9: row count and order-insensitive digest of the content."""
     return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("xor"), F.sum(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31))).alias("sum"))

@@ -1,8 +1,8 @@
 """Registered queries of the rating engine and their SQL."""
 
-from rankwright.plans import rating, tables
+from rankwright.plans import rating, signals, tables
 
-_ALL = {**rating.QUERIES, **tables.QUERIES}
+_ALL = {**rating.QUERIES, **tables.QUERIES, **signals.QUERIES}
 
 
 def flagship(spark, sf_dir):
