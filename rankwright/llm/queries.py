@@ -17,4 +17,9 @@ QUERIES = {
     "op10_url_filters": urls.op10_url_filters,
 }
 
-ORACLE_SQL = {"op1_warc": warc.SQL_OP1}
+ORACLE_SQL = {
+    "op1_warc": warc.SQL_OP1,
+    "op6_decontamination": decontaminate.SQL_OP6,
+    "op8_suffix_dedup": suffix_dedup.SQL_OP8,
+    "op9_near_dedup": near_dedup.SQL_OP9,
+}

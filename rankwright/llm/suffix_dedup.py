@@ -498,3 +498,23 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated strings."""
     out = cut_repeats(table(session(spark), sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes are hexadecimal digits here, in parts of 500 starts so that no substring is far into a text.
+SQL_OP8 = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+part_starts AS (SELECT doc_id, h, n, unnest(range(0, n - 99, 500)) AS p FROM docs),
+parts AS (SELECT doc_id, p, least(500, n - 99 - p) AS starts, substr(h, 2 * p + 1, 1198) AS x FROM part_starts),
+places AS (SELECT doc_id, p, x, unnest(range(0, starts)) AS i FROM parts),
+strings AS (SELECT doc_id, p + i AS p, md5_number(substr(x, 2 * i + 1, 200)) AS k FROM places),
+earliest AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM strings),
+late AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM earliest WHERE r > 1),
+islands AS (SELECT doc_id, p, sum(CASE WHEN last IS NULL OR p > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM late),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM islands GROUP BY doc_id, g),
+totals AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n, n FROM docs),
+gaps AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS b FROM ends),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * gaps.b + 1, 2 * (gaps.a - gaps.b)), '' ORDER BY gaps.a, gaps.b) AS x FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM docs JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
+"""

@@ -1,7 +1,9 @@
 """The training-data operators against brute force on small tables with hard rows."""
 
 import collections
+import glob
 import hashlib
+import os
 import random
 import re
 
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankwright.llm import bpe, decontaminate, language, lm_score, near_dedup, pii, quality, suffix_dedup, urls, warc
+from rankwright.llm import bpe, decontaminate, language, lm_score, near_dedup, pii, quality, queries, suffix_dedup, urls, warc
 
 SF = "/root/testdata/sf0.001"
 HARD = [(1, "one two three four five"), (2, None), (3, ""), (4, " \n\t "), (5, "x" * 20000), (6, "a b " * 8000), (7, "é漢 'll 123  \r\n"), (8, "one two three four five"), (8, "one two three four five"), (None, "no id at all")]
@@ -31,9 +33,17 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS FROM '{path}'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.sql(f"SELECT {', '.join(sorted(got.columns))} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.select(*sorted(got.columns)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_warc(spark, tmp_path):
-    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS FROM '{SF}/pages.parquet'")
-    assert sorted(map(tuple, warc.op1_warc(spark, SF).collect())) == sorted(duckdb.sql(warc.SQL_OP1).fetchall())
     rows = [(1, "http://a", "x" * 2000), (2, "b\r\nX: y", "x" * 2000), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "v", "short"), (7, "é", "é" * 700), (7, "é", "é" * 700), (None, "é", "é" * 700)]
     back = warc.read_archive(spark, warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))).collect()
     assert collections.Counter((r.id, r.refers_to) for r in back) == collections.Counter([(1, 2), (2, None), (3, None), (4, None), (5, None), (6, None), (7, None), (7, None), (None, 7)])
