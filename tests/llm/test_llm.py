@@ -8,6 +8,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,41 @@ def test_near_duplicates(spark, hard):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_across_a_dense_region():
+    """Every candidate between components is found, none within one."""
+    rng = np.random.default_rng(4)
+    how = near_dedup.Forest()
+    centre = rng.integers(0, 1 << 32, how.values)
+    sigs = np.stack([np.where(rng.random(how.values) < rng.uniform(0.5, 1), centre, rng.integers(0, 1 << 32, how.values)) for _ in range(300)]).astype(np.uint32)
+    reps, parts = np.arange(300) * 3, np.where(np.arange(300) < 250, 0, np.arange(300) % 9)
+    got = [(int(a), int(b)) for x, y, _ in near_dedup._across(sigs, reps, parts, how) for a, b in zip(x, y)]
+    least = how.least_agreeing * how.values
+    want = {(int(reps[i]), int(reps[j])) for i in range(300) for j in range(i + 1, 300) if parts[i] != parts[j] and (sigs[i] == sigs[j]).sum() >= least}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_near_duplicates_beyond_neighbours_and_hubs(spark):
+    """With hardly any neighbours, the search across components alone finds the links."""
+    rng = random.Random(2)
+    rows = []
+    for g in range(3):
+        words = [f"w{rng.randint(0, 900)}" for _ in range(120)]
+        for k in range(60):
+            copy = list(words)
+            for at in rng.sample(range(120), rng.randint(0, 5)):
+                copy[at] = f"z{g}-{k}-{at}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for _, t in rows]
+    label = list(range(len(rows)))
+    while True:
+        new = [min(label[j] for j in range(len(rows)) if j == i or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), near_dedup.Forest(neighbours=1, pivots=1)).collect()
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(label))
+
+
 def test_url_verdicts(spark):
     rows = [(1, "https://Good.org/fr/x?q", None), (2, "http://a.example.net/en/1", ""), (3, "http://b.net/x", '<a href="//c.com/z">'), (4, "http://c.com/y", '<a href="http://b.net/">'), (5, None, None), (6, "nothing", None), (7, "http://x.example.com/de/#f", None), (8, "http://far.io/", None)]
     out = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
