@@ -10,6 +10,8 @@ signatures are too far apart for the threshold are left; the others are confirme
 first each class's best candidate, then all candidates that are not connected yet. Neighbours and
 hubs are bounded in number, so regions that still hold several components are then searched for
 every candidate across components; pairs within a component are left out, as they can change nothing.
+A region that is over ``most_rows`` at the deepest level gets its first candidates in parts of about that size;
+the search across components takes it whole, every part with every part, each two in a block of their own.
 
 Words are lower-cased (A-Z); a set holds the distinct runs of ``words`` words, or the whole text
 as one run if it has fewer words. Null text and text without words has an empty set, is linked with
@@ -95,7 +97,8 @@ def sign(docs: DataFrame, how: Forest, text: str = "text", doc: str = "doc_id")
 
 
 def regions(classes: DataFrame, how: Forest) -> DataFrame:
-    """(region, tree, rep) of classes that share a region with another."""
+    """(whole, region, tree, rep) of classes that share a region with another; ``region`` is the part of
+    the whole region that is searched for first candidates."""
     step = how.values // how.trees
     start = F.col("tree") * (4 * step)
     turned = F.concat(F.substring("sig", start + 1, F.lit(4 * how.deepest)), F.substring("sig", F.lit(1), F.lit(4 * how.deepest)))
@@ -108,10 +111,10 @@ def regions(classes: DataFrame, how: Forest) -> DataFrame:
         sized = keyed.join(counts, ["tree", "head"])
         last = depth == how.deepest
         sized = written(sized.select("rep", "tree", "prefix", "head", "size"), "regions")
-        # beyond the deepest level a region is dealt into parts of about ``most_rows``
-        part = F.when(F.col("size") > how.most_rows, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / how.most_rows))).otherwise(0)
+        # beyond the deepest level the first candidates are sought in parts, other ones in each tree
+        part = F.when(F.col("size") > how.most_rows, F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("size") / how.most_rows))).otherwise(0)
         done = sized if last else sized.where(F.col("size") <= how.most_rows)
-        done = done.select(F.xxhash64("tree", "head", part).alias("region"), "tree", "rep")
+        done = done.select(F.xxhash64("tree", "head").alias("whole"), F.xxhash64("tree", "head", part).alias("region"), "tree", "rep")
         out = done if out is None else out.union(done)
         if last or sized.where(F.col("size") > how.most_rows).isEmpty():
             return out
@@ -148,45 +151,51 @@ def _near(sigs: np.ndarray, reps: np.ndarray, how: Forest) -> list[tuple[np.ndar
     return out
 
 
-def _across(sigs: np.ndarray, reps: np.ndarray, parts: np.ndarray, how: Forest) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Every candidate of one region between different components: (rep, rep, values that agree).
+#: How a row takes part in a block: on the left, on the right; and whether it is outside its region's largest component.
+LEFT, RIGHT, FEW = 1, 2, 4
 
-    One side is never in the region's largest component, so that a dense group costs little.
+
+def _across(sigs: np.ndarray, reps: np.ndarray, parts: np.ndarray, how: Forest, sides: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every candidate of one block between different components, left with right: (rep, rep, values that agree).
+
+    Left rows are never in the region's largest component, so that a dense group costs little. Without
+    ``sides`` the block is a region of its own.
     """
-    n, out = len(reps), []
+    out = []
     names, back, counts = np.unique(parts, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return out
+    if sides is None:
+        sides = np.where(back != counts.argmax(), LEFT | RIGHT | FEW, RIGHT)
     least = how.least_agreeing * how.values
-    largest = counts.argmax()
-    few = np.flatnonzero(back != largest)
-    step = max(1, (1 << 22) // (n * how.values))
-    for a in range(0, len(few), step):
-        some = few[a : a + step]
-        agree = (sigs[some][:, None, :] == sigs[None, :, :]).sum(axis=2)
+    left, right = np.flatnonzero(sides & LEFT), np.flatnonzero(sides & RIGHT)
+    step = max(1, (1 << 22) // (max(1, len(right)) * how.values))
+    for a in range(0, len(left), step):
+        some = left[a : a + step]
+        agree = (sigs[some][:, None, :] == sigs[right][None, :, :]).sum(axis=2)
         # a pair of which neither row is in the largest component is met twice
-        once = (back == largest)[None, :] | (np.arange(n)[None, :] > some[:, None])
-        i, j = np.nonzero((agree >= least) & once & (back[some][:, None] != back[None, :]))
-        x, y = reps[some[i]], reps[j]
+        once = (sides[right] & FEW == 0)[None, :] | (reps[right][None, :] > reps[some][:, None])
+        i, j = np.nonzero((agree >= least) & once & (back[some][:, None] != back[right][None, :]))
+        x, y = reps[some[i]], reps[right[j]]
         out.append((np.minimum(x, y), np.maximum(x, y), agree[i, j]))
     return out
 
 
 def _searched(rows: DataFrame, search) -> DataFrame:
     """(region, a, b, agree) with a < b that ``search`` gives for each region of
-    (region, rep, sig, order, part); it gets signatures, ids and components in the region's order."""
-    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "region").sortWithinPartitions("region", "order", "rep").select("region", "rep", "sig", "part")
+    (region, rep, sig, order, part, side); it gets signatures, ids, components and sides in the region's order."""
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "region").sortWithinPartitions("region", "order", "rep").select("region", "rep", "sig", "part", "side")
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
         def pairs(blocks):
-            region, reps, sigs, parts = (np.concatenate(x) for x in zip(*blocks))
+            region, reps, sigs, parts, sides = (np.concatenate(x) for x in zip(*blocks))
             out = []
             cuts = np.flatnonzero(np.diff(region)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(region)]):
                 if b - a > 1:
-                    out += [(np.full(len(x[0]), region[a]), *x) for x in search(sigs[a:b], reps[a:b], parts[a:b])]
+                    out += [(np.full(len(x[0]), region[a]), *x) for x in search(sigs[a:b], reps[a:b], parts[a:b], sides[a:b])]
             if out:
                 made = [np.concatenate(x).astype(np.int64) for x in zip(*out)]
                 if len(made[0]):
@@ -194,16 +203,16 @@ def _searched(rows: DataFrame, search) -> DataFrame:
             return None
 
         for batch in batches:
-            region, reps, parts = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            region, reps, parts, sides = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
             sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").astype(np.uint32).reshape(batch.num_rows, -1)
             # the last region of a batch may go on in the next one
             cut = int(np.searchsorted(region != region[-1], False)) if region[0] == region[-1] else int(np.flatnonzero(region != region[-1])[-1]) + 1
             if cut:
-                made = pairs([*held, (region[:cut], reps[:cut], sigs[:cut], parts[:cut])])
+                made = pairs([*held, (region[:cut], reps[:cut], sigs[:cut], parts[:cut], sides[:cut])])
                 held = []
                 if made is not None:
                     yield made
-            held.append((region[cut:], reps[cut:], sigs[cut:], parts[cut:]))
+            held.append((region[cut:], reps[cut:], sigs[cut:], parts[cut:], sides[cut:]))
         if held and (made := pairs(held)) is not None:
             yield made
 
@@ -215,27 +224,46 @@ def candidates(found: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
     step = 4 * (how.values // how.trees)
     start = F.col("tree") * step
     order = F.concat(F.substring("sig", start + 1, F.lit(4 * how.values)), F.substring("sig", F.lit(1), start))
-    rows = found.join(classes.select("rep", "sig"), "rep").select("region", "rep", "sig", order.alias("order"), F.col("rep").alias("part"))
-    return _searched(rows, lambda sigs, reps, _: _near(sigs, reps, how)).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    rows = found.join(classes.select("rep", "sig"), "rep").select("region", "rep", "sig", order.alias("order"), F.col("rep").alias("part"), F.lit(LEFT | RIGHT).alias("side"))
+    return _searched(rows, lambda sigs, reps, *_: _near(sigs, reps, how)).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def across(found: DataFrame, classes: DataFrame, parts: DataFrame, how: Forest) -> DataFrame:
-    """(region, rep, part, sig) of classes with a candidate in another component, in one region of ``found``.
+def blocks(found: DataFrame, parts: DataFrame, how: Forest) -> DataFrame:
+    """(region, rep, part, side) of the blocks in which all of each region in ``found`` that holds several
+    components is searched: rows outside its largest component against all rows.
 
-    At most one row per class and tree; the pairs themselves are not emitted. Regions in which all
+    A region of up to ``most_rows`` is one block. A larger one is dealt into parts of about half as many,
+    those of the left and those of the right, and each left part meets each right part in a block. Regions in which all
     are neighbours have been searched fully by ``candidates``.
     """
-    named = found.join(parts.toDF("rep", "part"), "rep", "left").select("region", "rep", F.coalesce("part", "rep").alias("part"))
-    open_ = named.groupBy("region").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where((F.col("size") > how.neighbours + 1) & (F.col("low") < F.col("high")))
-    rows = named.join(open_.select("region"), "region", "left_semi").join(classes.select("rep", "sig"), "rep")
+    named = found.join(parts.toDF("rep", "part"), "rep", "left").select("whole", "rep", F.coalesce("part", "rep").alias("part"))
+    sized = named.groupBy("whole", "part").agg(F.count("*").alias("n")).groupBy("whole").agg(F.sum("n").alias("size"), F.count("*").alias("n_parts"), F.max(F.struct("n", "part")).alias("top"))
+    sized = sized.where((F.col("n_parts") > 1) & (F.col("size") > min(how.neighbours + 1, how.most_rows)))
+    dealt = lambda n: F.when(F.col("size") > how.most_rows, F.greatest(F.lit(1), F.ceil(2 * n / how.most_rows))).otherwise(1).cast("int")
+    sized = sized.select("whole", F.col("top.part").alias("largest"), dealt(F.col("size") - F.col("top.n")).alias("n_left"), dealt(F.col("size")).alias("n_right"))
+    few, at = F.col("part") != F.col("largest"), F.xxhash64("rep", "whole")
+    rows = named.join(sized, "whole").select("whole", "rep", "part", "n_left", "n_right", few.alias("few"), F.pmod(at, "n_left").cast("int").alias("i"), F.pmod(at, "n_right").cast("int").alias("j"))
+    own = F.col("few").cast("int") * FEW
+    as_left = F.transform(F.sequence(F.lit(0), F.col("n_right") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), (own + LEFT + F.when(j == F.col("j"), RIGHT).otherwise(0)).alias("side")))
+    as_right = F.transform(F.filter(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: ~F.col("few") | (i != F.col("i"))), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), (own + RIGHT).alias("side")))
+    spread = rows.select("whole", "rep", "part", F.explode(F.when(F.col("few"), F.concat(as_left, as_right)).otherwise(as_right)).alias("b"))
+    return spread.select(F.xxhash64("whole", "b.i", "b.j").alias("region"), "rep", "part", F.col("b.side").alias("side"))
+
+
+def across(found: DataFrame, classes: DataFrame, parts: DataFrame, how: Forest) -> DataFrame:
+    """(region, rep, part, side, sig) of classes with a candidate in another component, in one of the ``blocks``.
+
+    At most one row per class and block; the pairs themselves are not emitted.
+    """
+    rows = written(blocks(found, parts, how), "blocks")
 
-    def members(sigs, reps, parts):
-        got = [np.concatenate(x[:2]) for x in _across(sigs, reps, parts, how)]
+    def members(sigs, reps, parts, sides):
+        got = [np.concatenate(x[:2]) for x in _across(sigs, reps, parts, how, sides)]
         ids = np.unique(np.concatenate(got)) if got else np.empty(0, np.int64)
         return [(ids, ids, np.zeros(len(ids), np.int64))]
 
-    made = _searched(rows.select("region", "rep", "sig", F.lit(0).alias("order"), "part"), members)
-    return made.select("region", F.col("a").alias("rep")).join(rows.select("region", "rep", "part", "sig"), ["region", "rep"])
+    made = _searched(rows.join(classes.select("rep", "sig"), "rep").select("region", "rep", "sig", F.lit(0).alias("order"), "part", "side"), members)
+    return made.select("region", F.col("a").alias("rep")).join(rows, ["region", "rep"]).join(classes.select("rep", "sig"), "rep")
 
 
 def linked(p: np.ndarray, q: np.ndarray, how: Forest) -> bool:
@@ -264,16 +292,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, how: Forest) -> DataFrame:
 
 
 def confirm_by_region(members: DataFrame, sets: DataFrame, how: Forest) -> DataFrame:
-    """(a, b) of links between components within a region of ``across``.
+    """(a, b) of links between components within a block of ``across``.
 
-    A task holds the sets of one region, which ``most_rows`` bounds, and gives no more links than
-    join the region's components.
+    A task holds the sets of one block, which ``most_rows`` bounds, and gives no more links than
+    join the block's components.
     """
-    rows = members.join(sets, "rep").select("region", "rep", "part", "sig", "found")
+    rows = members.join(sets, "rep").select("region", "rep", "part", "side", "sig", "found")
     dealt = rows.repartition(shuffle_partitions(members.sparkSession), "region").sortWithinPartitions("region", "rep")
 
     def links(held):
-        reps, parts, sigs, found = zip(*held)
+        reps, parts, sides, sigs, found = zip(*held)
         sigs = np.frombuffer(b"".join(sigs), ">u4").astype(np.uint32).reshape(len(reps), -1)
         of, root = dict(zip(reps, parts)), {x: x for x in parts}
         full = {r: np.frombuffer(x, np.uint64) for r, x in zip(reps, found)}
@@ -283,7 +311,7 @@ def confirm_by_region(members: DataFrame, sets: DataFrame, how: Forest) -> DataF
                 x = root[x]
             return x
 
-        for x, y, _ in _across(sigs, np.array(reps), np.array(parts), how):
+        for x, y, _ in _across(sigs, np.array(reps), np.array(parts), how, np.array(sides)):
             for a, b in zip(x.tolist(), y.tolist()):
                 if (p := top(of[a])) != (q := top(of[b])) and linked(full[a], full[b], how):
                     root[max(p, q)] = min(p, q)
@@ -297,7 +325,7 @@ def confirm_by_region(members: DataFrame, sets: DataFrame, how: Forest) -> DataF
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for region, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for region, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if region != at:
                     if held:
                         yield batch_of(held)

@@ -237,6 +237,32 @@ def test_near_duplicates_beyond_neighbours_and_hubs(spark):
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(label))
 
 
+def test_near_duplicates_in_a_region_of_many_parts(spark):
+    """Signatures that agree throughout, as with a common template, put all classes into one large region of each tree."""
+    how = near_dedup.Forest(most_rows=10)
+    classes = spark.createDataFrame([(i, bytes(4 * how.values)) for i in range(60)], "rep long, sig binary")
+    sets = spark.createDataFrame([(i, np.arange(i // 2 * 1000, i // 2 * 1000 + 50, dtype=np.uint64).tobytes()) for i in range(60)], "rep long, found binary")
+    parts = spark.createDataFrame([], "node long, component long")
+    more = near_dedup.across(near_dedup.regions(classes, how), classes, parts, how)
+    links = {tuple(r) for r in near_dedup.confirm_by_region(more, sets, how).collect()}
+    assert links == {(i, i + 1) for i in range(0, 60, 2)}
+
+
+def test_near_duplicate_blocks_meet_every_pair_once(spark):
+    how = near_dedup.Forest(most_rows=10)
+    found = spark.range(60).select((F.col("id") % 2).alias("whole"), F.col("id").alias("rep"))
+    parts = spark.range(60).select("id", F.when(F.col("id") < 30, 0).otherwise(F.col("id")))
+    met, held = collections.Counter(), collections.defaultdict(list)
+    for r in near_dedup.blocks(found, parts, how).collect():
+        held[r.region].append(r)
+    for rows in held.values():
+        sigs = np.zeros((len(rows), how.values), np.uint32)
+        got = near_dedup._across(sigs, *(np.array([r[c] for r in rows]) for c in ("rep", "part")), how, np.array([r.side for r in rows]))
+        met.update((int(a), int(b)) for x, y, _ in got for a, b in zip(x, y))
+    assert met == {(a, b): 1 for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2 and b >= 30}
+    assert max(map(len, held.values())) < 3 * how.most_rows
+
+
 def test_url_verdicts(spark):
     rows = [(1, "https://Good.org/fr/x?q", None), (2, "http://a.example.net/en/1", ""), (3, "http://b.net/x", '<a href="//c.com/z">'), (4, "http://c.com/y", '<a href="http://b.net/">'), (5, None, None), (6, "nothing", None), (7, "http://x.example.com/de/#f", None), (8, "http://far.io/", None)]
     out = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
