@@ -1,11 +1,16 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both are bigram models over one vocabulary: words are hashed to ``2**word_bits`` ids, pairs of ids
-to ``2**pair_bits`` cells, so the models are of fixed size and every word of every text counts.
-Both use the same Dirichlet smoothing from pairs to words and from words to the uniform. The
-background is the whole table; the target is the texts marked as such. A document's score is the
-mean over its words of the target model's loss less the background model's: lower is closer to the
-target. The first word's context is a start mark.
+Both are bigram models over one vocabulary, that of the whole table. Words are lower-cased (A-Z) and stand
+as 64-bit hashes; words and pairs of context and word are counted by grouped aggregation into written
+tables, so nothing that is gathered bounds them. Both use the same Dirichlet smoothing from pairs to
+words and from words to the uniform. The background is the whole table; the target is the texts marked
+as such. A document's score is the mean over its words of the target model's loss less the background
+model's: lower is closer to the target. The first word's context is a start mark.
+
+The pairs of a document are counted and joined with the losses of all pairs. Pairs with at least one
+in ``OFTEN`` of all words, so ``OFTEN`` at most, are broadcast and summed where the document is read;
+they are the keys that would be hot in that join. Losses are summed as whole numbers of 1e-9, so that
+the order does not matter.
 
 Null and empty text has no words and a null score. One row per input row, repeated rows included;
 equal texts get equal scores; other columns pass through, output names replace input columns of
@@ -23,109 +28,160 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from rankwright.llm.common import session, table, text_bytes
+from rankwright.llm.common import session, sized_join, table, text_bytes, written
+
+#: At most so many pairs are broadcast.
+OFTEN = 1 << 17
+#: Rows that a worker holds before it gives partial counts.
+HELD_ROWS = 1 << 20
+_UNIT = 1e9
 
 
 @dataclass(frozen=True)
 class Shape:
-    word_bits: int = 18
-    pair_bits: int = 20
     pair_weight: float = 50.0
     word_weight: float = 0.01
 
 
-def word_ids(raw: bytes, shape: Shape) -> np.ndarray:
-    """Vocabulary ids of the lower-cased words, after the start mark 0."""
+def word_ids(raw: bytes) -> np.ndarray:
+    """Hashes of the lower-cased words, never 0, after the start mark 0."""
     words = raw.lower().split()
     out = np.zeros(len(words) + 1, np.uint64)
-    out[1:] = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - shape.word_bits)
-    return out
+    out[1:] = np.maximum(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)), np.uint64(1))
+    return out.view(np.int64)
 
 
-def pair_cells(ids: np.ndarray, shape: Shape) -> np.ndarray:
-    mixed = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - shape.pair_bits)
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys, sorted, and the sums of their values."""
+    order = np.lexsort(keys[::-1])
+    keys = [x[order] for x in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    at = np.flatnonzero(new)
+    return [x[at] for x in keys], [np.add.reduceat(x[order], at) if len(at) else x for x in values]
 
 
-def count_cells(df: DataFrame, text: str, is_target: Column, shape: Shape) -> DataFrame:
-    """(cell, target, background) counts; cells of words come first, then those of pairs."""
-    words = 1 << shape.word_bits
+def count_pairs(df: DataFrame, text: str, mark: str) -> DataFrame:
+    """(context, word, target, background) counts of all pairs."""
 
     def run(batches):
-        counts = np.zeros((2, words + (1 << shape.pair_bits)), np.int64)
+        held, size = [], 0
+
+        def given(held):
+            keys, sums = _summed(*([np.concatenate(x) for x in zip(*part)] for part in ([h[:2] for h in held], [h[2:] for h in held])))
+            for a in range(0, len(keys[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (*keys, *sums)], ["context", "word", "target", "background"])
+
         for batch in batches:
-            for x, mark in zip(batch.column(0), batch.column(1)):
-                ids = word_ids(x.as_py() or b"", shape)
-                if len(ids) > 1:
-                    # words count as contexts and as words; the start mark only as a context
-                    cells = np.concatenate([ids[1:].astype(np.int64), words + pair_cells(ids, shape).astype(np.int64)])
-                    for row in (0, 1) if mark.as_py() else (1,):
-                        np.add.at(counts[row], cells, 1)
-        used = np.flatnonzero(counts[1])
-        for a in range(0, len(used), 1 << 16):
-            at = used[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[0][at]), pa.array(counts[1][at])], ["cell", "target", "background"])
-
-    parts = df.select(text_bytes(text), F.coalesce(is_target, F.lit(False))).mapInArrow(run, "cell long, target long, background long")
-    return parts.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class Models:
-    """Counts of both models as dense arrays of fixed size."""
-
-    def __init__(self, counts: pa.Table, shape: Shape):
-        self.shape = shape
-        words = 1 << shape.word_bits
-        both = np.zeros((2, words + (1 << shape.pair_bits)), np.float32)
-        at = counts["cell"].to_numpy()
-        both[0, at], both[1, at] = counts["target"].to_numpy(), counts["background"].to_numpy()
-        self.words, self.pairs = both[:, :words], both[:, words:]
-        self.totals = self.words.sum(axis=1, dtype=np.float64)
-
-    def losses(self, raw: bytes) -> tuple[int, float | None, float | None]:
-        """Words, and the mean loss per word of target and background."""
-        ids = word_ids(raw, self.shape)
-        n = len(ids) - 1
-        if not n:
-            return 0, None, None
-        cells = pair_cells(ids, self.shape)
-        size, out = 1 << self.shape.word_bits, []
-        for words, pairs, total in zip(self.words, self.pairs, self.totals):
-            single = (words[ids[1:]] + self.shape.word_weight) / (total + self.shape.word_weight * size)
-            seen = words[ids[:-1]].astype(np.float64)
-            seen[0] = total  # the start mark
-            prob = (np.minimum(pairs[cells], seen) + self.shape.pair_weight * single) / (seen + self.shape.pair_weight)
-            out.append(float(-np.log(prob).mean()))
-        return n, out[0], out[1]
+            for x, target in zip(batch.column(0), batch.column(1)):
+                ids = word_ids(x.as_py() or b"")
+                if n := len(ids) - 1:
+                    held.append((ids[:-1], ids[1:], np.full(n, int(target.as_py()), np.int64), np.ones(n, np.int64)))
+                    size += n
+                if size >= HELD_ROWS:
+                    yield from given(held)
+                    held, size = [], 0
+        if held:
+            yield from given(held)
+
+    parts = df.select(text_bytes(text), mark).mapInArrow(run, "context long, word long, target long, background long")
+    return parts.groupBy("context", "word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def pair_losses(pairs: DataFrame, shape: Shape) -> DataFrame:
+    """(context, word, often, target_loss, background_loss) of all pairs, in units of 1e-9."""
+    words = written(pairs.groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "words")
+    total = words.agg(F.count("*").alias("size"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
+    single = words.select("word", F.col("target").alias("word_target"), F.col("background").alias("word_background"))
+    before = words.select(F.col("word").alias("context"), F.col("target").alias("seen_target"), F.col("background").alias("seen_background"))
+    both = sized_join(sized_join(pairs, single, "word"), before, "context")
+
+    def loss(side):
+        whole = float(total[side] or 0)
+        alone = (F.col(f"word_{side}") + shape.word_weight) / (whole + shape.word_weight * max(1, total["size"]))
+        seen = F.coalesce(f"seen_{side}", F.lit(whole))  # the start mark is seen as often as all words
+        return F.round(-F.log((F.col(side) + shape.pair_weight * alone) / (seen + shape.pair_weight)) * _UNIT).cast("long").alias(f"{side}_loss")
+
+    often = F.col("background") * OFTEN >= F.lit(int(total["background"] or 0))
+    return both.select("context", "word", often.alias("often"), loss("target"), loss("background"))
+
+
+class Often:
+    """Losses of the commonest pairs, sorted by context and word."""
+
+    def __init__(self, found: pa.Table):
+        cols = [found[c].to_numpy() for c in ("context", "word", "target_loss", "background_loss")]
+        mixed = self._mixed(*cols[:2])
+        order = np.argsort(mixed, kind="stable")
+        self.mixed = mixed[order]
+        self.context, self.word, *self.losses = (x[order] for x in cols)
+
+    @staticmethod
+    def _mixed(context, word):
+        return (context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of pairs, -1 for those that are not held."""
+        if not len(self.mixed):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(self.mixed, self._mixed(context, word)), len(self.mixed) - 1)
+        return np.where((self.context[at] == context) & (self.word[at] == word), at, -1)
 
 
 def score(df: DataFrame, is_target: Column, text: str = "text", shape: Shape = Shape()) -> DataFrame:
     """Add n_tokens, target_loss, background_loss and score; ``text`` is dropped."""
+    spark = df.sparkSession
     names = ["n_tokens", "target_loss", "background_loss", "score"]
-    counts = count_cells(df, text, is_target, shape).toArrow()
-    shared = df.sparkSession.sparkContext.broadcast(Models(counts, shape))
-    passed = [f for f in df.schema if f.name not in [*names, text]]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in passed), "n_tokens long, target_loss double, background_loss double, score double"])
+    passed = [c for c in df.columns if c not in [*names, text]]
+    marked = df.select(*passed, F.col(text).alias("_rankwright_text"), F.coalesce(is_target, F.lit(False)).alias("_rankwright_target"), F.monotonically_increasing_id().alias("_rankwright_row"))
+    rows = written(marked, "rows")
+    pairs = written(count_pairs(rows, "_rankwright_text", "_rankwright_target"), "pairs")
+    losses = written(pair_losses(pairs, shape), "losses")
+    shared = spark.sparkContext.broadcast(Often(losses.where("often").toArrow()))
 
     def run(batches):
+        often = shared.value
+        fields = ["row", "context", "word", "n", "n_tokens", "target_sum", "background_sum"]
         for batch in batches:
-            rows = [shared.value.losses(x.as_py() or b"") for x in batch.column(len(passed))]
-            made = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.float64()) for i in (1, 2)), pa.array([None if r[1] is None else r[1] - r[2] for r in rows], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
-
-    return df.select(*(f.name for f in passed), text_bytes(text).alias("_rankwright_text")).mapInArrow(run, schema)
-
-
-def labelled_sample(labels: DataFrame, rows: int) -> DataFrame:
-    """Ids of good documents: at most ``rows`` of them, by the order of a hash."""
-    good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-
-def op3_lm_scoring(spark: SparkSession, sf_dir: str, target_rows: int = 20_000) -> DataFrame:
-    """Score of every document; the target is a bounded sample of the documents labelled good."""
+            held, size = [], 0
+            for x, row in zip(batch.column(1), batch.column(0).to_numpy()):
+                ids = word_ids(x.as_py() or b"")
+                tokens = len(ids) - 1
+                (context, word), (n,) = _summed([ids[:-1], ids[1:]], [np.ones(tokens, np.int64)])
+                at = often.find(context, word)
+                has = at >= 0
+                sums = [int((y[at[has]] * n[has]).sum()) for y in often.losses] if has.any() else [0, 0]
+                rest = len(word) - int(has.sum())
+                # a row of no pair (0 is no word) carries what is summed here
+                zero = np.zeros(rest, np.int64)
+                first = [np.array([v], np.int64) for v in (row, row, 0, 0, tokens, *sums)]
+                held.append([np.concatenate(y) for y in zip(first, (np.full(rest, row), context[~has], word[~has], n[~has], zero, zero, zero))])
+                size += rest + 1
+                if size >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*held)], fields)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*held)], fields)
+
+    schema = "row long, context long, word long, n long, n_tokens long, target_sum long, background_sum long"
+    parts = rows.select("_rankwright_row", text_bytes("_rankwright_text")).mapInArrow(run, schema)
+    joined = parts.join(losses.where("not often").drop("often"), ["context", "word"], "left")
+    add = lambda side: F.sum(F.col(f"{side}_sum") + F.col("n") * F.coalesce(f"{side}_loss", F.lit(0))).alias(f"_rankwright_{side}")
+    sums = joined.groupBy(F.col("row").alias("_rankwright_row")).agg(F.sum("n_tokens").alias("_rankwright_n"), add("target"), add("background"))
+    out = rows.drop("_rankwright_text", "_rankwright_target").join(sums, "_rankwright_row", "left")
+    mean = lambda x: F.when(F.col("_rankwright_n") > 0, x / F.lit(_UNIT) / F.col("_rankwright_n"))
+    t, b = F.col("_rankwright_target"), F.col("_rankwright_background")
+    return out.select(*passed, F.col("_rankwright_n").alias("n_tokens"), mean(t).alias("target_loss"), mean(b).alias("background_loss"), mean(t - b).alias("score"))
+
+
+def labelled_good(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; the target is all documents labelled good."""
     docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
-    sample = labelled_sample(table(spark, sf_dir, "labels"), target_rows).withColumn("_target", F.lit(True))
-    marked = docs.join(F.broadcast(sample), "doc_id", "left")
-    out = score(marked, F.col("_target"))
+    good = written(labelled_good(table(spark, sf_dir, "labels")).withColumn("_target", F.lit(True)), "good")
+    out = score(sized_join(docs, good, "doc_id"), F.col("_target"))
     return out.select("doc_id", "n_tokens", F.round("target_loss", 6).alias("target_loss"), F.round("background_loss", 6).alias("background_loss"), F.round("score", 6).alias("score"))

@@ -81,6 +81,31 @@ def test_lm_scores_held_out(spark):
     assert lm_score.score(empty(spark), F.lit(True)).count() == 0
 
 
+def test_lm_counts_are_exact(spark, monkeypatch):
+    """Against models of all words and pairs in dictionaries, over more distinct pairs than 2^20, most of them summed by the join."""
+    rng = random.Random(1)
+    docs = [(i, " ".join(f"w{rng.randrange(1 << 19)}" if rng.random() < 0.9 else "The" for _ in range(6000))) for i in range(220)] + [(220, "The the w1"), (220, "The the w1")]
+    monkeypatch.setattr(lm_score, "OFTEN", 1 << 10, raising=False)
+    got = lm_score.score(spark.createDataFrame(docs, SCHEMA), F.col("doc_id") < 20).collect()
+    words, pairs = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    for i, t in docs:
+        w = t.lower().split()
+        for side in (0, 1) if i < 20 else (1,):
+            words[side].update(w)
+            pairs[side].update(zip([None, *w], w))
+    assert len(pairs[1]) > 1 << 20
+    mean = {}
+    for i, t in docs:
+        w, total = t.lower().split(), [sum(c.values()) for c in words]
+        for side in (0, 1):
+            alone = lambda y: (words[side][y] + 0.01) / (total[side] + 0.01 * len(words[1]))
+            seen = lambda x: total[side] if x is None else words[side][x]
+            mean[i, side] = -sum(np.log((pairs[side][x, y] + 50 * alone(y)) / (seen(x) + 50)) for x, y in zip([None, *w], w)) / len(w)
+    assert sorted(r.doc_id for r in got) == [i for i, _ in docs]
+    for r in got:
+        assert r.target_loss == pytest.approx(mean[r.doc_id, 0], abs=1e-6) and r.background_loss == pytest.approx(mean[r.doc_id, 1], abs=1e-6)
+
+
 def test_quality_counts(spark, texts, hard):
     for r in quality.op4_quality_rules(spark, SF).collect():
         t = texts[r.doc_id]
