@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankwright.llm.common import written
+
 
 def with_fallback(df: DataFrame, key: str, lookup: DataFrame, source: str, target: str, out: str) -> DataFrame:
     """Dictionary lookup; keys that are not listed stay as they are."""
@@ -60,12 +64,18 @@ def nearest(queries: DataFrame, pool: DataFrame, ident: str, dims: Sequence[str]
     """The pool row at the least weighted distance of each query row.
 
     Values are z-scored over the pool (population deviation, 0 counts as 1); a dimension weighs
-    0.25 plus the query's z above 0; of equals the smallest id wins. ``queries`` is a stated set that
-    is broadcast, checked to be at most 10,000 rows.
+    0.25 plus the query's z above 0; of equals the smallest id wins. ``queries`` is broadcast; more than
+    10,000 rows are dealt into blocks of about half as many, one broadcast after another, and the results are written.
     """
     n = queries.count()
     if n > 10_000:
-        raise ValueError(f"{n} query rows; give them in blocks of 10,000 at most")
+        k = math.ceil(n / 5_000)
+        parts = (queries.where(F.pmod(F.xxhash64(ident), F.lit(k)) == i) for i in range(k))
+        return functools.reduce(DataFrame.union, [written(_nearest(part, pool, ident, dims, out), "nearest") for part in parts])
+    return _nearest(queries, pool, ident, dims, out)
+
+
+def _nearest(queries: DataFrame, pool: DataFrame, ident: str, dims: Sequence[str], out: str) -> DataFrame:
     sd = lambda d: F.stddev_pop(d)
     stats = pool.agg(*(F.avg(d).alias(f"_m{i}") for i, d in enumerate(dims)), *(F.when(sd(d) == 0, 1.0).otherwise(sd(d)).alias(f"_s{i}") for i, d in enumerate(dims)))
     z = lambda t: F.array(*((F.col(f"{t}.{d}") - F.col(f"s._m{i}")) / F.col(f"s._s{i}") for i, d in enumerate(dims)))

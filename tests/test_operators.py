@@ -89,6 +89,22 @@ def test_resolution_tiers(spark):
     assert sorted(values(got, "name", "ident", "tier")) == [("ann lee", "p1", "exact"), ("nene hilario", "p5", "first"), ("odd one", "p9", "override"), ("robert ray", "p2", "last"), ("x fox", None, None)]
 
 
+def test_nearest_of_many_queries(spark):
+    pool = [(i, float(i * i % 7), float(i)) for i in range(8)]
+    queries = [(100 + i, float(i % 7), float(i % 8)) for i in range(10_001)]
+    schema = "id long, a double, b double"
+    got = {q: (m, d) for q, m, d in values(joins.nearest(spark.createDataFrame(queries, schema), spark.createDataFrame(pool, schema), "id", ["a", "b"]), "query_id", "match", "distance")}
+    mean = [sum(p[k] for p in pool) / 8 for k in (1, 2)]
+    sd = [math.sqrt(sum((p[k] - mean[k - 1]) ** 2 for p in pool) / 8) for k in (1, 2)]
+    z = lambda row: [(row[k] - mean[k - 1]) / sd[k - 1] for k in (1, 2)]
+    gap = lambda x, y: sum((0.25 + max(a, 0.0)) * (a - b) ** 2 for a, b in zip(x, y))
+    assert len(got) == len(queries)
+    for q in queries:
+        least = min(gap(z(q), z(p)) for p in pool)
+        match, distance = got[q[0]]
+        assert math.isclose(distance, least, abs_tol=2e-9) and math.isclose(gap(z(q), z(pool[match])), least, abs_tol=2e-9)
+
+
 def test_match_gate(spark):
     df = spark.createDataFrame([("a", 1.0, True), ("b", 9.0, False)], "n string, w double, ok boolean")
     with pytest.raises(ValueError, match="matched 0.1"):
