@@ -90,8 +90,8 @@ def host_verdicts(pages: DataFrame, rounds: int = 10, damping: float = 0.85, rat
     trust = propagate(edges, seeds("good"), rounds, damping).withColumnRenamed("rank", "trust")
     distrust = propagate(back, seeds("bad"), rounds, damping).withColumnRenamed("rank", "distrust")
     both = counts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
-    # rounded, so that the order of summing does not decide
-    worse = F.round("distrust", 12) > F.round(F.col("trust") * ratio, 12)
+    # by a relative margin, so that neither the order of summing nor the number of seed pages decides
+    worse = F.col("distrust") > F.col("trust") * ratio * (1 + 1e-9)
     return both.withColumn("host_verdict", F.when(worse, "block").otherwise("allow"))
 
 

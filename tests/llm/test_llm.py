@@ -296,6 +296,13 @@ def test_url_verdicts(spark):
     assert [out[i].verdict for i in range(2, 9)] == ["allow", "block", "block", "allow", "allow", "block", "allow"]
 
 
+def test_url_verdicts_of_tiny_masses(spark):
+    rows = [(1, "http://b.net/x", None), (2, "http://c.com/y", '<a href="http://b.net/">'), (3, "http://d.com/", '<a href="//c.com/">'), (4, "http://far.io/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for damping in (0.85, 1e-7):
+        assert {r.page_id: r.verdict for r in urls.judge_urls(pages, damping=damping).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()
