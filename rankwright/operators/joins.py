@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import written
+from rankwright.sources import written
 
 
 def with_fallback(df: DataFrame, key: str, lookup: DataFrame, source: str, target: str, out: str) -> DataFrame:

@@ -3,11 +3,13 @@
 import math
 import random
 from datetime import date
+from pathlib import Path
 from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
+import rankwright
 from rankwright import sources
 from rankwright.functions import scalars
 from rankwright.functions.normal import inverse_normal
@@ -18,6 +20,12 @@ def values(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
 
+def test_nothing_here_imports_the_training_data_operators():
+    root = Path(rankwright.__file__).parent
+    found = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "rankwright.llm" in p.read_text()]
+    assert not found
+
+
 def test_inverse_normal(spark):
     ps = [i / 997 for i in range(1, 997)] + [1e-6, 1 - 1e-6, 1e-5]
     df = spark.createDataFrame([(p,) for p in ps], "p double")
