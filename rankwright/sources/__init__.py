@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -52,6 +53,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        if not re.search("-[0-9a-f]{32}$", folder.getName()):
+            raise ValueError(f"{folder} was not made by written()")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def save(df: DataFrame, path: str) -> DataFrame:
     """A stage's artifact, read back."""
     df.write.mode("overwrite").parquet(path)
