@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.sources import shared_dir, written  # noqa: F401
+from rankwright.sources import discard, shared_dir, written  # noqa: F401
 
 #: Most bytes of one Arrow batch that is handed to a Python worker.
 BATCH_BYTES = 16 << 20
@@ -51,6 +51,25 @@ def row_key(*columns: str):
     return F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns)), 256)
 
 
+def row_ids(df: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """``df`` with a long ``_row`` that tells documents apart and orders them by id, and whether ids repeat or are missing.
+
+    Where ids are distinct ``_row`` is the id. Otherwise documents are rows of distinct id and text, equal rows
+    share a ``_row``, and they are ordered by id (null last), then by a digest of the text.
+    """
+    ids = F.col(doc).cast("long")
+    again = df.groupBy(ids.alias("doc")).agg(F.count("*").alias("n")).where("n > 1 or doc is null")
+    if again.isEmpty():
+        return df.withColumn("_row", ids), False
+    keyed = df.withColumns({"_doc": ids, "_digest": F.unhex(F.md5(text_bytes(text)))})
+    order = [F.col("_doc").asc_nulls_last(), F.col("_digest")]
+    n = shuffle_partitions(df.sparkSession)
+    rows = keyed.select("_doc", "_digest").distinct().repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows, "row_ids")
+    same = keyed["_doc"].eqNullSafe(rows["_doc"]) & (keyed["_digest"] == rows["_digest"])
+    return keyed.join(rows, same).drop("_doc", "_digest"), True
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: str, most_rows: int = 100_000) -> DataFrame:
     """Left join; ``small`` (a written table, one row per key) is broadcast only if it has few rows.
 

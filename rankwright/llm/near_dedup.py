@@ -7,7 +7,8 @@ deeper, again and again, so that the depth adapts to how dense it is. Candidates
 neighbours in the sorted order, those with the longest common prefixes, and in dense regions also
 its hubs: the classes that agree most with the region's commonest values. Candidates whose
 signatures are too far apart for the threshold are left; the others are confirmed on the full sets:
-first each class's best candidate, then all candidates that are not connected yet. Neighbours and
+first each class's best candidate, then each component's best to another one, then all that are still between components.
+After each of these, components are contracted, so that links count by component and not by pair. Neighbours and
 hubs are bounded in number, so regions that still hold several components are then searched for
 every candidate across components; pairs within a component are left out, as they can change nothing.
 A region that is over ``most_rows`` at the deepest level gets its first candidates in parts of about that size;
@@ -15,9 +16,9 @@ the search across components takes it whole, every part with every part, each tw
 
 Words are lower-cased (A-Z); a set holds the distinct runs of ``words`` words, or the whole text
 as one run if it has fewer words. Null text and text without words has an empty set, is linked with
-nothing and is its own component. Rows that repeat an id are one document; a row without id is kept and
-has no component. Ties (equal similarity) are settled by the smaller id. An empty table gives an empty
-table. Sets hold 64-bit hashes of the runs.
+nothing and is its own component. Rows of distinct id and text are documents of their own, equal rows are one; rows
+without id come after all others, and a component of such rows only has the id null. Ties (equal similarity) are
+settled by the smaller id. An empty table gives an empty table. Sets hold 64-bit hashes of the runs.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from rankwright.llm.common import session, shuffle_partitions, table, text_bytes, written
-from rankwright.llm.components import connected
+from rankwright.llm.common import discard, row_ids, session, shuffle_partitions, table, text_bytes, written
+from rankwright.llm.components import merged
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,9 +40,10 @@ _C = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Forest:
     """Linked: 100 * intersection >= percent * union. Neighbours and pivots bound the first candidates
-    of one class in one tree; ``across`` finds what they miss."""
+    of one class in one tree; ``across`` finds what they miss. In ``most_rows`` a set counts once, and once more
+    for every ``set_values`` shingles, so that a block's sets are bounded in bytes."""
 
-    words: int = 4
+    words: int = 5
     percent: int = 80
     trees: int = 16
     values: int = 64
@@ -50,6 +52,7 @@ class Forest:
     neighbours: int = 6
     pivots: int = 16
     least_agreeing: float = 0.6
+    set_values: int = 2000
 
 
 def shingles(raw: bytes, k: int) -> np.ndarray:
@@ -97,28 +100,29 @@ def sign(docs: DataFrame, how: Forest, text: str = "text", doc: str = "doc_id")
 
 
 def regions(classes: DataFrame, how: Forest) -> DataFrame:
-    """(whole, region, tree, rep) of classes that share a region with another; ``region`` is the part of
-    the whole region that is searched for first candidates."""
+    """(whole, region, tree, rep, weight) of classes that share a region with another; ``region`` is the part of
+    the whole region that is searched for first candidates. ``classes`` has rep, n_shingles and sig."""
     step = how.values // how.trees
     start = F.col("tree") * (4 * step)
     turned = F.concat(F.substring("sig", start + 1, F.lit(4 * how.deepest)), F.substring("sig", F.lit(1), F.lit(4 * how.deepest)))
-    rows = classes.select("rep", F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"), "sig").select("rep", "tree", F.substring(turned, 1, 4 * how.deepest).alias("prefix"))
+    weight = (1 + F.col("n_shingles") / how.set_values).cast("int").alias("weight")
+    rows = classes.select("rep", weight, F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"), "sig").select("rep", "weight", "tree", F.substring(turned, 1, 4 * how.deepest).alias("prefix"))
     out, depth = None, 1
     while True:
-        head = F.substring("prefix", 1, 4 * depth)
-        keyed = rows.withColumn("head", head)
-        counts = keyed.groupBy("tree", "head").agg(F.count("*").alias("size")).where("size > 1")
-        sized = keyed.join(counts, ["tree", "head"])
+        keyed = rows.withColumn("head", F.substring("prefix", 1, 4 * depth))
+        # written, so that a join with a large region can be split
+        counts = written(keyed.groupBy("tree", "head").agg(F.count("*").alias("size")).where("size > 1"), "heads")
         last = depth == how.deepest
-        sized = written(sized.select("rep", "tree", "prefix", "head", "size"), "regions")
+        sized = written(keyed.join(counts, ["tree", "head"]).select("rep", "weight", "tree", "prefix", "head", "size"), "regions")
+        discard(counts)
         # beyond the deepest level the first candidates are sought in parts, other ones in each tree
         part = F.when(F.col("size") > how.most_rows, F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("size") / how.most_rows))).otherwise(0)
         done = sized if last else sized.where(F.col("size") <= how.most_rows)
-        done = done.select(F.xxhash64("tree", "head").alias("whole"), F.xxhash64("tree", "head", part).alias("region"), "tree", "rep")
+        done = done.select(F.xxhash64("tree", "head").alias("whole"), F.xxhash64("tree", "head", part).alias("region"), "tree", "rep", "weight")
         out = done if out is None else out.union(done)
         if last or sized.where(F.col("size") > how.most_rows).isEmpty():
             return out
-        rows, depth = sized.where(F.col("size") > how.most_rows).select("rep", "tree", "prefix"), depth + 1
+        rows, depth = sized.where(F.col("size") > how.most_rows).select("rep", "weight", "tree", "prefix"), depth + 1
 
 
 def _near(sigs: np.ndarray, reps: np.ndarray, how: Forest) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -236,8 +240,8 @@ def blocks(found: DataFrame, parts: DataFrame, how: Forest) -> DataFrame:
     those of the left and those of the right, and each left part meets each right part in a block. Regions in which all
     are neighbours have been searched fully by ``candidates``.
     """
-    named = found.join(parts.toDF("rep", "part"), "rep", "left").select("whole", "rep", F.coalesce("part", "rep").alias("part"))
-    sized = named.groupBy("whole", "part").agg(F.count("*").alias("n")).groupBy("whole").agg(F.sum("n").alias("size"), F.count("*").alias("n_parts"), F.max(F.struct("n", "part")).alias("top"))
+    named = found.join(parts.toDF("rep", "part"), "rep", "left").select("whole", "rep", "weight", F.coalesce("part", "rep").alias("part"))
+    sized = named.groupBy("whole", "part").agg(F.sum("weight").alias("n")).groupBy("whole").agg(F.sum("n").alias("size"), F.count("*").alias("n_parts"), F.max(F.struct("n", "part")).alias("top"))
     sized = sized.where((F.col("n_parts") > 1) & (F.col("size") > min(how.neighbours + 1, how.most_rows)))
     dealt = lambda n: F.when(F.col("size") > how.most_rows, F.greatest(F.lit(1), F.ceil(2 * n / how.most_rows))).otherwise(1).cast("int")
     sized = sized.select("whole", F.col("top.part").alias("largest"), dealt(F.col("size") - F.col("top.n")).alias("n_left"), dealt(F.col("size")).alias("n_right"))
@@ -276,23 +280,68 @@ def linked(p: np.ndarray, q: np.ndarray, how: Forest) -> bool:
     return 100 * common >= how.percent * (len(both) - common)
 
 
+class Joined:
+    """Which parts a task has joined."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = self.root.get(up, up)
+            x = up
+        return x
+
+    def join(self, p: int, q: int) -> None:
+        p, q = self.top(p), self.top(q)
+        self.root[max(p, q)] = min(p, q)
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, how: Forest) -> DataFrame:
-    """(a, b) of the pairs that are linked by their full sets."""
+    """(a, b): links between parts, of the pairs (a, b, part_a, part_b) that are similar by their full sets.
+
+    A task compares no pair whose parts it has joined already, so it gives fewer links than it sees parts.
+    """
     left = sets.select(F.col("rep").alias("a"), F.col("found").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("found").alias("y"))
 
     def run(batches):
+        joined = Joined()
         for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            mask = pa.array([linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), how) for i in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            p, q = (batch.column(i).to_pylist() for i in (0, 1))
+            x, y = batch.column(2), batch.column(3)
+            made = []
+            for i in range(batch.num_rows):
+                if joined.top(p[i]) != joined.top(q[i]) and linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), how):
+                    joined.join(p[i], q[i])
+                    made.append((p[i], q[i]))
+            yield _links(made)
+
+    joined = pairs.select("a", "b", "part_a", "part_b").join(left, "a").join(right, "b")
+    return joined.select("part_a", "part_b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, agree, part_a, part_b) of the pairs whose parts differ; who has no part is one."""
+    of_a, of_b = parts.toDF("a", "part_a"), parts.toDF("b", "part_b")
+    named = pairs.select("a", "b", "agree").join(of_a, "a", "left").join(of_b, "b", "left")
+    return named.select("a", "b", "agree", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b")
+
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def best_of_each(pairs: DataFrame) -> DataFrame:
+    """The best pair of each part; of equals the one with the smallest ids."""
+    pair = F.struct((-F.col("agree")).alias("less"), "a", "b", "part_a", "part_b")
+    ends = pairs.select(F.explode(F.array("part_a", "part_b")).alias("part"), pair.alias("pair"))
+    best = ends.groupBy("part").agg(F.min("pair").alias("pair")).select("pair.*").distinct()
+    return best.select("a", "b", (-F.col("less")).alias("agree"), "part_a", "part_b")
 
 
 def confirm_by_region(members: DataFrame, sets: DataFrame, how: Forest) -> DataFrame:
-    """(a, b) of links between components within a block of ``across``.
+    """(a, b): links between components within a block of ``across``.
 
     A task holds the sets of one block, which ``most_rows`` bounds, and gives no more links than
     join the block's components.
@@ -303,36 +352,26 @@ def confirm_by_region(members: DataFrame, sets: DataFrame, how: Forest) -> DataF
     def links(held):
         reps, parts, sides, sigs, found = zip(*held)
         sigs = np.frombuffer(b"".join(sigs), ">u4").astype(np.uint32).reshape(len(reps), -1)
-        of, root = dict(zip(reps, parts)), {x: x for x in parts}
+        of, joined = dict(zip(reps, parts)), Joined()
         full = {r: np.frombuffer(x, np.uint64) for r, x in zip(reps, found)}
-
-        def top(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
         for x, y, _ in _across(sigs, np.array(reps), np.array(parts), how, np.array(sides)):
             for a, b in zip(x.tolist(), y.tolist()):
-                if (p := top(of[a])) != (q := top(of[b])) and linked(full[a], full[b], how):
-                    root[max(p, q)] = min(p, q)
-                    yield a, b
+                if joined.top(of[a]) != joined.top(of[b]) and linked(full[a], full[b], how):
+                    joined.join(of[a], of[b])
+                    yield of[a], of[b]
 
     def run(batches):
         at, held = None, []
 
-        def batch_of(held):
-            got = list(links(held))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
-
         for batch in batches:
             for region, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if region != at:
                     if held:
-                        yield batch_of(held)
+                        yield _links(list(links(held)))
                     at, held = region, []
                 held.append(row)
         if held:
-            yield batch_of(held)
+            yield _links(list(links(held)))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -357,7 +396,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, how: Forest, text: str = "text",
     Up to ``BITMAP_ROWS`` classes a broadcast bitmap of fixed size leaves out most other rows before
     the join; beyond that the texts themselves are joined.
     """
-    rows = docs.select(F.col(doc).cast("long").alias("rep"), text_bytes(text).alias("_text")).where("rep is not null")
+    rows = docs.select(F.col(doc).alias("rep"), text_bytes(text).alias("_text"))
     shared = None
     if reps.count() <= BITMAP_ROWS:
         shared = docs.sparkSession.sparkContext.broadcast(_bitmap(reps))
@@ -375,43 +414,51 @@ def full_sets(docs: DataFrame, reps: DataFrame, how: Forest, text: str = "text",
     return sets if shared is None else sets.join(reps, "rep", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, how: Forest = Forest(), text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def components(docs: DataFrame, how: Forest, text: str, doc: str) -> DataFrame:
+    """(doc_id, n_shingles, component) of every row; ``doc`` is a long that tells documents apart."""
     signed = written(sign(docs, how, text, doc), "signed")
-    classes = written(signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = written(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     found = written(regions(classes, how), "found")
     pairs = written(candidates(found, classes, how), "pairs")
     reps = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "reps")
     sets = written(full_sets(docs, reps, how, text, doc), "sets")
 
-    # first the best candidate of each class, then whatever that leaves unconnected
-    ends = pairs.select("a", "b", "agree").union(pairs.select("b", "a", "agree")).toDF("at", "to", "agree")
-    best = ends.groupBy("at").agg(F.max(F.struct("agree", (-F.col("to")).alias("to"))).alias("best")).select("at", (-F.col("best.to")).alias("to"))
-    best = best.select(F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b")).distinct()
-    first = written(confirm(best, sets, how), "linked")
-    parts = connected(first)
-    left = pairs.join(best, ["a", "b"], "left_anti")
-    of_a, of_b = parts.toDF("a", "part_a"), parts.toDF("b", "part_b")
-    left = left.join(of_a, "a", "left").join(of_b, "b", "left").where("part_a is null or part_b is null or part_a <> part_b")
-    second = written(confirm(left, sets, how), "linked")
-    parts = connected(first.union(second))
+    # the best candidate of each class, then of each component, then whatever that leaves between components
+    parts = classes.select(F.col("rep").alias("node"), F.col("rep").alias("part")).limit(0)
+    for some in (best_of_each, best_of_each, lambda x: x):
+        tried = some(between(pairs, parts))
+        links = written(confirm(tried, sets, how), "linked")
+        parts = merged(parts, links)
+        discard(links)
+    discard(pairs, reps, sets)
 
     # then whatever neighbours and hubs have missed
     more = written(across(found, classes, parts, how), "more")
     reps = written(more.select("rep").distinct(), "reps")
     sets = written(full_sets(docs, reps, how, text, doc), "sets")
-    third = written(confirm_by_region(more, sets, how), "linked")
-    parts = connected(first.union(second).union(third))
+    links = written(confirm_by_region(more, sets, how), "linked")
+    parts = merged(parts, links)
+    discard(found, more, reps, sets, links)
+
+    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("key", F.coalesce("part", "rep").alias("component"))
+    return signed.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
 
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(named, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+def near_duplicates(docs: DataFrame, how: Forest = Forest(), text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    rows, again = row_ids(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    out = components(rows, how, "text", "_row")
+    if again:
+        names = written(rows.select("_row", F.col("doc_id").alias("name")).distinct(), "names")
+        first = names.select(F.col("_row").alias("component"), F.col("name").alias("component_id"))
+        out = out.join(names, out["doc_id"] == names["_row"]).join(first, "component", "left")
+        return out.select(F.col("name").alias("doc_id"), "n_shingles", "component_id", (F.col("_row") == F.col("component")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component and verdict of every document."""
-    return near_duplicates(table(session(spark), sf_dir, "documents").select("doc_id", "text"))
+    """Component and verdict of every document, by runs of four words."""
+    return near_duplicates(table(session(spark), sf_dir, "documents").select("doc_id", "text"), Forest(words=4))
 
 
 #: Candidates share one of their rarest shingles: sets that are linked must, so none is lost.
