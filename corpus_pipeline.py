@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwright.llm import bpe, decontaminate, language, near_dedup, pii
-from rankwright.llm.common import row_key, session, table, written
+from rankwright.llm.common import row_ids, row_key, session, table, written
 
 #: The columns of ``documents``.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,11 +30,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
+    """Keep the document with the smallest id of each group of near-duplicates by runs of five words; of equal rows one."""
     session(spark)
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    rows, again = row_ids(docs.select(*COLUMNS))
+    found = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text").distinct() if again else rows.select("doc_id", "text"))
+    kept = found.where("kept").select(F.col("doc_id").alias("_row"))
+    if again:
+        rows = rows.dropDuplicates(["_row"])
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +58,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
     shared = bpe.default_codec(session(spark))
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared).drop("text"), shared)
+    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared), shared)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

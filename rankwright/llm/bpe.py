@@ -2,18 +2,18 @@
 
 Two tiers. A minimal perfect hash over the vocabulary resolves every pre-token that is itself a
 token: one hash, one displacement, one comparison. The rest is merged by rank with a heap over a
-linked list of byte spans, the leftmost pair of the lowest rank first.
+linked list of byte spans, the leftmost pair of the lowest rank first. Workers remember the ids of short pre-tokens.
 
 Null text counts as empty and gives no ids. One row per input row, repeated rows included; the
-other columns pass through (an existing ``ids`` or ``decoded`` column is replaced). An empty table
-gives an empty table. The vocabulary is of fixed size and is broadcast.
+other columns pass through, but for the text (an existing ``ids`` or ``decoded`` column is replaced). An
+empty table gives an empty table. The vocabulary is of fixed size and is broadcast.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from xxhash import xxh3_64_intdigest
 
 from rankwright.llm.common import session, table
 
-#: Pre-tokens that a worker remembers in each of two generations; a full one becomes the older.
-MEMO = 3 << 16
+#: Pre-tokens that a worker remembers in each of two generations (a full one becomes the older), and their most characters.
+MEMO, MEMO_CHARS = 3 << 16, 64
 _MASK = (1 << 64) - 1
 
 
@@ -88,10 +88,12 @@ class PerfectVocabulary:
 def merge_bytes(token: bytes, ranks: dict[bytes, int], pairs: list[int | None]) -> list[int]:
     """Ids of a pre-token by merges: a heap of pairs over a linked list of spans.
 
-    ``pairs`` has the rank of each pair of bytes. Heap entries are rank, start and end in one number.
+    ``pairs`` has the rank of each pair of bytes. Heap entries are rank, start and end in one number. ``after`` has
+    the end of the span that starts at a place, 0 if none does, and ``before`` the start of the one that ends there.
     """
     n = len(token)
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n)), bytearray(b"\1") * n
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    after[n] = 0
     get, bits = ranks.get, n.bit_length()
     mask = (1 << bits) - 1
     heap = [((r << bits | i) << bits) | i + 2 for i, (x, y) in enumerate(zip(token, token[1:])) if (r := pairs[x << 8 | y]) is not None]
@@ -99,13 +101,12 @@ def merge_bytes(token: bytes, ranks: dict[bytes, int], pairs: list[int | None])
     while heap:
         entry = heappop(heap)
         end, i = entry & mask, entry >> bits & mask
-        if not alive[i] or (j := after[i]) >= n or after[j] != end:
+        j = after[i]
+        if not j or after[j] != end:
             continue  # one of the two spans has changed
-        alive[j], after[i] = 0, end
-        if end < n:
-            before[end] = i
-            if (r := get(token[i : after[end]])) is not None:
-                heappush(heap, ((r << bits | i) << bits) | after[end])
+        after[j], after[i], before[end] = 0, end, i
+        if (k := after[end]) and (r := get(token[i:k])) is not None:
+            heappush(heap, ((r << bits | i) << bits) | k)
         if (p := before[i]) >= 0 and (r := get(token[p:end])) is not None:
             heappush(heap, ((r << bits | p) << bits) | end)
     out, i = [], 0
@@ -132,36 +133,40 @@ class Codec:
     def __getstate__(self):
         return self.__dict__ | {"_split": None, "_known": {}, "_older": {}}
 
-    def _ids(self, pretoken: str) -> tuple[int, ...]:
+    def _ids(self, pretoken: str) -> bytes:
         token = pretoken.encode()
         found = self.perfect.find(token)
-        if found is not None:
-            return (found,)
-        return tuple(merge_bytes(token, self.ranks, self.pairs))
+        return array("i", (found,) if found is not None else merge_bytes(token, self.ranks, self.pairs)).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids of ``text`` as packed 32-bit integers."""
         if self._split is None:
             self._split = regex.compile(self.pattern).findall
         parts = self._split(text)
         if len(self._known) > MEMO:
             self._known, self._older = {}, self._known
-        known, older = self._known, self._older
-        for part in set(parts):
-            if part not in known:
-                known[part] = older.get(part) or self._ids(part)
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
+        known, older, long = self._known, self._older, {}
+        for part in set(parts).difference(known):
+            ids = older.get(part) or self._ids(part)
+            (known if len(part) <= MEMO_CHARS else long)[part] = ids
+        if long:
+            return b"".join([long[x] if x in long else known[x] for x in parts])
+        return b"".join(map(known.__getitem__, parts))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    kept = [i for i, n in enumerate(batch.schema.names) if n != name]
+def _with(batch: pa.RecordBatch, name: str, values: pa.Array, *dropped: str) -> pa.RecordBatch:
+    kept = [i for i, n in enumerate(batch.schema.names) if n not in (name, *dropped)]
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*(batch.schema.names[i] for i in kept), name])
 
 
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
+def _schema(df: DataFrame, name: str, kind: T.DataType, *dropped: str) -> T.StructType:
+    return T.StructType([*(f for f in df.schema if f.name not in (name, *dropped)), T.StructField(name, kind)])
 
 
 def codec(spark: SparkSession, path: str, pattern: str):
@@ -170,28 +175,29 @@ def codec(spark: SparkSession, path: str, pattern: str):
 
 
 def encode(df: DataFrame, shared, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the token ids of ``text`` as ``array<int>``."""
+    """Add the token ids of ``text`` as ``array<int>``; ``text`` is dropped."""
+    at = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            ends, values = [0], []
-            for x in batch.column(batch.schema.names.index(text)):
-                got = shared.value.encode(x.as_py() or "")
-                values.append(np.array(got, np.int32))
-                ends.append(ends[-1] + len(got))
-            flat = np.concatenate(values) if values else np.empty(0, np.int32)
-            yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+            made = [shared.value.packed(x.as_py() or "") for x in batch.column(at)]
+            ends = np.zeros(len(made) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in made], out=ends[1:])
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
+            yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(ends), flat), text)
 
-    return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType()), text))
 
 
 def decode(df: DataFrame, shared, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add the bytes that ``ids`` stand for."""
+    """Add the bytes that ``ids`` stand for; null counts as no ids."""
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.names.index(ids))
-            out = [shared.value.decode(x.as_py() or ()) for x in column]
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+            flat = column.flatten().to_pylist()
+            out = [shared.value.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             yield _with(batch, decoded, pa.array(out, pa.binary()))
 
     return df.mapInArrow(run, _schema(df, decoded, T.BinaryType()))
@@ -207,7 +213,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes decoded from them, as digests."""
     shared = default_codec(session(spark))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, shared).select("doc_id", "ids"), shared)
+    out = decode(encode(docs, shared), shared)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
