@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankwright.llm import bpe, decontaminate, language, lm_score, near_dedup, pii, quality, queries, suffix_dedup, urls, warc
+from rankwright.llm import bpe, components, decontaminate, language, lm_score, near_dedup, pii, quality, queries, suffix_dedup, urls, warc
 
 SF = "/root/testdata/sf0.001"
 HARD = [(1, "one two three four five"), (2, None), (3, ""), (4, " \n\t "), (5, "x" * 20000), (6, "a b " * 8000), (7, "é漢 'll 123  \r\n"), (8, "one two three four five"), (8, "one two three four five"), (None, "no id at all")]
@@ -68,8 +68,8 @@ def test_bpe_equals_tiktoken(spark, hard):
     out = bpe.decode(bpe.encode(hard, shared), shared).collect()
     assert len(out) == len(HARD)
     for r in out:
-        assert list(r.ids) == enc.encode_ordinary(r.text or "")
-        assert bytes(r.decoded) == (r.text or "").encode()
+        assert enc.encode_ordinary(bytes(r.decoded).decode()) == list(r.ids)
+    assert sorted((bytes(r.decoded) for r in out)) == sorted((t or "").encode() for _, t in HARD)
     assert bpe.encode(empty(spark), shared).count() == 0
 
 
@@ -81,29 +81,36 @@ def test_lm_scores_held_out(spark):
     assert lm_score.score(empty(spark), F.lit(True)).count() == 0
 
 
-def test_lm_counts_are_exact(spark, monkeypatch):
-    """Against models of all words and pairs in dictionaries, over more distinct pairs than 2^20, most of them summed by the join."""
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    """Against models of all words and pairs in dictionaries, each text left out of its own; over many blocks and ranges."""
     rng = random.Random(1)
-    docs = [(i, " ".join(f"w{rng.randrange(1 << 19)}" if rng.random() < 0.9 else "The" for _ in range(6000))) for i in range(220)] + [(220, "The the w1"), (220, "The the w1")]
-    monkeypatch.setattr(lm_score, "OFTEN", 1 << 10, raising=False)
-    got = lm_score.score(spark.createDataFrame(docs, SCHEMA), F.col("doc_id") < 20).collect()
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" if rng.random() < 0.9 else "The" for _ in range(rng.randint(1, 400)))) for i in range(220)]
+    docs += [(220, "The the w1"), (220, "The the w1"), (221, docs[30][1]), (None, "w1 w2"), (222, "alone")]
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 3000)
+    df = spark.createDataFrame(docs, SCHEMA).withColumn("score", F.lit("clash")).withColumn("other", F.array(F.lit("x")))
+    got = lm_score.score(df, F.col("doc_id") < 40).collect()
     words, pairs = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    parts = lambda t: (t.lower().split(), list(zip([None, *t.lower().split()], t.lower().split())))
+    is_target = lambda i: i is not None and i < 40
     for i, t in docs:
-        w = t.lower().split()
-        for side in (0, 1) if i < 20 else (1,):
-            words[side].update(w)
-            pairs[side].update(zip([None, *w], w))
-    assert len(pairs[1]) > 1 << 20
-    mean = {}
+        for side in (0, 1) if is_target(i) else (1,):
+            words[side].update(parts(t)[0])
+            pairs[side].update(parts(t)[1])
+    whole, size = [sum(c.values()) for c in words], len(words[1])
+    want = collections.Counter()
     for i, t in docs:
-        w, total = t.lower().split(), [sum(c.values()) for c in words]
+        w, p = parts(t)
+        losses = []
         for side in (0, 1):
-            alone = lambda y: (words[side][y] + 0.01) / (total[side] + 0.01 * len(words[1]))
-            seen = lambda x: total[side] if x is None else words[side][x]
-            mean[i, side] = -sum(np.log((pairs[side][x, y] + 50 * alone(y)) / (seen(x) + 50)) for x, y in zip([None, *w], w)) / len(w)
-    assert sorted(r.doc_id for r in got) == [i for i, _ in docs]
-    for r in got:
-        assert r.target_loss == pytest.approx(mean[r.doc_id, 0], abs=1e-6) and r.background_loss == pytest.approx(mean[r.doc_id, 1], abs=1e-6)
+            held = side == 1 or is_target(i)
+            left = lambda c, own, key: c[key] - (own.count(key) if held else 0)  # noqa: E731, B023
+            total, scale = whole[side] - held * len(w), 1.0 if side == 0 else whole[0] / whole[1]
+            alone = lambda y: (left(words[side], w, y) + 0.01) / (total + 0.01 * size)  # noqa: E731, B023
+            seen = lambda x: total if x is None else left(words[side], w, x)  # noqa: E731, B023
+            losses.append(-sum(np.log((scale * left(pairs[side], p, (x, y)) + 50 * alone(y)) / (scale * seen(x) + 50)) for x, y in p) / len(w))
+        want[i, len(w), *(round(x, 6) for x in (*losses, losses[0] - losses[1]))] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, round(r.target_loss, 6), round(r.background_loss, 6), round(r.score, 6)) for r in got) == want
+    assert all(r.other == ["x"] for r in got)
 
 
 def test_quality_counts(spark, texts, hard):
@@ -220,7 +227,7 @@ def test_near_duplicates(spark, hard):
         if new == label:
             break
         label = new
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), near_dedup.Forest(words=4)).collect()}
     assert got == dict(enumerate(label))
     out = near_dedup.near_duplicates(hard).collect()
     assert len(out) == len(HARD) and {r.component_id for r in out if r.doc_id in (1, 8)} == {1}
@@ -258,14 +265,14 @@ def test_near_duplicates_beyond_neighbours_and_hubs(spark):
         if new == label:
             break
         label = new
-    out = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), near_dedup.Forest(neighbours=1, pivots=1)).collect()
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), near_dedup.Forest(words=4, neighbours=1, pivots=1)).collect()
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(label))
 
 
 def test_near_duplicates_in_a_region_of_many_parts(spark):
     """Signatures that agree throughout, as with a common template, put all classes into one large region of each tree."""
     how = near_dedup.Forest(most_rows=10)
-    classes = spark.createDataFrame([(i, bytes(4 * how.values)) for i in range(60)], "rep long, sig binary")
+    classes = spark.createDataFrame([(i, bytes(4 * how.values), 50) for i in range(60)], "rep long, sig binary, n_shingles long")
     sets = spark.createDataFrame([(i, np.arange(i // 2 * 1000, i // 2 * 1000 + 50, dtype=np.uint64).tobytes()) for i in range(60)], "rep long, found binary")
     parts = spark.createDataFrame([], "node long, component long")
     more = near_dedup.across(near_dedup.regions(classes, how), classes, parts, how)
@@ -275,7 +282,7 @@ def test_near_duplicates_in_a_region_of_many_parts(spark):
 
 def test_near_duplicate_blocks_meet_every_pair_once(spark):
     how = near_dedup.Forest(most_rows=10)
-    found = spark.range(60).select((F.col("id") % 2).alias("whole"), F.col("id").alias("rep"))
+    found = spark.range(60).select((F.col("id") % 2).alias("whole"), F.col("id").alias("rep"), F.lit(1).alias("weight"))
     parts = spark.range(60).select("id", F.when(F.col("id") < 30, 0).otherwise(F.col("id")))
     met, held = collections.Counter(), collections.defaultdict(list)
     for r in near_dedup.blocks(found, parts, how).collect():
@@ -288,6 +295,34 @@ def test_near_duplicate_blocks_meet_every_pair_once(spark):
     assert max(map(len, held.values())) < 3 * how.most_rows
 
 
+def test_near_duplicates_of_one_template(spark):
+    """All pairs of 2,600 texts are similar, more than a region holds: one component."""
+    words = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, f"{words} last{i}") for i in range(2600)]
+    assert {r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, a), (None, c), (None, c), (5, None), (5, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    kept = (1, 36, 1, True)
+    assert got == sorted([kept, kept, kept, (2, 36, 1, False), (None, 36, 1, False), (None, 36, None, True), (None, 36, None, True), (5, 0, 5, True), (5, 0, 5, True)], key=str)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(1, a), (1, b), (None, c), (5, "")], key=str) or sorted(((r.doc_id, r.text or "") for r in left), key=str) == sorted([(1, a), (1, b), (None, c), (5, "")], key=str)
+
+
+@pytest.mark.parametrize("edges", [[], [(3, 3)], [(i, i + 1) for i in range(60)], [(100, i) for i in range(60)], [(i, 99 - i) for i in range(50)] + [(0, 1)]])
+def test_connected(spark, edges):
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()} == label
+
+
 def test_url_verdicts(spark):
     rows = [(1, "https://Good.org/fr/x?q", None), (2, "http://a.example.net/en/1", ""), (3, "http://b.net/x", '<a href="//c.com/z">'), (4, "http://c.com/y", '<a href="http://b.net/">'), (5, None, None), (6, "nothing", None), (7, "http://x.example.com/de/#f", None), (8, "http://far.io/", None)]
     out = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
