@@ -17,9 +17,8 @@ Copies of one passage are settled within each task first, so a passage in a thir
 one entry per task. Strings before an anchor are told apart by 64-bit hashes, those after it by
 their bytes.
 
-Null text counts as empty. Rows that repeat an id, or have none, count as one document each: of equal
-strings at the same place none is earlier (a null id counts as the largest). An empty table gives an
-empty table.
+Null text counts as empty. Rows of distinct id and text are documents of their own, equal rows are one. Documents
+are ordered by id, null last, and those of one id by a digest of their text. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import byte_chunks, session, shuffle_partitions, table, text_bytes
+from rankwright.llm.common import byte_chunks, row_ids, session, shuffle_partitions, table, text_bytes
 
 #: String length, gram length, and the strings' count of grams, which must be a power of two.
 LENGTH, GRAM = 100, 37
@@ -44,7 +43,6 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _PLACE = 24
-_NULL_ID = np.iinfo(np.int64).max
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -117,7 +115,7 @@ def _texts(ids: pa.Array, texts: pa.Array):
                     if size + len(part) > 1 << 23:
                         yield held
                         held, size = [], 0
-                    held.append((_NULL_ID if doc is None else doc, a, part))
+                    held.append((doc, a, part))
                     size += len(part)
         if held:
             yield held
@@ -461,7 +459,10 @@ def removed_spans(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
 def cut_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept holds the remaining bytes."""
     buckets = 8 * shuffle_partitions(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(doc).cast("long"), F.lit(int(_NULL_ID))).alias("doc"), text_bytes(text).alias("raw"))
+    rows, again = row_ids(df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")), "id")
+    named = rows.select(F.col("_row").alias("doc"), "id", text_bytes().alias("raw"))
+    # of equal rows one is searched, and what is found is cut from all
+    docs = named.select("doc", "raw").dropDuplicates(["doc"]) if again else named.select("doc", "raw")
     found = gather(repeated_anchors(docs, buckets), 2)
     spans = gather(removed_spans(docs, found, buckets), 3)
 
@@ -487,11 +488,10 @@ def cut_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataF
                 kept.append(raw[last:])
                 out.append((len(raw), removed, n_spans, b"".join(kept)))
             n, r, s, k = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = docs.join(spans, "doc", "left").select("doc", "raw", "block")
-    out = joined.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.when(F.col("doc") != int(_NULL_ID), F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    joined = named.join(spans, "doc", "left").select("doc", "raw", "block", "id")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

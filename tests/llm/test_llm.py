@@ -210,6 +210,14 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.cut_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    x, y, z, w = ("".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(4))
+    rows = [(1, x), (None, x), (None, y), (2, z), (9, z), (9, w), (9, w), (None, None)]
+    got = collections.Counter((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == collections.Counter([(1, 0, x), (None, 300, ""), (None, 0, y), (2, 0, z), (9, 300, ""), (9, 0, w), (9, 0, w), (None, 0, "")])
+
+
 def test_near_duplicates(spark, hard):
     rng = random.Random(9)
     rows = []
