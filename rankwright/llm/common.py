@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,19 @@ def row_ids(df: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[Dat
     return keyed.join(rows, same).drop("_doc", "_digest"), True
 
 
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """``bits`` places (a power of two), those of the column ``place`` true, eight to a byte; put together by a grouped aggregate."""
+    words = places.select((F.col("place") / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 32).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: str, most_rows: int = 100_000) -> DataFrame:
     """Left join; ``small`` (a written table, one row per key) is broadcast only if it has few rows.
 

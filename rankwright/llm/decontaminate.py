@@ -4,8 +4,10 @@ A broadcast hash set of the benchmark's word windows is scanned along the words
 Hash hits are verified word by word. A window is ``size`` consecutive words of an item; an item of
 fewer words, but not none, is one window. Every word in an occurrence of a window is hit.
 
-The set is broadcast in blocks of at most ``block_bytes`` of item text, so that no broadcast grows
-with the benchmark; with several blocks, each block scans what the one before it wrote.
+The set holds the items' words once, and for each window a hash and its place: at most about ten times the
+text. It is broadcast if the benchmark's text is at most ``most_bytes``. A larger benchmark is a
+table of windows instead: a broadcast bitmap of fixed size leaves out most windows of the texts, the others
+are joined with the table. Either way the texts are read once.
 
 Null and empty text has no words, no hits and no items. Items without words or id are ignored;
 repeated items count once per distinct id. One row per input row, repeated rows included; other
@@ -15,7 +17,6 @@ empty table, an empty benchmark no hits.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 
@@ -24,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
-from rankwright.llm.common import session, table, text_bytes, written
+from rankwright.llm.common import bitmap, in_bitmap, session, table, text_bytes, written
 
+#: Places of the bitmap over the windows of a large benchmark.
+BITMAP_BITS = 1 << 27
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -36,59 +40,83 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words."""
+    if len(hashes) < n:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(hashes) - n + 1, np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - n + 1 + j]
+    return out ^ (out >> np.uint64(31))
+
+
 class Windows:
-    """Windows of a block of items, by length: a bitmap of hashes, then the words themselves."""
+    """Windows of all items, by length: sorted hashes and, for each, item and place in the items' text."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
-        found: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, raw in items:
+        self.names, texts, held, at = [], [], defaultdict(list), 0
+        for name, raw in items:
             words = words_of(raw)
+            if not words:
+                continue
             n = min(size, len(words))
-            for i in range(len(words) - n + 1 if words else 0):
-                found[n][b" ".join(words[i : i + n])].add(item)
-        self.by_size = {n: {k: sorted(v) for k, v in x.items()} for n, x in sorted(found.items())}
-        self._maps = None
+            ends = np.cumsum([len(w) + 1 for w in words]) + at
+            starts = np.concatenate([[at], ends[:-1]])
+            held[n].append((window_hashes(word_hashes(words), n), np.full(len(words) - n + 1, len(self.names), np.int32), starts[: len(words) - n + 1], ends[n - 1 :] - 1))
+            self.names.append(name)
+            texts.append(b" ".join(words) + b" ")
+            at += len(texts[-1])
+        self.text = b"".join(texts)
+        self.by_size = {}
+        for n, parts in sorted(held.items()):
+            hashes, item, start, end = map(np.concatenate, zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            self.by_size[n] = hashes[order], item[order], start[order].astype(np.int32), end[order].astype(np.int32)
+        self._maps, self._met = None, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_maps": None}
-
-    @staticmethod
-    def _mix(hashes: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(len(hashes) - n + 1, np.uint64)
-        for j in range(n):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - n + 1 + j]
-        return out
+        return self.__dict__ | {"_maps": None, "_met": {}}
 
     def _load(self) -> None:
-        """Bitmaps use Python's own hash, so each process makes its own."""
         self._maps = {}
-        for n, windows in self.by_size.items():
-            bits = min(27, max(20, len(windows).bit_length() + 8))
-            hashes = np.array([hash(w) for key in windows for w in key.split(b" ")], np.int64).view(np.uint64).reshape(-1, n)
-            mixed = np.zeros(len(hashes), np.uint64)
-            for j in range(n):
-                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[:, j]
-            bitmap = np.zeros(1 << bits, bool)
+        for n, (hashes, *_) in self.by_size.items():
+            bits = max(16, len(hashes).bit_length() + 4)
             shift = np.uint64(64 - bits)
-            bitmap[mixed >> shift] = True
-            self._maps[n] = bitmap, shift
+            found = np.zeros(1 << bits, bool)
+            found[hashes >> shift] = True
+            self._maps[n] = found, shift
+
+    def _items(self, n: int, h: np.uint64, key: bytes) -> list[str]:
+        """The items that hold the window ``key``; each window that is hit is looked up once in a worker."""
+        got = self._met.get(key)
+        if got is None:
+            hashes, item, start, end = self.by_size[n]
+            a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            got = self._met[key] = sorted({self.names[item[e]] for e in range(a, b) if self.text[start[e] : end[e]] == key})
+        return got
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of hit words (merged, end exclusive) and the items found."""
         if self._maps is None:
             self._load()
-        items: set[str] = set()
         hits: list[tuple[int, int]] = []
+        items: set[str] = set()
         if not words or not self._maps:
             return hits, items
-        hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-        for n, (bitmap, shift) in self._maps.items():
-            if len(words) < n:
+        hashes = word_hashes(words)
+        for n, (found, shift) in self._maps.items():
+            mixed = window_hashes(hashes, n)
+            at = np.flatnonzero(found[mixed >> shift])
+            if not len(at):
                 continue
-            known = self.by_size[n]
-            for i in np.flatnonzero(bitmap[self._mix(hashes, n) >> shift]).tolist():
-                got = known.get(b" ".join(words[i : i + n]))
-                if got is not None:
+            known = self.by_size[n][0]
+            places = np.minimum(np.searchsorted(known, mixed[at]), len(known) - 1)
+            for i in at[known[places] == mixed[at]].tolist():
+                if got := self._items(n, mixed[i], b" ".join(words[i : i + n])):
                     items.update(got)
                     hits.append((i, i + n))
         return merged(hits), items
@@ -104,43 +132,90 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
-    """Items of the benchmark, block by block, each of a bounded size."""
-    items = benchmark.select(F.col(item).cast("string").alias("i"), text_bytes(text).alias("t")).where("i is not null")
-    total = items.agg(F.sum(F.length("t") + 64)).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, bytes(r.t)) for r in part.collect()]
+def _outputs(columns: list[pa.Array], names: list[str], counts: list[int], spans: list[list[tuple[int, int]]], items: list) -> pa.RecordBatch:
+    made = [pa.array(counts, pa.int64()), pa.array([[y for pair in x for y in pair] for x in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*columns, *made], [*names, *OUTPUTS])
+
+
+OUTPUTS = {"n_words": "long", "hit_words": "array<long>", "hit_items": "array<string>"}
+
+
+def _scanned(df: DataFrame, items: list[tuple[str, bytes]], text: str, size: int, schema: T.StructType) -> DataFrame:
+    """The texts against a broadcast set of all windows."""
+    shared = df.sparkSession.sparkContext.broadcast(Windows(items, size))
+    at, names = df.columns.index(text), df.columns
+
+    def run(batches):
+        for batch in batches:
+            words = [words_of((x.as_py() or "").encode()) for x in batch.column(at)]
+            found = [shared.value.scan(x) for x in words]
+            yield _outputs(batch.columns, names, list(map(len, words)), [x for x, _ in found], [x for _, x in found])
+
+    return df.mapInArrow(run, schema)
+
+
+def _windows(items: DataFrame, size: int) -> DataFrame:
+    """Distinct (n, hash, words, item) of (i, t) items."""
+
+    def run(batches):
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(raw.as_py())
+                n = min(size, len(words))
+                hashes = window_hashes(word_hashes(words), n).view(np.int64) if n else []
+                for a in range(0, len(hashes), 10_000):
+                    some = range(a, min(len(hashes), a + 10_000))
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(some), pa.int32()), pa.array(hashes[some.start : some.stop]), pa.array([b" ".join(words[i : i + n]) for i in some], pa.binary()), pa.array([name] * len(some), pa.string())], ["n", "hash", "words", "item"])
+
+    return items.mapInArrow(run, "n int, hash long, words binary, item string").distinct()
+
+
+def _joined(df: DataFrame, items: DataFrame, text: str, size: int, schema: T.StructType) -> DataFrame:
+    """The texts against a table of all windows."""
+    spark, names = df.sparkSession, df.columns
+    windows = written(_windows(items, size), "windows")
+    sizes = [r.n for r in windows.select("n").distinct().collect()]
+    shared = spark.sparkContext.broadcast(bitmap(windows.select(F.pmod("hash", F.lit(BITMAP_BITS)).alias("place")), BITMAP_BITS))
+    rows = written(df.withColumn("_rankwright_row", F.monotonically_increasing_id()), "rows")
+
+    def near(batches):
+        for batch in batches:
+            for row, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(raw.as_py())
+                hashes = word_hashes(words)
+                for n in sizes:
+                    mixed = window_hashes(hashes, n).view(np.int64)
+                    places = np.flatnonzero(in_bitmap(shared.value, mixed & (BITMAP_BITS - 1)))
+                    for a in range(0, len(places), 10_000):
+                        at = places[a : a + 10_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array(at), pa.array([n] * len(at), pa.int32()), pa.array(mixed[at]), pa.array([b" ".join(words[i : i + n]) for i in at.tolist()], pa.binary())], ["row", "at", "n", "hash", "words"])
+
+    close = written(rows.select("_rankwright_row", text_bytes(text)).mapInArrow(near, "row long, at long, n int, hash long, words binary"), "near")
+    key = ["n", "hash", "words"]
+    spans = close.join(windows.select(*key).distinct(), key, "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
+    found = close.select("row", *key).distinct().join(windows, key).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    back = spans.join(found, "row").withColumnRenamed("row", "_rankwright_row")
+    joined = rows.join(back, "_rankwright_row", "left").select(*names, F.col("spans.at").alias("_at"), F.col("spans.n").alias("_n"), "items")
+    at = names.index(text)
+
+    def run(batches):
+        for batch in batches:
+            starts, sizes, items = (batch.column(len(names) + i).to_pylist() for i in range(3))
+            counts = [len(words_of((x.as_py() or "").encode())) for x in batch.column(at)]
+            hits = [merged([(a, a + n) for a, n in zip(x or (), y or ())]) for x, y in zip(starts, sizes)]
+            yield _outputs(batch.columns[: len(names)], names, counts, hits, [x or () for x in items])
+
+    return joined.mapInArrow(run, schema)
 
 
-def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, most_bytes: int = 8 << 20) -> DataFrame:
     """Add ``n_words``, ``hit_words`` (word spans as start, end, start, ...) and ``hit_items``."""
-    spark = df.sparkSession
-    df = df.drop("n_words", "hit_words", "hit_items").withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<long>"), "hit_items": F.array().cast("array<string>")})
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    at = df.columns.index(text)
-    for k, items in enumerate(blocks(benchmark, item, item_text, block_bytes)):
-        if k:
-            df = written(df, "passages")
-        shared = spark.sparkContext.broadcast(Windows(items, size))
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                counts, spans, found = [], [], []
-                for x, before, had in zip(batch.column(at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
-                    words = words_of((x.as_py() or "").encode())
-                    hits, items = shared.value.scan(words)
-                    old = before.as_py()
-                    if old:
-                        hits = merged([*hits, *zip(old[::2], old[1::2])])
-                    counts.append(len(words))
-                    spans.append([y for pair in hits for y in pair])
-                    found.append(sorted(items.union(had.as_py() or ())))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], batch.schema.names)
-
-        df = df.mapInArrow(run, schema)
-    return df
+    df = df.drop(*OUTPUTS)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema), *(T.StructField(k, T.DataType.fromDDL(v)) for k, v in OUTPUTS.items())])
+    items = benchmark.select(F.col(item).cast("string").alias("i"), text_bytes(item_text).alias("t")).where("i is not null")
+    if (items.agg(F.sum(F.length("t") + F.length("i") + 64)).first()[0] or 0) > most_bytes:
+        return _joined(df, items, text, size, schema)
+    return _scanned(df, [(r.i, bytes(r.t)) for r in items.collect()], text, size, schema)
 
 
 def cut_passages(df: DataFrame, text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from rankwright.llm.common import discard, row_ids, session, shuffle_partitions, table, text_bytes, written
+from rankwright.llm.common import bitmap, discard, in_bitmap, row_ids, session, shuffle_partitions, table, text_bytes, written
 from rankwright.llm.components import merged
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -380,16 +380,6 @@ def confirm_by_region(members: DataFrame, sets: DataFrame, how: Forest) -> DataF
 BITMAP_BITS, BITMAP_ROWS = 1 << 24, 1 << 20
 
 
-def _bitmap(reps: DataFrame):
-    """A bitmap of fixed size over hashed ids, put together by a grouped aggregate of its words."""
-    at = F.pmod(F.xxhash64("rep"), F.lit(BITMAP_BITS))
-    words = reps.select((at / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
 def full_sets(docs: DataFrame, reps: DataFrame, how: Forest, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(rep, found) of the classes in ``reps``; found is the set as sorted 64-bit values.
 
@@ -399,15 +389,16 @@ def full_sets(docs: DataFrame, reps: DataFrame, how: Forest, text: str = "text",
     rows = docs.select(F.col(doc).alias("rep"), text_bytes(text).alias("_text"))
     shared = None
     if reps.count() <= BITMAP_ROWS:
-        shared = docs.sparkSession.sparkContext.broadcast(_bitmap(reps))
-        rows = rows.select("rep", "_text", F.pmod(F.xxhash64("rep"), F.lit(BITMAP_BITS)).cast("int").alias("at"))
+        place = F.pmod(F.xxhash64("rep"), F.lit(BITMAP_BITS)).cast("int").alias("place")
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap(reps.select(place), BITMAP_BITS))
+        rows = rows.select("rep", "_text", place)
     else:
         rows = rows.join(reps, "rep", "left_semi")
 
     def run(batches):
         for batch in batches:
             if shared is not None:
-                batch = batch.filter(pa.array(shared.value[batch.column(2).to_numpy()]))
+                batch = batch.filter(pa.array(in_bitmap(shared.value, batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py() or b"", how.words).tobytes() for x in batch.column(1)], pa.binary())], ["rep", "found"])
 
     sets = rows.mapInArrow(run, "rep long, found binary")

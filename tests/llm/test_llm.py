@@ -155,11 +155,30 @@ def test_decontamination(spark, texts, hard):
                     hit |= set(range(i, i + n))
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
     bench = spark.createDataFrame([(1, "One two, THREE"), (2, None), (None, "four five"), (3, "a b a b a b a b a b a b")], "item_id long, text string")
-    marked = decontaminate.find_passages(hard, bench, block_bytes=80)
+    marked = decontaminate.find_passages(hard, bench)
     assert marked.where("size(hit_items) > 0").count() == 4
+    joined = decontaminate.find_passages(hard, bench, most_bytes=80)
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, marked.collect()), key=str)
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    one, many = (decontaminate.find_passages(docs, items, most_bytes=n).select("doc_id", "n_words", "hit_words", "hit_items") for n in (8 << 20, 0))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
     cut = {r.doc_id: r.text for r in decontaminate.cut_passages(marked).collect()}
     assert cut[1] == " four five" and cut[2] is None and cut[6].strip() == ""
-    assert decontaminate.find_passages(empty(spark), bench).count() == 0
+    for n in (8 << 20, 0):
+        none = decontaminate.find_passages(empty(spark), bench, most_bytes=n)
+        assert none.count() == 0 and decontaminate.cut_passages(none).count() == 0
+        assert decontaminate.find_passages(hard, bench.limit(0), most_bytes=n - 1).where("size(hit_items) > 0").count() == 0
+
+
+def test_windows_of_a_large_benchmark_are_small():
+    """8 MiB of text, the most that is broadcast, take little memory."""
+    rng = np.random.default_rng(1)
+    items = [(str(i), b" ".join(b"w%d" % x for x in rng.integers(0, 1 << 20, 5000))) for i in range(200)]
+    windows = decontaminate.Windows(items, 10)
+    held = len(windows.text) + sum(x.nbytes for parts in windows.by_size.values() for x in parts)
+    assert held < 5 * sum(len(t) for _, t in items)
+    words = decontaminate.words_of(b"x y " + items[7][1][: 5 * 100])
+    assert windows.scan(words)[1] == {"7"}
 
 
 def luhn(s):
