@@ -416,9 +416,11 @@ def components(docs: DataFrame, how: Forest, text: str, doc: str) -> DataFrame:
 
     # the best candidate of each class, then of each component, then whatever that leaves between components
     parts = classes.select(F.col("rep").alias("node"), F.col("rep").alias("part")).limit(0)
-    for some in (best_of_each, best_of_each, lambda x: x):
-        tried = some(between(pairs, parts))
-        links = written(confirm(tried, sets, how), "linked")
+    left = pairs.select("*", F.col("a").alias("part_a"), F.col("b").alias("part_b"))
+    for k, some in enumerate((best_of_each, best_of_each, lambda x: x)):
+        if k:
+            left = written(between(left, parts), "left")
+        links = written(confirm(some(left), sets, how), "linked")
         parts = merged(parts, links)
         discard(links)
     discard(pairs, reps, sets)
