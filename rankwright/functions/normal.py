@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of algorithm AS241, highest power first.
@@ -41,26 +41,35 @@ def inverse_normal_sql(p: str, number=lambda c: f"CAST('{c}' AS DOUBLE)") -> str
     return f"CASE WHEN abs({q}) <= {number('0.425')} THEN {q} * {centre} WHEN {tail} <= {number('5.0')} THEN {sign} * {near} ELSE {sign} * {far} END"
 
 
-def inverse_normal(p: Column) -> Column:
-    """Inverse normal of ``p``, clipped to [1e-6, 1 - 1e-6]; missing stays missing."""
-    clipped = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
+def _polynomials(parts, r: Column) -> Column:
+    def horner(cs):
+        out = F.lit(float(cs[0]))
+        for c in cs[1:]:
+            out = out * r + F.lit(float(c))
+        return out
+
+    return horner(parts[0]) / horner(parts[1])
+
 
-    def ratio(parts, r):
-        def horner(cs):
-            out = F.lit(float(cs[0]))
-            for c in cs[1:]:
-                out = out * r + F.lit(float(c))
-            return out
+def with_inverse_normal(df: DataFrame, p: Column, out: str) -> DataFrame:
+    """Add the inverse normal of ``p``, clipped to [1e-6, 1 - 1e-6]; missing stays missing.
 
-        return horner(parts[0]) / horner(parts[1])
+    Parts that are used again are columns of an earlier projection, so that the generated code stays small.
+    """
+    df = df.withColumn("_p", F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))))
+    df = df.withColumn("_q", F.col("_p") - 0.5)
+    q = F.col("_q")
+    df = df.withColumn("_r", F.when(F.abs(q) <= 0.425, F.lit(0.180625) - q * q).otherwise(F.sqrt(-F.log(F.when(q <= 0, F.col("_p")).otherwise(1 - F.col("_p"))))))
+    r, sign = F.col("_r"), F.when(q < 0, -1.0).otherwise(1.0)
+    centre, near, far = q * _polynomials(_CENTRE, r), sign * _polynomials(_NEAR, r - 1.6), sign * _polynomials(_FAR, r - 5.0)
+    return df.withColumn(out, F.when(F.abs(q) <= 0.425, centre).when(r <= 5.0, near).otherwise(far)).drop("_p", "_q", "_r")
 
-    q = clipped - 0.5
-    tail = F.sqrt(-F.log(F.when(q <= 0, clipped).otherwise(1 - clipped)))
-    sign = F.when(q < 0, -1.0).otherwise(1.0)
-    return F.when(F.abs(q) <= 0.425, q * ratio(_CENTRE, F.lit(0.180625) - q * q)).when(tail <= 5.0, sign * ratio(_NEAR, tail - 1.6)).otherwise(sign * ratio(_FAR, tail - 5.0))
 
+def with_bell_curve(df: DataFrame, pct: str, out: str, mean=50.0, sd=18.0, floor=5.0, cap=100.0) -> DataFrame:
+    """add a percentile (0 to 100) on a normal scale, clipped to [floor, cap]; missing stays missing.
 
-def bell_curve(pct: Column, mean: float = 50.0, sd: float = 18.0, floor: float = 5.0, cap: float = 100.0) -> Column:
-    """A percentile (0 to 100) on a normal scale, clipped to [floor, cap]; missing stays missing."""
-    x = mean + sd * inverse_normal(pct / 100.0)
-    return F.when(pct.isNotNull(), F.least(F.greatest(x, F.lit(floor)), F.lit(cap)))
+    The shape may be given by columns.
+    """
+    mean, sd, floor, cap = (x if isinstance(x, Column) else F.lit(x) for x in (mean, sd, floor, cap))
+    df = with_inverse_normal(df, F.col(pct) / 100.0, "_z")
+    return df.withColumn(out, F.when(F.col("_z").isNotNull(), F.least(F.greatest(mean + sd * F.col("_z"), floor), cap))).drop("_z")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,9 +49,13 @@ def first_token(c: Column) -> Column:
     return F.element_at(F.split(c, " "), 1)
 
 
+#: Fixed value: codes that stand for several teams.
+AGGREGATE_TEAM = r"^(TOT|\dTM)$"
+
+
 def is_aggregate_team(c: Column) -> Column:
     """whether a team code stands for several teams."""
-    return F.coalesce(c.rlike(r"^(TOT|\dTM)$"), F.lit(False))
+    return F.coalesce(c.rlike(AGGREGATE_TEAM), F.lit(False))
 
 
 def decade(year: Column, first: int = 1950) -> Column:
@@ -58,6 +63,11 @@ def decade(year: Column, first: int = 1950) -> Column:
     return F.concat(F.greatest(F.floor(year / 10) * 10, F.lit(first)).cast("string"), F.lit("s"))
 
 
+def short_decade(label: Column) -> Column:
+    """a decade label without its century."""
+    return F.substring(label, 3, 10)
+
+
 def composite_id(*parts: Column) -> Column:
     """F8."""
     return F.concat_ws("_", *parts)
@@ -100,12 +110,16 @@ def true_shooting(points: Column, attempts: Column, free: Column, weight: float
     return F.when(tries > 0, points / (2 * tries))
 
 
-def tier(rating: Column) -> Column:
-    """name of a rating's tier."""
-    out = F.when(rating >= 99, "perfect")
-    for least, name in ((90, "elite"), (82, "great"), (74, "good"), (65, "fair")):
-        out = out.when(rating >= least, name)
-    return F.when(rating.isNotNull(), out.otherwise("low"))
+def tier(rating: Column, bounds: Sequence[float], lowest: str = "below") -> Column:
+    """the highest of ``bounds`` (descending) that a rating reaches, as ``<bound>+``; ``lowest`` if none."""
+    out = F.when(rating.isNull(), None)
+    for least in bounds:
+        out = out.when(rating >= least, f"{least:g}+")
+    return out.otherwise(lowest)
+
+
+#: The bounds of rating tiers.
+TIER_BOUNDS = (99, 90, 82, 74, 65)
 
 
 def overall(total: Column, anchor: Column | int, low_total: int = 470, low: int = 78, least: int = 40, most: int = 99, fallback: int = 588) -> Column:
@@ -134,3 +148,13 @@ def top_share(pct: Column) -> Column:
 def folded(c: Column) -> Column:
     """letters and digits only, lower-cased."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+
+
+def perfect(ratings: Column, most: int = 99) -> Column:
+    """an aggregate: whether a run has ratings and all of them are ``most``."""
+    return F.coalesce(F.bool_and(F.coalesce(ratings == most, F.lit(False))), F.lit(False))
+
+
+def by_last_name(name: Column) -> list[Column]:
+    """sort keys: the last word of a name, then the whole name."""
+    return [F.element_at(F.split(F.trim(name), r"\s+"), -1), name]

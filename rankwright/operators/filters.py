@@ -18,6 +18,44 @@ def floored_share(share: Column, least: float) -> Column:
     return F.when(share >= least, share).otherwise(0.0)
 
 
+def league_in(league: Column, leagues: Sequence[str], exact: bool = True) -> Column:
+    """Whether a league is one of those given; not ``exact``, case does not matter."""
+    return league.isin(*leagues) if exact else F.upper(league).isin(*(x.upper() for x in leagues))
+
+
+def since(season: Column, first) -> Column:
+    """Seasons, or decade labels, from the first one on."""
+    return season >= F.lit(first)
+
+
+def universe(df: DataFrame, leagues: Sequence[str], first_season: int, least_games: float, least_minutes: float) -> tuple[DataFrame, DataFrame]:
+    """The rows that are rated, and how many are left after each filter. Rows have lg, season, g, mp."""
+    steps = {"league": league_in(F.col("lg"), leagues), "era": since(F.col("season"), first_season), "sample": enough_sample(F.col("g"), F.col("mp"), least_games, least_minutes)}
+    return df.where(steps["league"] & steps["era"] & steps["sample"]), funnel(df, steps)
+
+
+def in_era(df: DataFrame, token: str, tokens: Sequence[str] | None) -> DataFrame:
+    """Rows of the given time tokens, compared as text; without tokens all."""
+    return df if tokens is None else df.where(F.col(token).cast("string").isin(*map(str, tokens)))
+
+
+def page(df: DataFrame, order: Sequence[Column], cap: int = 300) -> DataFrame:
+    """The first ``cap`` rows and, on each, how many there are in all."""
+    return df.orderBy(*order).limit(cap).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
+#: What a qualifier asks of a rating: at least, or at most.
+QUALIFIERS = (("elite", 90.0, None), ("great", 82.0, None), ("good", 70.0, None), ("decent", 60.0, None), ("weak", None, 45.0), ("", 70.0, None))
+
+
+def qualified(wants: DataFrame) -> DataFrame:
+    """Criteria of (query_id, seq, ability, qualifier); no qualifier asks for the same as a plain ability. Unknown qualifiers go."""
+    known = wants.sparkSession.createDataFrame(QUALIFIERS, "qualifier string, lo double, hi double")
+    named = wants.withColumn("qualifier", F.lower(F.coalesce("qualifier", F.lit(""))))
+    side = F.when(F.col("lo").isNotNull(), "gte").otherwise("lte")
+    return named.join(F.broadcast(known), "qualifier").select("query_id", F.concat_ws(":", F.lit("rate"), "ability", side).alias("key"), "seq", F.lit("range").alias("kind"), F.col("ability").alias("field"), "lo", "hi", F.lit(None).cast("string").alias("text"))
+
+
 def funnel(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
     """Rows left after each of the successive filters, in one pass."""
     held, counts = F.lit(True), [F.count("*").alias("all")]
@@ -27,10 +65,11 @@ def funnel(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
     return df.agg(*counts)
 
 
-def meets_all(rows: DataFrame, ident: str, criteria: DataFrame, fields: Sequence[str], name: str | None = None) -> DataFrame:
+def meets_all(rows: DataFrame, ident: str, criteria: DataFrame, fields: Sequence[str], name: str | None = None, label: str | None = None) -> DataFrame:
     """P10: (query_id, id) of the rows that meet all criteria of a query.
 
-    ``criteria`` has query_id, key, kind (``range`` or ``words``), field, lo, hi, text and seq; the first of
+    ``criteria`` has query_id, key, kind (``range`` of a stat, rating or season; ``decade``, which starts at lo; ``words`` of the
+    name; ``suffix`` of the label), field, lo, hi, text and seq; the first of
     each key counts, by seq. A missing value counts as 0. A query whose criteria are null matches every row.
     Criteria are a stated set, at most 10,000, and are broadcast.
     """
@@ -40,12 +79,13 @@ def meets_all(rows: DataFrame, ident: str, criteria: DataFrame, fields: Sequence
     firsts = criteria.groupBy("query_id", "key").agg(F.min(F.struct("seq", "kind", "field", "lo", "hi", "text")).alias("c"))
     queries = firsts.groupBy("query_id").agg(F.collect_list("c").alias("cs"))
     values = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in fields)))
-    held = rows.select(F.col(ident), values.alias("_values"), (F.lower(F.col(name)) if name else F.lit("")).alias("_name"))
+    held = rows.select(F.col(ident), values.alias("_values"), (F.lower(F.col(name)) if name else F.lit("")).alias("_name"), (F.lower(F.col(label)) if label else F.lit("")).alias("_label"))
 
     def met(c):
         v = F.try_element_at("_values", c["field"])
         inside = (v >= F.coalesce(c["lo"], F.lit(float("-inf")))) & (v <= F.coalesce(c["hi"], F.lit(float("inf"))))
         words = F.forall(F.split(F.lower(F.coalesce(c["text"], F.lit(""))), " "), lambda w: F.contains(F.col("_name"), w))
-        return F.when(c["kind"] == "range", inside).when(c["kind"] == "words", words).otherwise(True)
+        suffix = F.coalesce(F.endswith(F.col("_label"), F.lower(c["text"])), F.lit(False))
+        return F.when(c["kind"] == "range", inside).when(c["kind"] == "decade", v.between(c["lo"], c["lo"] + 9)).when(c["kind"] == "words", words).when(c["kind"] == "suffix", suffix).otherwise(True)
 
     return held.join(F.broadcast(queries), F.forall("cs", met)).select("query_id", ident)

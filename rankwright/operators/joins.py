@@ -6,7 +6,7 @@ import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwright.sources import written
@@ -18,6 +18,13 @@ def with_fallback(df: DataFrame, key: str, lookup: DataFrame, source: str, targe
     return df.join(found, F.col(key) == F.col("_from"), "left").withColumn(out, F.coalesce("_to", key)).drop("_from", "_to")
 
 
+def with_facts(spine: DataFrame, facts: Sequence[tuple[DataFrame, Sequence[str]]], keys: Sequence[str]) -> DataFrame:
+    """Columns of each fact table on the spine's rows; a row without facts has them missing."""
+    for table, columns in facts:
+        spine = spine.join(table.select(*keys, *columns), list(keys), "left")
+    return spine
+
+
 def unique_lookup(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Keys that lead to one value only."""
     return df.groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
@@ -34,11 +41,9 @@ def resolve(rows: DataFrame, people: DataFrame, season: str, name: str, ident: s
     out = box.join(unique_lookup(people, [season, name], ident), [season, name], "left").withColumn("tier", F.when(F.col(ident).isNotNull(), "exact"))
     for label, token in (("last", last), ("first", first)):
         side = unique_lookup(people.withColumn("_token", token), [season, "_token"], ident).withColumnRenamed(ident, "_id")
-        marked = out.withColumn("_token", token).withColumn("_open", F.col(ident).isNull())
-        alone = F.count("*").over(Window.partitionBy(season, "_token", "_open")) == 1
-        marked = marked.withColumn("_alone", alone & F.col("_open")).join(side, [season, "_token"], "left")
-        hit = F.col("_alone") & F.col("_id").isNotNull()
-        out = marked.withColumn("tier", F.when(hit, label).otherwise(F.col("tier"))).withColumn(ident, F.when(hit, F.col("_id")).otherwise(F.col(ident))).select(season, name, ident, "tier")
+        alone = out.where(F.col(ident).isNull()).withColumn("_token", token).groupBy(season, "_token").agg(F.count("*").alias("_n"), F.min(name).alias(name)).where("_n = 1")
+        found = alone.join(side, [season, "_token"]).select(season, name, "_id")
+        out = out.join(found, [season, name], "left").withColumn("tier", F.when(F.col("_id").isNotNull(), label).otherwise(F.col("tier"))).withColumn(ident, F.coalesce(ident, "_id")).select(season, name, ident, "tier")
     if overrides is not None:
         given = overrides.select(season, name, F.col(ident).alias("_id"))
         out = out.join(F.broadcast(given), [season, name], "left").withColumn("tier", F.when(F.col(ident).isNull() & F.col("_id").isNotNull(), "override").otherwise(F.col("tier"))).withColumn(ident, F.coalesce(ident, "_id")).drop("_id")
@@ -66,6 +71,7 @@ def nearest(queries: DataFrame, pool: DataFrame, ident: str, dims: Sequence[str]
     Values are z-scored over the pool (population deviation, 0 counts as 1); a dimension weighs
     0.25 plus the query's z above 0; of equals the smallest id wins. ``queries`` is broadcast; more than
     10,000 rows are dealt into blocks of about half as many, one broadcast after another, and the results are written.
+    ``percent`` is 100 less the mean distance of the values themselves, rounded half up, from 0 to 100.
     """
     n = queries.count()
     if n > 10_000:
@@ -79,12 +85,15 @@ def _nearest(queries: DataFrame, pool: DataFrame, ident: str, dims: Sequence[str
     sd = lambda d: F.stddev_pop(d)
     stats = pool.agg(*(F.avg(d).alias(f"_m{i}") for i, d in enumerate(dims)), *(F.when(sd(d) == 0, 1.0).otherwise(sd(d)).alias(f"_s{i}") for i, d in enumerate(dims)))
     z = lambda t: F.array(*((F.col(f"{t}.{d}") - F.col(f"s._m{i}")) / F.col(f"s._s{i}") for i, d in enumerate(dims)))
-    q = queries.alias("q").crossJoin(F.broadcast(stats).alias("s")).select(F.col(f"q.{ident}").alias("query_id"), z("q").alias("_q"))
-    p = pool.alias("p").crossJoin(F.broadcast(stats).alias("s")).select(F.col(f"p.{ident}").alias(out), z("p").alias("_p"))
+    raw = lambda t: F.array(*(F.col(f"{t}.{d}").cast("double") for d in dims))
+    q = queries.alias("q").crossJoin(F.broadcast(stats).alias("s")).select(F.col(f"q.{ident}").alias("query_id"), z("q").alias("_q"), raw("q").alias("_qv"))
+    p = pool.alias("p").crossJoin(F.broadcast(stats).alias("s")).select(F.col(f"p.{ident}").alias(out), z("p").alias("_p"), raw("p").alias("_pv"))
     gap = F.aggregate(F.zip_with("_q", "_p", lambda a, b: (0.25 + F.greatest(a, F.lit(0.0))) * (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+    off = F.aggregate(F.zip_with("_qv", "_pv", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: x + y) / len(dims)
     pairs = p.join(F.broadcast(q), F.col(out) != F.col("query_id"))
-    best = pairs.groupBy("query_id").agg(F.min(F.struct(F.round(gap, 9).alias("distance"), F.col(out))).alias("_best"))
-    return best.select("query_id", F.col(f"_best.{out}").alias(out), F.col("_best.distance").alias("distance"))
+    best = pairs.groupBy("query_id").agg(F.min(F.struct(F.round(gap, 9).alias("distance"), F.col(out), off.alias("off"))).alias("_best"))
+    percent = F.greatest(F.least(F.floor(F.lit(100.5) - F.round("_best.off", 9)), F.lit(100)), F.lit(0)).cast("int")
+    return best.select("query_id", F.col(f"_best.{out}").alias(out), F.col("_best.distance").alias("distance"), percent.alias("percent"))
 
 
 def alternates(cells: DataFrame, fixed: str, axis: str) -> DataFrame:

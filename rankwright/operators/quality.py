@@ -68,8 +68,27 @@ def signature_floors(df: DataFrame, name: str, ratings: Sequence[str], floors: D
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """Q9: row count and order-insensitive digest of the content."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("xor"), F.sum(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31))).alias("sum"))
+    """Q9: row count and order-insensitive digest of the content, from the first 60 bits of each row's MD5; missing differs from empty."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns))
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("sum"))
+
+
+def same_content(a: DataFrame, b: DataFrame) -> bool:
+    """Q9: whether two builds have the same rows, in whatever order."""
+    return a.columns == b.columns and digest(a).first() == digest(b).first()
+
+
+def roster_checks(rosters: DataFrame, entries: DataFrame, least: int = 6) -> DataFrame:
+    """Listed ids that no entry has, cells without ids (both hard), and cells of under ``least`` (soft).
+
+    ``rosters`` has cell and ids (array).
+    """
+    missing = rosters.select(F.explode("ids").alias("id")).distinct().join(entries.select("id"), "id", "left_anti").agg(F.count("*").alias("missing"))
+    size = F.coalesce(F.size("ids"), F.lit(0))
+    one = rosters.agg(F.count_if(size <= 0).alias("empty"), F.count_if((size > 0) & (size < least)).alias("small")).crossJoin(missing)
+    rows = [_row(f"{k}_{of}", "rosters", F.col(k), 0, level, F.col(k) == 0) for k, of, level in (("missing", "ids", "hard"), ("empty", "cells", "hard"), ("small", "cells", "soft"))]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def union_all(*checks: DataFrame) -> DataFrame:

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 
 def draw_index(n: Column, *keys: Column) -> Column:
-    """K1: an index in [0, n) from the keys; 0 if there is nothing to draw from."""
-    return F.when(n > 0, F.pmod(F.xxhash64(*keys), n)).otherwise(0)
+    """K1: an index in [0, n) from the first 60 bits of the MD5 of the keys; 0 if there is nothing to draw from."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", *(k.cast("string") for k in keys))), 1, 15), 16, 10).cast("long")
+    return F.when(n > 0, F.pmod(drawn, n)).otherwise(0)
 
 
 def boards(seeds: DataFrame, cells: DataFrame, spins: int = 6) -> DataFrame:
     """K1: (seed, spin, cell) for every seed; ``cells`` is a grid axis of at most 100,000 cells."""
-    listed = cells.select("cell").distinct().withColumn("_at", F.row_number().over(Window.orderBy("cell")) - 1)
     n = cells.select("cell").distinct().count()
     if n > 100_000:
         raise ValueError("too many cells to number in one task")
+    listed = cells.select("cell").distinct().withColumn("_at", F.row_number().over(Window.orderBy("cell")) - 1)
     spun = seeds.select("seed", F.explode(F.sequence(F.lit(1), F.lit(spins))).alias("spin"))
     return spun.withColumn("_at", draw_index(F.lit(n), F.col("seed"), F.col("spin"), F.lit("cell"))).join(F.broadcast(listed), "_at").select("seed", "spin", "cell")
 

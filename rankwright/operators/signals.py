@@ -15,6 +15,12 @@ from rankwright.operators import filters, joins, windows
 KEYS = ("player_id", "season")
 
 
+def presence(rows: DataFrame) -> DataFrame:
+    """(player_id, season, share 1) of who is there at all."""
+    counts = rows.where("player_id is not null and season is not null").groupBy(*KEYS).agg(F.count("*").alias("_n"))
+    return counts.select(*KEYS, F.least("_n", F.lit(1)).cast("double").alias("share"))
+
+
 @dataclass(frozen=True)
 class Source:
     """Rows of (player_id, season, share); the largest share of a key counts, those under ``least`` as 0."""
@@ -47,6 +53,11 @@ def scoring_titles(df: DataFrame, points: str, games: str, least_games: float =
     return per.join(best, ["season", "_rate"]).select(*KEYS, F.lit(1.0).alias("share"))
 
 
+def _by_normal_name(counted: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """Sums by (season, name) again by normal names: each name is made normal once, not once a row."""
+    return counted.withColumn("name", scalars.normal_name(F.col("name"))).groupBy("season", "name").agg(*(F.sum(c).alias(c) for c in sums))
+
+
 def _identified(counted: DataFrame, people: DataFrame, sums: Sequence[str], weight: str, least: float | None, overrides: DataFrame | None) -> DataFrame:
     """Sums by name turned into sums by id; several names may lead to one id. ``least`` gates the matched share."""
     ids = joins.resolve(counted, people, "season", "name", "player_id", scalars.last_token(F.col("name")), scalars.first_token(F.col("name")), overrides)
@@ -61,10 +72,10 @@ def playoff_box(box: DataFrame, people: DataFrame, least: float | None = 0.98, o
 
     ``box`` has name, ts, game_type, minutes, points, attempts, free; ``people`` season, name (normal), player_id.
     """
-    rows = box.where("game_type = 'Playoffs'").select(scalars.normal_name(F.col("name")).alias("name"), scalars.season_of(F.col("ts")).alias("season"), "minutes", "points", "attempts", "free")
+    rows = box.where("game_type = 'Playoffs'").select("name", scalars.season_of(F.col("ts")).alias("season"), "minutes", "points", "attempts", "free")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     counted = rows.where("name is not null and season is not null").groupBy("season", "name").agg(F.count("*").alias("po_g"), zero("minutes").alias("po_mp"), zero("points").alias("po_pts"), zero("attempts").alias("po_fga"), zero("free").alias("po_fta"))
-    counted = counted.withColumn("_one", F.lit(1.0))
+    counted = _by_normal_name(counted, ["po_g", "po_mp", "po_pts", "po_fga", "po_fta"]).withColumn("_one", F.lit(1.0))
     out = _identified(counted, people, ["po_g", "po_mp", "po_pts", "po_fga", "po_fta"], "_one", least, overrides)
     return out.withColumns({"po_ppg": F.col("po_pts") / F.greatest("po_g", F.lit(1)), "po_ts": scalars.true_shooting(F.col("po_pts"), F.col("po_fga"), F.col("po_fta"))})
 
@@ -86,7 +97,7 @@ def _plays(plays: DataFrame, games: DataFrame) -> DataFrame:
     home = F.coalesce(F.col("team_id") == F.col("home_team"), F.lit(False))
     return joined.select(
         "game_id", "period", "made", "free", "value", scalars.clock_seconds(F.col("clock")).alias("clock"),
-        scalars.normal_name(F.col("name")).alias("name"), scalars.season_of(F.col("ts")).alias("season"), (F.col("game_type") == "Playoffs").alias("playoff"),
+        "name", scalars.season_of(F.col("ts")).alias("season"), (F.col("game_type") == "Playoffs").alias("playoff"),
         F.when(home, F.col("home_score")).otherwise(F.col("away_score")).alias("mine"), F.when(home, F.col("away_score")).otherwise(F.col("home_score")).alias("theirs"),
     ).where("name is not null and season is not null")
 
@@ -99,7 +110,7 @@ def game_winners(plays: DataFrame, games: DataFrame, people: DataFrame, least: f
     rows = _plays(plays.where("period >= 4 and made and not coalesce(free, false)"), games)
     shots = rows.where(go_ahead(F.col("period"), F.col("clock"), F.col("mine"), F.col("theirs"), F.col("value")))
     counted = shots.groupBy("season", "name").agg(F.count("*").alias("gw"), F.count_if("playoff").alias("gw_po"))
-    return _identified(counted, people, ["gw", "gw_po"], "gw", least, overrides)
+    return _identified(_by_normal_name(counted, ["gw", "gw_po"]), people, ["gw", "gw_po"], "gw", least, overrides)
 
 
 def late_scoring(plays: DataFrame, games: DataFrame, people: DataFrame, least: float | None = 0.9, overrides: DataFrame | None = None) -> DataFrame:
@@ -108,6 +119,7 @@ def late_scoring(plays: DataFrame, games: DataFrame, people: DataFrame, least: f
     worth = F.when(F.coalesce("free", F.lit(False)), 1).otherwise(F.coalesce("value", F.lit(2)))
     weight = late_weight(F.col("period"), F.col("clock"), F.col("mine") - worth - F.col("theirs"))
     scored = rows.select("season", "name", "game_id", (worth * weight).alias("_points")).where("_points is not null")
+    scored = scored.groupBy("season", "name", "game_id").agg(F.sum("_points").alias("_points")).withColumn("name", scalars.normal_name(F.col("name")))
     counted = scored.groupBy("season", "name").agg(F.sum("_points").alias("ct_pts"), F.count_distinct("game_id").alias("ct_g"))
     return _identified(counted, people, ["ct_pts", "ct_g"], "ct_pts", least, overrides)
 

@@ -7,15 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankwright.functions import scalars
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+def collapse_to_season(df: DataFrame, keys: Sequence[str] = ("player_id", "season"), team: str = "team", minutes: str = "mp") -> DataFrame:
+    """One row per player and season: the row over all teams if there is one, else the one with most minutes (ties: team)."""
+    return first_per_key(df, keys, [F.desc(scalars.is_aggregate_team(F.col(team))), F.desc_nulls_last(minutes), F.asc(team)])
+
+
+def keep_stints(df: DataFrame, keys: Sequence[str] = ("player_id", "season", "team"), team: str = "team", minutes: str = "mp") -> DataFrame:
+    """One row per player, season and team, that with most minutes; rows over all teams go."""
+    return first_per_key(df.where(~scalars.is_aggregate_team(F.col(team))), keys, [F.desc_nulls_last(minutes)])
+
+
 def smooth_reputation(df: DataFrame, keys: Sequence[str], season: str, value: str, window: int, decay: float, out: str) -> DataFrame:
-    """Trailing maximum of value * decay ** gap over real season gaps of 0 to ``window``."""
+    """Trailing maximum of value * decay ** gap over real season gaps of 0 to ``window``; no window leaves the value."""
+    if window <= 0:
+        return df.withColumn(out, F.col(value))
     gaps = F.explode(F.array(*map(F.lit, range(window + 1))))
     spread = df.where(F.col(value).isNotNull()).select(*keys, F.col(season), F.col(value), gaps.alias("_gap"))
     seen = spread.groupBy(*keys, (F.col(season) + F.col("_gap")).alias(season)).agg(F.max(F.col(value) * F.pow(F.lit(decay), F.col("_gap"))).alias(out))
@@ -24,12 +38,13 @@ def smooth_reputation(df: DataFrame, keys: Sequence[str], season: str, value: st
 
 def forced_top(df: DataFrame, cell: Sequence[str], forced: str, order: Sequence[Column], k: int, least: int = 0) -> DataFrame:
     """Forced rows and the best others up to ``k``; cells of under ``least`` rows go."""
-    part = Window.partitionBy(*cell)
-    n_forced = F.sum(F.col(forced).cast("int")).over(part)
-    place = F.row_number().over(Window.partitionBy(*cell, forced).orderBy(*order))
-    kept = df.withColumns({"_size": F.count("*").over(part), "_forced": n_forced, "_place": place})
-    kept = kept.where((F.col("_size") >= least) & (F.col(forced) | (F.col("_place") <= k - F.col("_forced"))))
-    return kept.withColumn("place", F.row_number().over(part.orderBy(*order))).drop("_size", "_forced", "_place")
+    part = Window.partitionBy(*cell).orderBy(*order)
+    sizes = df.groupBy(*cell).agg(F.count("*").alias("_size"), F.count_if(F.col(forced)).alias("_forced")).where(F.col("_size") >= least)
+    # a constant limit, so that each task cuts its rows before they are sent
+    others = df.where(~F.coalesce(F.col(forced), F.lit(False))).withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= k)
+    both = others.unionByName(df.where(F.col(forced)).withColumn("_place", F.lit(0)))
+    kept = both.join(sizes, list(cell)).where((F.col("_place") == 0) | (F.col("_place") <= k - F.col("_forced")))
+    return kept.withColumn("place", F.row_number().over(part)).drop("_size", "_forced", "_place")
 
 
 def streaks(days: DataFrame, user: str, day: str, today: Column) -> DataFrame:
@@ -71,8 +86,31 @@ def ecdf_anchor(ecdf: DataFrame, pct: float, groups: Sequence[str] = ()) -> Data
     return ecdf.groupBy(*groups).agg(anchor.alias("anchor"))
 
 
+def filled_ecdf(ecdf: DataFrame) -> DataFrame:
+    """The table with a row for every whole score; a score that is not listed, or listed at 0, has the last share before it."""
+    ends = ecdf.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    dense = ends.select(F.explode(F.sequence("_lo", "_hi")).alias("score")).join(ecdf.select("score", "pct"), "score", "left")
+    # a row per whole score, of which there are few
+    last = F.last(F.when(F.col("pct") > 0, F.col("pct")), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("score"))
+    return dense.select("score", F.coalesce(last, F.lit(0.0)).alias("pct"))
+
+
+def scores_for(ecdf: DataFrame, targets: DataFrame, target: str, out: str = "score") -> DataFrame:
+    """For each of the ``targets`` the smallest score that reaches it, else the highest of the table."""
+    held = ecdf.agg(F.array_sort(F.collect_list(F.struct("score", "pct"))).alias("_table"), F.max("score").alias("_top"))
+    first = F.get(F.filter("_table", lambda x: x["pct"] >= F.col(target)), F.lit(0))["score"]
+    return targets.crossJoin(F.broadcast(held)).withColumn(out, F.coalesce(first, F.col("_top"))).drop("_table", "_top")
+
+
+def run_scores(picks: DataFrame, run: str, slot: str, rating: str, order: Sequence[Column], slots: int = 6) -> DataFrame:
+    """(run, total, perfect) of runs that filled all ``slots``; the first pick of a slot counts, players may repeat."""
+    first = first_per_key(picks, [run, slot], order)
+    out = first.groupBy(run).agg(F.sum(rating).alias("total"), scalars.perfect(F.col(rating)).alias("perfect"), F.count("*").alias("_n"))
+    return out.where(F.col("_n") == slots).drop("_n")
+
+
 def ecdf_lookup(df: DataFrame, score: str, ecdf: DataFrame, out: str) -> DataFrame:
-    """Percentile of a score, clamped to the ends of the table.
+    """Percentile of a score, clamped to the ends of the table, which has a row for every whole score.
 
     The table has a row per whole score and is broadcast after its size is checked.
     """

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwright.functions import scalars
-from rankwright.functions.normal import bell_curve, inverse_normal_sql
+from rankwright.functions.normal import inverse_normal_sql, with_bell_curve
 from rankwright.operators import quality, ranking, shrink, windows
+from rankwright.operators.ranking import Rank
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,8 @@ def rate_supplier_years(spark, sf_dir, k: float = 20.0, least: float = 1.0):
     df = shrink.group_rate(df, "makes", "att", ["season"], "mu")
     df = df.withColumn("rate", F.round(shrink.shrink(F.col("makes"), F.col("att"), F.col("mu"), k), 9))
     df = ranking.percentile_rank(df, "rate", "pct")
-    return df.select("l_suppkey", "season", F.round("rate", 6).alias("rate"), F.round("pct", 6).alias("pct"), scalars.half_even(bell_curve(F.col("pct"))).alias("rating"))
+    df = with_bell_curve(df, "pct", "curved")
+    return df.select("l_suppkey", "season", F.round("rate", 6).alias("rate"), F.round("pct", 6).alias("pct"), scalars.half_even(F.col("curved")).alias("rating"))
 
 
 _CURVE, _P = curve_sql("pct", 50.0, 18.0, 5.0, 100.0)
@@ -102,14 +104,12 @@ SELECT l_suppkey, season, round(mu + (share - mu) * att / (att + 30.0), 6) AS sh
 def two_round_rating(spark, sf_dir):
     """Components ranked, archetype of the better of two, composite ranked and curved, gated and capped."""
     df = seasons(spark, sf_dir).select("l_suppkey", "season", "qty", F.round(F.col("makes") / F.col("att"), 9).alias("back"), F.when(F.col("att") >= 5, F.round(F.col("open_lines") / F.col("att"), 9)).alias("still"), F.round(F.col("qty") / F.greatest("att", F.lit(1.0)), 9).alias("size"))
-    df = ranking.percentile_rank(df, "back", "rk_back")
-    df = ranking.percentile_rank(df, "still", "rk_still")
-    df = ranking.percentile_rank_within(df, "size", ["season"], "rk_size")
-    df = df.withColumn("best", F.round(shrink.best_of("rk_back", "rk_still"), 9))
-    df = ranking.percentile_rank(df, "best", "rk_best")
+    keys = ["l_suppkey", "season"]
+    df = ranking.percentile_ranks(df, keys, [Rank("back", "rk_back"), Rank("still", "rk_still"), Rank("size", "rk_size", within=("season",))])
+    df = ranking.percentile_ranks(df.withColumn("best", F.round(shrink.best_of("rk_back", "rk_still"), 9)), keys, [Rank("best", "rk_best")])
     df = df.withColumn("comp", F.round(shrink.weighted_composite({"rk_best": 0.55, "rk_size": 0.25, "rk_still": 0.2}), 9))
-    df = ranking.percentile_rank(df, "comp", "pct")
-    gated = F.when(F.col("still").isNull(), F.least(bell_curve(F.col("pct")), F.lit(82.0))).otherwise(bell_curve(F.col("pct")))
+    df = ranking.percentile_ranks(df, keys, [Rank("comp", "curved", curve=(50.0, 18.0, 5.0, 100.0))])
+    gated = F.when(F.col("still").isNull(), F.least("curved", F.lit(82.0))).otherwise(F.col("curved"))
     return df.select("l_suppkey", "season", F.round("comp", 6).alias("comp"), scalars.half_even(gated).alias("rating"))
 
 
@@ -140,15 +140,15 @@ def game_curve_by_decade(spark, sf_dir):
     """Peak of each supplier's years, ranked again and curved onto the narrow scale, tiered."""
     s = seasons(spark, sf_dir).withColumn("era", scalars.decade(F.col("season")))
     peak = s.groupBy("l_suppkey", "era").agg(F.max(F.round(F.col("makes") / F.col("att"), 9)).alias("peak"), F.sum("att").alias("lines"))
-    out = ranking.percentile_rank(peak, "peak", "pct")
-    rating = scalars.half_even(bell_curve(F.col("pct"), 75.0, 9.0, 55.0, 99.0))
-    return out.select(scalars.composite_id(F.col("l_suppkey").cast("string"), F.col("era")).alias("id"), "lines", rating.alias("rating"), scalars.tier(rating).alias("tier"))
+    out = with_bell_curve(ranking.percentile_rank(peak, "peak", "pct"), "pct", "curved", 75.0, 9.0, 55.0, 99.0)
+    out = out.withColumn("rating", scalars.half_even(F.col("curved")))
+    return out.select(scalars.composite_id(F.col("l_suppkey").cast("string"), F.col("era")).alias("id"), "lines", "rating", scalars.tier(F.col("rating"), scalars.TIER_BOUNDS).alias("tier"))
 
 
 _GAME, _ = curve_sql("pct", 75.0, 9.0, 55.0, 99.0)
 GAME_SQL = f"""WITH {S}, g AS (SELECT l_suppkey, greatest(season // 10 * 10, 1950)::VARCHAR || 's' AS era, max(round(makes / att, 9)) AS peak, sum(att) AS lines FROM s GROUP BY 1, 2),
 k AS (SELECT *, {pct_sql('peak', 'g')} AS pct FROM g), x AS (SELECT *, {_P} AS p FROM k), y AS (SELECT l_suppkey::VARCHAR || '_' || era AS id, lines, round_even({_GAME}, 0)::INTEGER AS rating FROM x)
-SELECT *, CASE WHEN rating >= 99 THEN 'perfect' WHEN rating >= 90 THEN 'elite' WHEN rating >= 82 THEN 'great' WHEN rating >= 74 THEN 'good' WHEN rating >= 65 THEN 'fair' ELSE 'low' END AS tier FROM y"""
+SELECT *, CASE WHEN rating >= 99 THEN '99+' WHEN rating >= 90 THEN '90+' WHEN rating >= 82 THEN '82+' WHEN rating >= 74 THEN '74+' WHEN rating >= 65 THEN '65+' ELSE 'below' END AS tier FROM y"""
 
 QUERIES = {
     "rate_supplier_years": (rate_supplier_years, RATE_SQL),

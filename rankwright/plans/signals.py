@@ -75,7 +75,7 @@ def _games(spark, sf_dir):
 def playoff_box(spark, sf_dir):
     """Totals of parts by season, over names that are whole, cut or unknown."""
     box = _lines(spark, sf_dir).select("name", "ts", F.when(F.col("l_linestatus") == "O", "Playoffs").otherwise("Regular").alias("game_type"), F.col("l_quantity").alias("minutes"), F.floor("l_extendedprice").cast("double").alias("points"), F.col("l_linenumber").cast("double").alias("attempts"), (F.col("l_suppkey") % 3).cast("double").alias("free"))
-    out = signals.playoff_box(box, _people(spark, sf_dir), least=None)
+    out = signals.playoff_box(box, _people(spark, sf_dir), least=0.5)
     return out.select("player_id", "season", "po_g", F.round("po_mp", 4).alias("po_mp"), "po_pts", "po_fga", "po_fta", F.round("po_ppg", 6).alias("po_ppg"), F.round("po_ts", 6).alias("po_ts"))
 
 
@@ -91,7 +91,7 @@ FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN orders ON o_orderkey
 
 def game_winners(spark, sf_dir):
     """R16, R18."""
-    out = signals.game_winners(_plays(spark, sf_dir), _games(spark, sf_dir), _people(spark, sf_dir), least=None)
+    out = signals.game_winners(_plays(spark, sf_dir), _games(spark, sf_dir), _people(spark, sf_dir), least=0.5)
     return out.select("player_id", "season", "gw", "gw_po", signals.winner_score(F.col("gw"), F.col("gw_po"), F.col("season"), 20, 1997).cast("double").alias("gw_score"))
 
 
@@ -101,7 +101,7 @@ FROM p WHERE period >= 4 AND made AND NOT free AND clock <= 24 AND mine > theirs
 
 def late_scoring(spark, sf_dir):
     """R17."""
-    out = signals.late_scoring(_plays(spark, sf_dir), _games(spark, sf_dir), _people(spark, sf_dir), least=None)
+    out = signals.late_scoring(_plays(spark, sf_dir), _games(spark, sf_dir), _people(spark, sf_dir), least=0.5)
     return out.select("player_id", "season", F.round("ct_pts", 4).alias("ct_pts"), "ct_g")
 
 
@@ -114,38 +114,90 @@ def _stats(spark, sf_dir):
     s = seasons(spark, sf_dir)
     share = F.round(F.col("makes") / F.col("att"), 9)
     still = F.round(F.col("open_lines") / F.col("att"), 9)
-    return s.select(
-        "l_suppkey", "season", F.col("att").alias("g"), share.alias("x3p_ar"), still.alias("fg3_shrunk"), share.alias("ft_shrunk"), still.alias("mid_shrunk"), F.col("makes").alias("x3p"), still.alias("ts_percent"), F.lit(0.5).alias("mu_ts"),
+    rows = s.select(
+        F.col("l_suppkey").alias("player_id"), "season", F.col("att").alias("g"), F.col("qty").alias("mp"), F.col("makes").alias("tov"), F.col("open_lines").alias("po_fga"), (F.col("makes") % 4).alias("gw_po"), (F.col("att") % 9).alias("ct_g"), share.alias("x3p_ar"), still.alias("fg3_shrunk"), share.alias("ft_shrunk"), still.alias("mid_shrunk"), F.col("makes").alias("x3p"), still.alias("ts_percent"), F.lit(0.5).alias("mu_ts"),
         F.col("qty").alias("pts"), (share * 100).alias("usg_percent"), F.col("open_lines").alias("ast"), (still * 100).alias("ast_percent"), (share * 10).alias("tov_percent"), F.col("makes").alias("trb"), (share * 50).alias("trb_percent"), (still * 20).alias("orb_percent"), (share * 30).alias("drb_percent"),
         F.when(share > 0.4, share).otherwise(0.0).alias("scoring_accolade"), F.when(still > 0.6, still).otherwise(0.0).alias("star_accolade"), share.alias("def_accolade"), (still - 0.5).alias("dbpm"), (share * 3).alias("stl_percent"), F.col("makes").alias("stl"), (still * 4).alias("blk_percent"), F.col("open_lines").alias("blk"),
-        F.col("makes").alias("ct_pts"), F.col("qty").alias("po_ppg"), F.col("att").alias("po_g"), share.alias("po_ts"), still.alias("clutch_accolade"), F.col("makes").alias("gw_score"),
+        F.when(F.col("season") % 2 == 0, F.col("makes")).otherwise(F.when(F.col("makes") > 0, F.col("makes"))).alias("ct_pts"), F.col("qty").alias("po_ppg"), F.col("att").alias("po_g"), share.alias("po_ts"), still.alias("clutch_accolade"), F.when(F.col("makes") > 0, F.col("makes")).alias("gw"),
     )
+    return categories.fill_signals(rows, 20, 1994)
 
 
 def component_library(spark, sf_dir):
-    """R6, F14, F17, P13 gates: every component of the six categories."""
+    """Every component of the six categories."""
     made = {f"{cat}_{name}": F.round(value, 6) for cat, parts in categories.components().items() for name, value in parts.items()}
-    return _stats(spark, sf_dir).select("l_suppkey", "season", *(v.cast("double").alias(k) for k, v in made.items()))
+    return _stats(spark, sf_dir).select(F.col("player_id").alias("l_suppkey"), "season", *(v.cast("double").alias(k) for k, v in made.items()))
 
 
-COMPONENT_SQL = f"""WITH {S}, x AS (SELECT l_suppkey, season, att AS g, round(makes / att, 9) AS h, round(open_lines / att, 9) AS o, makes, open_lines, qty FROM s)
-SELECT l_suppkey, season, round(CASE WHEN h >= 0.1 THEN o END, 6) AS shooting_fg3_pct, round(h, 6) AS shooting_ft_pct, round(CASE WHEN h >= 0.1 THEN 3 * makes / g * least(greatest((o - (0.5::DOUBLE - 0.06::DOUBLE)) / 0.06::DOUBLE, 0.1::DOUBLE), 1.0) END, 6) AS shooting_score3, round(CASE WHEN h < 0.1 THEN o END, 6) AS shooting_mid_range,
-round(qty / g, 6) AS scoring_pts_rate, round(h * 100, 6) AS scoring_usg, round(o, 6) AS scoring_ts_eff, round(CASE WHEN h > 0.4 THEN h ELSE 0 END, 6) AS scoring_scoring_accolade,
-round(open_lines / g, 6) AS playmaking_ast_total, round(o * 100, 6) AS playmaking_ast_pct, round(o * 100 * (h * 100) / 100, 6) AS playmaking_creation_load, round(o * 100 / greatest(h * 10, 1.0), 6) AS playmaking_ast_security, round(CASE WHEN o > 0.6 THEN o ELSE 0 END, 6) AS playmaking_star_accolade,
-round(h, 6) AS defense_def_accolade, round(o - 0.5::DOUBLE, 6) AS defense_dbpm, round(h * 3, 6) AS defense_stl_pct, round(makes / g, 6) AS defense_stl_total, round(o * 4, 6) AS defense_blk_pct, round(open_lines / g, 6) AS defense_blk_total, round(h * 30, 6) AS defense_drb_pct,
-makes AS clutch_clutch_time, qty AS clutch_po_pts, g AS clutch_po_depth, round(h - o, 6) AS clutch_po_retention, round(o, 6) AS clutch_clutch_accolade, makes AS clutch_clutch_shots,
-round(h * 50, 6) AS rebounding_trb_pct, round(makes / g, 6) AS rebounding_trb_total, round(o * 20, 6) AS rebounding_oreb_pct, round(h * 30, 6) AS rebounding_dreb_pct FROM x"""
+#: SQL of each component over x: l_suppkey, season, g, h, o, makes, open_lines, qty.
+COMPONENTS = {
+    "shooting": {"fg3_pct": "CASE WHEN h >= 0.1 THEN o END", "ft_pct": "h", "score3": "CASE WHEN h >= 0.1 THEN 3 * makes / g * least(greatest((o - (0.5::DOUBLE - 0.06::DOUBLE)) / 0.06::DOUBLE, 0.1::DOUBLE), 1.0) END", "mid_range": "CASE WHEN h < 0.1 THEN o END"},
+    "scoring": {"pts_rate": "qty / g", "usg": "h * 100", "ts_eff": "o", "scoring_accolade": "CASE WHEN h > 0.4 THEN h ELSE 0 END"},
+    "playmaking": {"ast_total": "open_lines / g", "ast_pct": "o * 100", "creation_load": "o * 100 * (h * 100) / 100", "ast_security": "o * 100 / greatest(h * 10, 1.0)", "star_accolade": "CASE WHEN o > 0.6 THEN o ELSE 0 END"},
+    "defense": {"def_accolade": "h", "dbpm": "o - 0.5::DOUBLE", "stl_pct": "h * 3", "stl_total": "makes / g", "blk_pct": "o * 4", "blk_total": "open_lines / g", "drb_pct": "h * 30"},
+    "clutch": {"clutch_time": "CASE WHEN season >= 1994 THEN makes END", "po_pts": "qty", "po_depth": "g", "po_retention": "h - o", "clutch_accolade": "o", "clutch_shots": "CASE WHEN season >= 1994 THEN makes + 19 * (makes % 4) END"},
+    "rebounding": {"trb_pct": "h * 50", "trb_total": "makes / g", "oreb_pct": "o * 20", "dreb_pct": "h * 30"},
+}
+X = f"""{S}, x AS (SELECT l_suppkey, season, att AS g, round(makes / att, 9) AS h, round(open_lines / att, 9) AS o, makes, open_lines, qty FROM s)"""
+COMPONENT_SQL = f"WITH {X} SELECT l_suppkey, season, {', '.join(f'round({e}, 6) AS {cat}_{n}' for cat, parts in COMPONENTS.items() for n, e in parts.items())} FROM x"
 
 
-def rebounding_rating(spark, sf_dir):
-    """One whole category, from components to rating."""
-    return categories.rate_category(_stats(spark, sf_dir), "rebounding", "rating").select("l_suppkey", "season", "rating")
+def six_ratings(spark, sf_dir):
+    """All six categories, from components to ratings."""
+    return categories.rate(_stats(spark, sf_dir), ["player_id", "season"]).select("player_id", "season", *categories.WEIGHTS, *(F.round(f"comp_{c}", 6).alias(f"comp_{c}") for c in categories.WEIGHTS))
 
 
-_CURVE, _P = curve_sql("pct", 50.0, 18.0, 5.0, 100.0)
-REBOUND_SQL = f"""WITH {S}, x0 AS (SELECT l_suppkey, season, round(round(makes / att, 9) * 50, 9) AS a, round(makes / greatest(att, 1.0), 9) AS b, round(round(open_lines / att, 9) * 20, 9) AS c, round(round(makes / att, 9) * 30, 9) AS d FROM s),
-k AS (SELECT l_suppkey, season, round(({pct_sql('a', 'x0')} * 0.42 + {pct_sql('b', 'x0')} * 0.28 + {pct_sql('c', 'x0')} * 0.1 + {pct_sql('d', 'x0')} * 0.2) / (0.42 + 0.28 + 0.1 + 0.2), 9) AS comp FROM x0),
-f AS (SELECT *, {pct_sql('comp', 'k')} AS pct FROM k), x AS (SELECT *, {_P} AS p FROM f) SELECT l_suppkey, season, round_even({_CURVE}, 0)::INTEGER AS rating FROM x"""
+def rebounding_rating(spark, sf_dir):
+    """One whole category, from components to rating."""
+    return categories.rate(_stats(spark, sf_dir), ["player_id", "season"], ["rebounding"]).select(F.col("player_id").alias("l_suppkey"), "season", F.col("rebounding").alias("rating"))
+
+
+def _rank_sql(v, group="", sparse=None):
+    of = f"{group + ', ' if group else ''}{v} {'> 0' if sparse else 'IS NOT NULL'}"
+    pct = f"100.0 * (rank() OVER (PARTITION BY {of} ORDER BY {v}) + (count(*) OVER (PARTITION BY {of}, {v}) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY {of})"
+    if sparse:
+        return f"CASE WHEN {v} > 0 THEN {sparse[1]} + {pct} / 100 * (100 - {sparse[1]}) WHEN {v} IS NOT NULL THEN {sparse[0]} END::DOUBLE"
+    return f"CASE WHEN {v} IS NOT NULL THEN {pct} END::DOUBLE"
+
+
+def _mean_sql(weights):
+    total = " + ".join(f"CASE WHEN rk_{n} IS NULL THEN 0.0 ELSE {w} END::DOUBLE" for n, w in weights.items())
+    return f"({' + '.join(f'coalesce(rk_{n} * {w}::DOUBLE, 0.0)' for n, w in weights.items())}) / nullif({total}, 0)"
+
+
+def _ratings_sql(cats):
+    """Ratings r (l_suppkey, season, cat, comp, rating) of the categories."""
+    c = categories
+    parts = {n: e for cat in cats for n, e in COMPONENTS[cat].items()}
+    volume = {"mp": "qty", "ast_tov": "(open_lines + makes)", "po_fga": "open_lines"}
+    credible = lambda n: f"round(avg(c_{n}) OVER () + (c_{n} - avg(c_{n}) OVER ()) * {volume[c.CREDIBILITY[n][0]]} / ({volume[c.CREDIBILITY[n][0]]} + {c.CREDIBILITY[n][1]}), 9)" if n in c.CREDIBILITY else f"c_{n}"
+    comp = {cat: f"round({_mean_sql(c.WEIGHTS[cat])}, 9)" for cat in cats}
+    more, best, most = [], [], "NULL::DOUBLE"
+    if "defense" in cats:
+        more.append(f"round(greatest({_mean_sql(c.PERIMETER)}, {_mean_sql(c.INTERIOR)}), 9) AS c_box_best")
+        best.append(f"{_rank_sql('c_box_best')} AS rk_box_best")
+    if "clutch" in cats:
+        more.append(f"round({_mean_sql(c.CLUTCH_BOX)}, 9) AS c_clutch_box")
+        best.append(f"greatest({_rank_sql('c_clutch_box')}, rk_clutch_shots * least((makes % 4) / 3.0::DOUBLE, 1.0), rk_clutch_time * least((g % 9) / 6.0::DOUBLE, 1.0)) AS rk_clutch_best")
+        comp["clutch"] = f"round(greatest({_mean_sql(c.WEIGHTS['clutch'])}, rk_clutch_best), 9)"
+    if "shooting" in cats:
+        from statistics import NormalDist
+
+        most = f"(SELECT quantile_cont(comp, {NormalDist().cdf((82 - 50.0) / 20.0)!r}::DOUBLE) FROM w0 WHERE cat = 'shooting')"
+    curve, p = curve_sql("pct", 50.0, "x.sd", 5.0, 100.0)
+    sd = "CASE cat WHEN 'scoring' THEN 22.0 WHEN 'shooting' THEN 20.0 ELSE 18.0 END::DOUBLE"
+    return f"""{X}, c AS (SELECT *, {', '.join(f'round({e}, 9) AS c_{n}' for n, e in parts.items())} FROM x),
+c2 AS (SELECT * REPLACE ({', '.join(f'{credible(n)} AS c_{n}' for n in parts)}) FROM c),
+k AS (SELECT *, {', '.join(f"{_rank_sql(f'c_{n}', 'season' if n in c.WITHIN_SEASON else '', c.SPARSE.get(n))} AS rk_{n}" for n in parts)} FROM c2),
+k1 AS (SELECT *{''.join(', ' + m for m in more)} FROM k), k2 AS (SELECT *{''.join(', ' + m for m in best)} FROM k1),
+w0 AS ({' UNION ALL '.join(f"SELECT l_suppkey, season, h, '{cat}' AS cat, {comp[cat]} AS comp FROM k2" for cat in cats)}),
+w AS (SELECT l_suppkey, season, h, cat, CASE WHEN cat = 'shooting' AND h < 0.1 THEN round(least(comp, {most}), 9) ELSE comp END AS comp FROM w0),
+y AS (SELECT *, {_rank_sql('comp', 'cat')} AS pct, {sd} AS sd FROM w), x1 AS (SELECT *, {p} AS p FROM y),
+r AS (SELECT l_suppkey, season, cat, comp, CASE WHEN cat = 'shooting' AND h < 0.1 THEN least(v, 82) ELSE v END AS rating FROM (SELECT *, CASE WHEN pct IS NOT NULL THEN round_even({curve}, 0)::INTEGER END AS v FROM x1 AS x))"""
+
+
+SIX_SQL = f"""WITH {_ratings_sql(list(categories.WEIGHTS))} SELECT l_suppkey AS player_id, season, {', '.join(f"max(CASE WHEN cat = '{c}' THEN rating END) AS {c}, round(max(CASE WHEN cat = '{c}' THEN comp END), 6) AS comp_{c}" for c in categories.WEIGHTS)} FROM r GROUP BY 1, 2"""
+REBOUND_SQL = f"WITH {_ratings_sql(['rebounding'])} SELECT l_suppkey, season, rating FROM r"
 
 
 def _members(spark, sf_dir):
@@ -203,6 +255,7 @@ QUERIES = {
     "game_winners": (game_winners, WINNER_SQL),
     "late_scoring": (late_scoring, LATE_SQL),
     "component_library": (component_library, COMPONENT_SQL),
+    "six_ratings": (six_ratings, SIX_SQL),
     "rebounding_rating": (rebounding_rating, REBOUND_SQL),
     "season_grid": (season_grid, GRID_SQL),
     "thin_cells": (thin_cells, f"WITH {MEMBER_SQL} SELECT season, franchise, count(*) AS n FROM m GROUP BY 1, 2 HAVING count(*) < 20"),

@@ -131,13 +131,13 @@ SELECT o_orderkey, (SELECT min_by(name, until) FROM e WHERE code = o_orderstatus
 def nearest_profile(spark, sf_dir):
     """The nearest supplier-year of the suppliers' whole profiles, for a stated set of suppliers."""
     prof = seasons(spark, sf_dir).groupBy("l_suppkey").agg(F.sum("makes").alias("a"), F.sum("att").alias("b"), F.round(F.sum("qty"), 2).alias("c"))
-    return joins.nearest(prof.where("l_suppkey % 20 = 0"), prof, "l_suppkey", ["a", "b", "c"]).select("query_id", "match", F.round("distance", 6).alias("distance"))
+    return joins.nearest(prof.where("l_suppkey % 20 = 0"), prof, "l_suppkey", ["a", "b", "c"]).select("query_id", "match", F.round("distance", 6).alias("distance"), "percent")
 
 
 NEAREST_SQL = f"""WITH {S}, p AS (SELECT l_suppkey AS id, sum(makes) AS a, sum(att) AS b, round(sum(qty), 2) AS c FROM s GROUP BY 1),
-z AS (SELECT id, (a - avg(a) OVER ()) / CASE WHEN stddev_pop(a) OVER () = 0 THEN 1 ELSE stddev_pop(a) OVER () END AS a, (b - avg(b) OVER ()) / CASE WHEN stddev_pop(b) OVER () = 0 THEN 1 ELSE stddev_pop(b) OVER () END AS b, (c - avg(c) OVER ()) / CASE WHEN stddev_pop(c) OVER () = 0 THEN 1 ELSE stddev_pop(c) OVER () END AS c FROM p),
-d AS (SELECT q.id AS query_id, p.id AS match, round((0.25 + greatest(q.a, 0)) * (q.a - p.a) ** 2 + (0.25 + greatest(q.b, 0)) * (q.b - p.b) ** 2 + (0.25 + greatest(q.c, 0)) * (q.c - p.c) ** 2, 9) AS distance FROM z q JOIN z p ON p.id <> q.id WHERE q.id % 20 = 0)
-SELECT query_id, match, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, match) AS n FROM d) WHERE n = 1"""
+z AS (SELECT id, a AS ra, b AS rb, c AS rc, (a - avg(a) OVER ()) / CASE WHEN stddev_pop(a) OVER () = 0 THEN 1 ELSE stddev_pop(a) OVER () END AS a, (b - avg(b) OVER ()) / CASE WHEN stddev_pop(b) OVER () = 0 THEN 1 ELSE stddev_pop(b) OVER () END AS b, (c - avg(c) OVER ()) / CASE WHEN stddev_pop(c) OVER () = 0 THEN 1 ELSE stddev_pop(c) OVER () END AS c FROM p),
+d AS (SELECT q.id AS query_id, greatest(least(floor(100.5 - round((abs(q.ra - p.ra) + abs(q.rb - p.rb) + abs(q.rc - p.rc)) / 3, 9)), 100), 0)::INTEGER AS percent, p.id AS match, round((0.25 + greatest(q.a, 0)) * (q.a - p.a) ** 2 + (0.25 + greatest(q.b, 0)) * (q.b - p.b) ** 2 + (0.25 + greatest(q.c, 0)) * (q.c - p.c) ** 2, 9) AS distance FROM z q JOIN z p ON p.id <> q.id WHERE q.id % 20 = 0)
+SELECT query_id, match, round(distance, 6) AS distance, percent FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, match) AS n FROM d) WHERE n = 1"""
 
 
 def _cells(spark, sf_dir):
@@ -158,7 +158,7 @@ CELLS_SQL = "c AS (SELECT DISTINCT r_name AS franchise, n_name AS axis FROM supp
 
 
 def part_funnel(spark, sf_dir):
-    """P1, P3, P8."""
+    """P8."""
     part = table(spark, sf_dir, "part")
     return filters.funnel(part, {"big": F.col("p_size") >= 10, "costly": F.col("p_retailprice") >= 1000, "brand": F.upper("p_brand").endswith("1")})
 
@@ -168,7 +168,7 @@ count(*) FILTER (WHERE p_size >= 10 AND p_retailprice >= 1000 AND upper(p_brand)
 
 
 def part_criteria(spark, sf_dir):
-    """Three queries of criteria over all parts."""
+    """P10: three queries of criteria over all parts."""
     rows = [(1, "size", 1, "range", "p_size", 40.0, None, None), (1, "size", 2, "range", "p_size", 1.0, None, None), (1, "price", 3, "range", "p_retailprice", None, 1500.0, None), (2, "name", 1, "words", None, None, None, "a e"), (3, None, 1, None, None, None, None, None)]
     criteria = spark.createDataFrame(rows, "query_id int, key string, seq int, kind string, field string, lo double, hi double, text string")
     return filters.meets_all(table(spark, sf_dir, "part"), "p_partkey", criteria, ["p_size", "p_retailprice"], "p_name")
@@ -191,10 +191,7 @@ SELECT l_suppkey, games, wins, round_even(points / greatest(games, 1), 1) AS ppg
 def season_leaders(spark, sf_dir):
     """The best of each season, ties included, with enough lines."""
     s = seasons(spark, sf_dir).where("att >= 3")
-    from pyspark.sql import Window
-
-    r = F.rank().over(Window.partitionBy("season").orderBy(F.desc("qty")))
-    return s.withColumn("r", r).where("r = 1").select("season", "l_suppkey", "qty")
+    return s.join(s.groupBy("season").agg(F.max("qty").alias("qty")), ["season", "qty"]).select("season", "l_suppkey", "qty")
 
 
 def names(spark, sf_dir):
@@ -219,6 +216,44 @@ RUN_SQL = """WITH o AS (SELECT l_orderkey, l_linenumber AS slot, max(l_quantity:
 SELECT l_orderkey, slot, total, least(greatest(floor(78 + (10 * total - 470) * 21 / (588.0::DOUBLE - 470) + 0.5), 40), 99)::INTEGER AS ovr FROM t"""
 
 
+def filled_lookup(spark, sf_dir):
+    """A table of every third score and some at 0, filled, and the first score of stated percentiles."""
+    curve = windows.score_ecdf(_scores(spark, sf_dir), "score").where("score % 3 = 0").withColumn("pct", F.when(F.col("score") % 9 == 0, 0.0).otherwise(F.col("pct")))
+    curve = windows.filled_ecdf(curve)
+    wanted = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 101).cast("double").alias("target")).distinct()
+    found = windows.scores_for(curve, wanted, "target")
+    return windows.ecdf_lookup(found, "score", curve, "pct")
+
+
+FILLED_SQL = """WITH s AS (SELECT floor(o_totalprice / 1000)::INTEGER AS score FROM orders), c AS (SELECT score, count(*) AS n FROM s GROUP BY 1), b AS (SELECT min(score) AS lo, max(score) AS hi, sum(n) AS t FROM c),
+g AS (SELECT t, unnest(generate_series(lo, hi))::INTEGER AS score FROM b), e AS (SELECT g.score, round(100.0 * sum(coalesce(n, 0)) OVER (ORDER BY g.score)::DOUBLE / t::DOUBLE, 2) AS pct FROM g LEFT JOIN c ON g.score = c.score),
+k AS (SELECT score, CASE WHEN score % 9 = 0 THEN 0.0 ELSE pct END AS pct FROM e WHERE score % 3 = 0), h AS (SELECT unnest(generate_series(min(score), max(score)))::INTEGER AS score FROM k),
+f AS (SELECT h.score, coalesce(last_value(CASE WHEN pct > 0 THEN pct END IGNORE NULLS) OVER (ORDER BY h.score), 0.0) AS pct FROM h LEFT JOIN k ON k.score = h.score),
+w AS (SELECT DISTINCT (o_custkey % 101)::DOUBLE AS target FROM orders), m AS (SELECT target, coalesce((SELECT min(score) FROM f WHERE pct >= target), (SELECT max(score) FROM f)) AS score FROM w)
+SELECT target, m.score, pct FROM m JOIN f ON f.score = m.score"""
+
+
+def full_runs(spark, sf_dir):
+    """Orders whose lines fill slots one to six, their total, overall and tier."""
+    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 6").select("l_orderkey", "l_linenumber", F.least(F.col("l_quantity").cast("int") * 2 + 30, F.lit(99)).alias("rating"), "l_suppkey")
+    runs = windows.run_scores(line, "l_orderkey", "l_linenumber", "rating", [F.desc("rating"), F.col("l_suppkey")])
+    ovr = scalars.overall(F.col("total"), 588)
+    return runs.withColumn("ovr", ovr).select("l_orderkey", "total", "perfect", "ovr", scalars.tier(F.col("ovr"), scalars.TIER_BOUNDS).alias("tier"))
+
+
+FULL_SQL = """WITH o AS (SELECT l_orderkey, l_linenumber, max(least(trunc(l_quantity)::INTEGER * 2 + 30, 99)) AS rating FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1, 2), t AS (SELECT l_orderkey, sum(rating)::BIGINT AS total, bool_and(rating = 99) AS perfect FROM o GROUP BY 1 HAVING count(*) = 6),
+v AS (SELECT *, least(greatest(floor(78 + (total - 470) * 21 / (588.0::DOUBLE - 470) + 0.5), 40), 99)::INTEGER AS ovr FROM t)
+SELECT *, CASE WHEN ovr >= 99 THEN '99+' WHEN ovr >= 90 THEN '90+' WHEN ovr >= 82 THEN '82+' WHEN ovr >= 74 THEN '74+' WHEN ovr >= 65 THEN '65+' ELSE 'below' END AS tier FROM v"""
+
+
+def loose_ids(spark, sf_dir):
+    """Parts of orders that are not among the large ones, under their successor's key where one is stated."""
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("ids"))
+    loose = joins.dangling(lists, "ids", table(spark, sf_dir, "part").where("p_size >= 5").select(F.col("p_partkey").alias("id")), "id")
+    later = table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") + 1).alias("new"))
+    return joins.with_fallback(loose, "id", later, "old", "new", "current")
+
+
 def drawn_boards(spark, sf_dir):
     """K1, K2: boards for every customer as seed, and a rerolled cell."""
     cells = _cells(spark, sf_dir).select(F.col("axis").alias("cell"), "franchise")
@@ -229,19 +264,28 @@ def drawn_boards(spark, sf_dir):
 
 def digests(spark, sf_dir):
     """Q9."""
-    return quality.digest(table(spark, sf_dir, "orders"))
+    return quality.digest(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("day")))
+
+
+DRAW = "(('0x' || substr(md5({}), 1, 15))::BIGINT % {})"
+BOARD_SQL = f"""WITH {CELLS_SQL}, l AS (SELECT axis AS cell, row_number() OVER (ORDER BY axis) - 1 AS at, count(*) OVER () AS n FROM (SELECT DISTINCT axis FROM c)),
+d AS (SELECT c_custkey AS seed, spin FROM customer, (SELECT unnest(generate_series(1, 6))::INTEGER AS spin)),
+b AS (SELECT seed, spin, cell FROM d JOIN l ON l.at = {DRAW.format("concat_ws('|', seed, spin, 'cell')", "l.n")}),
+o AS (SELECT x.axis AS cell, list_sort(list(DISTINCT y.axis)) AS others FROM c x JOIN c y ON x.franchise = y.franchise AND x.axis <> y.axis GROUP BY 1)
+SELECT seed, spin, b.cell, others[{DRAW.format("concat_ws('|', seed, spin, 'axis', b.cell)", "len(others)")} + 1] AS alternate FROM b LEFT JOIN o ON o.cell = b.cell"""
+DIGEST_SQL = """WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderdate::DATE)), 1, 15))::BIGINT AS h FROM orders) SELECT count(*) AS rows, bit_xor(h) AS xor, sum(h::HUGEINT)::DECIMAL(38, 0) AS sum FROM h"""
 
 
 def archive(spark, sf_dir):
-    """Every January day with its count of events and the day number, newest first."""
+    """Every January day with its count of events, day number and overall: that of the day, else by the count."""
     days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     span = days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
     spine = span.select(F.explode(F.sequence("a", "b")).alias("day"), "a")
-    return spine.join(days, "day", "left").select("day", scalars.day_number(F.col("day"), F.col("a")).alias("number"), F.coalesce("n", F.lit(0)).alias("n"))
+    return spine.join(days, "day", "left").select("day", scalars.day_number(F.col("day"), F.col("a")).alias("number"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.when(F.col("n") % 2 == 0, F.lit(77)), scalars.overall(F.col("n"), 588)).alias("ovr"))
 
 
 ARCHIVE_SQL = """WITH d AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), s AS (SELECT min(day) AS a, max(day) AS b FROM d), g AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day, a FROM s)
-SELECT g.day, (g.day - a + 1)::INTEGER AS number, coalesce(n, 0) AS n FROM g LEFT JOIN d ON d.day = g.day"""
+SELECT g.day, (g.day - a + 1)::INTEGER AS number, coalesce(n, 0) AS n, CASE WHEN n % 2 = 0 THEN 77 WHEN n IS NOT NULL THEN least(greatest(floor(78 + (n - 470) * 21 / (588.0::DOUBLE - 470) + 0.5), 40), 99)::INTEGER END AS ovr FROM g LEFT JOIN d ON d.day = g.day"""
 
 QUERIES = {
     "collapse_lines": (collapse, "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC NULLS LAST, l_linenumber) AS n FROM lineitem) WHERE n = 1"),
@@ -264,7 +308,10 @@ QUERIES = {
     "season_leaders": (season_leaders, f"WITH {S} SELECT season, l_suppkey, qty FROM (SELECT *, rank() OVER (PARTITION BY season ORDER BY qty DESC) AS r FROM s WHERE att >= 3) WHERE r = 1"),
     "normal_names": (names, NAMES_SQL),
     "run_totals": (run_totals, RUN_SQL),
-    "keyed_boards": (drawn_boards, None),
-    "content_digest": (digests, None),
+    "filled_lookup": (filled_lookup, FILLED_SQL),
+    "full_runs": (full_runs, FULL_SQL),
+    "loose_ids": (loose_ids, "WITH l AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 5)) SELECT id, CASE WHEN id IN (SELECT p_partkey FROM part WHERE p_size = 1) THEN id + 1 ELSE id END AS current FROM l"),
+    "keyed_boards": (drawn_boards, BOARD_SQL),
+    "content_digest": (digests, DIGEST_SQL),
     "calendar_archive": (archive, ARCHIVE_SQL),
 }

@@ -93,6 +93,19 @@ def write_document(doc: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_percentiles(ecdf: DataFrame, path: str, **meta: str) -> None:
+    """A score table (score, pct) as one JSON document, sorted, with its ends and ``meta``. A row per whole score, so few."""
+    table = F.array_sort(F.collect_list(F.struct("score", "pct"))).alias("table")
+    doc = ecdf.agg(F.min("score").alias("min"), F.max("score").alias("max"), table)
+    doc.select(*(F.lit(v).alias(k) for k, v in sorted(meta.items())), "min", "max", "table").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_percentiles(spark: SparkSession, path: str) -> DataFrame:
+    """(score, pct) of a document of ``write_percentiles``."""
+    doc = spark.read.schema("table array<struct<score:int,pct:double>>").json(path)
+    return doc.select(F.explode("table").alias("x")).select("x.*")
+
+
 def manifest(df: DataFrame, folder: str, *parts: str) -> DataFrame:
     """Sorted distinct asset paths."""
     return df.select(F.concat(F.lit(folder + "/"), F.concat_ws("/", *parts)).alias("path")).distinct().orderBy("path")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import rankwright
 from rankwright import sources
 from rankwright.functions import scalars
-from rankwright.functions.normal import inverse_normal
+from rankwright.functions.normal import with_inverse_normal
 from rankwright.operators import filters, joins, quality, ranking, sampling, shrink, windows
 
 
@@ -29,7 +29,7 @@ def test_nothing_here_imports_the_training_data_operators():
 def test_inverse_normal(spark):
     ps = [i / 997 for i in range(1, 997)] + [1e-6, 1 - 1e-6, 1e-5]
     df = spark.createDataFrame([(p,) for p in ps], "p double")
-    for p, x in values(df, "p", inverse_normal(F.col("p"))):
+    for p, x in values(with_inverse_normal(df, F.col("p"), "x"), "p", "x"):
         assert math.isclose(x, NormalDist().inv_cdf(p), abs_tol=1e-11)
 
 
