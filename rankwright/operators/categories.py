@@ -140,7 +140,7 @@ def rate(df: DataFrame, keys: Sequence[str], categories: Sequence[str] = tuple(W
     work = _rounded(work, comps)
     if "shooting" in categories:
         share = NormalDist().cdf((OTHERS_CAP - MEAN) / SPREAD["shooting"])
-        work = work.crossJoin(F.broadcast(ranking.quantile(work, "comp_shooting", share, "_most")))
+        work = work.crossJoin(F.broadcast(ranking.quantiles(work, "comp_shooting", {"_most": share})))
         confined = F.when(is_shooter() | F.col("comp_shooting").isNull(), F.col("comp_shooting")).otherwise(F.least("comp_shooting", "_most"))
         work = _rounded(work, {"comp_shooting": confined}).drop("_most")
     work = ranking.percentile_ranks(work, keys, [Rank(f"comp_{cat}", f"_{cat}", curve=(MEAN, SPREAD.get(cat, 18.0), FLOOR, CAP)) for cat in categories])

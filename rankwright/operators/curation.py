@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankwright.functions import scalars
 from rankwright.operators import joins, ranking, windows
 from rankwright.operators.ranking import Rank
+from rankwright.sources import written
 
 #: Decade curve (mean, sd, floor, cap).
 DECADE_CURVE = (75.0, 9.0, 55.0, 99.0)
@@ -81,9 +82,9 @@ def rosters(members: DataFrame, scored: DataFrame, entries: DataFrame, lineage:
     forced = with_cell(members.join(scored.select(*stints).distinct(), stints, "left_semi").join(stars, ["player_id", "season"], "left_semi"), lineage).select(*cell)
     if manual is not None:
         forced = forced.union(manual.select(*cell))
-    marked = listed.join(forced.distinct().withColumn("forced", F.lit(True)), cell, "left").na.fill(False, ["forced"])
+    marked = written(listed.join(forced.distinct().withColumn("forced", F.lit(True)), cell, "left").na.fill(False, ["forced"]), "listed")
     grid = windows.forced_top(marked, ["decade", "franchise"], "forced", [F.desc("mp"), F.col("id")], k, least)
-    thin = listed.groupBy("decade", "franchise").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    thin = marked.groupBy("decade", "franchise").agg(F.count("*").alias("n")).where(F.col("n") < least)
     return grid.select("decade", "franchise", "id", "place"), thin
 
 

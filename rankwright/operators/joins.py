@@ -36,14 +36,16 @@ def resolve(rows: DataFrame, people: DataFrame, season: str, name: str, ident: s
     Each tier needs a unique id on the people's side and, for tokens, a unique name among the rows
     that are still unmatched. ``last`` and ``first`` are over the column ``name``.
     """
-    people = people.select(season, name, ident).where(f"{season} is not null and {name} is not null")
+    people = written(people.select(season, name, ident).where(f"{season} is not null and {name} is not null"), "people")
     box = rows.select(season, name).where(f"{season} is not null and {name} is not null").distinct()
     out = box.join(unique_lookup(people, [season, name], ident), [season, name], "left").withColumn("tier", F.when(F.col(ident).isNotNull(), "exact"))
+    out = written(out, "resolved")
     for label, token in (("last", last), ("first", first)):
         side = unique_lookup(people.withColumn("_token", token), [season, "_token"], ident).withColumnRenamed(ident, "_id")
         alone = out.where(F.col(ident).isNull()).withColumn("_token", token).groupBy(season, "_token").agg(F.count("*").alias("_n"), F.min(name).alias(name)).where("_n = 1")
         found = alone.join(side, [season, "_token"]).select(season, name, "_id")
         out = out.join(found, [season, name], "left").withColumn("tier", F.when(F.col("_id").isNotNull(), label).otherwise(F.col("tier"))).withColumn(ident, F.coalesce(ident, "_id")).select(season, name, ident, "tier")
+        out = written(out, "resolved")
     if overrides is not None:
         given = overrides.select(season, name, F.col(ident).alias("_id"))
         out = out.join(F.broadcast(given), [season, name], "left").withColumn("tier", F.when(F.col(ident).isNull() & F.col("_id").isNotNull(), "override").otherwise(F.col("tier"))).withColumn(ident, F.coalesce(ident, "_id")).drop("_id")

@@ -7,7 +7,7 @@ how even the buckets are, not the result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,10 +111,10 @@ def desaturated_rank(df: DataFrame, value: str, out: str, zero_rank: float, floo
     return _ranked(df, Rank(value, out, sparse=(zero_rank, floor) if enabled else None), buckets)
 
 
-def quantile(df: DataFrame, value: str, p: float, out: str, buckets: int = 64) -> DataFrame:
-    """One row, the exact quantile by linear interpolation, missing left out; null if there are no values."""
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], buckets: int = 64) -> DataFrame:
+    """One row, the exact quantiles by linear interpolation, missing left out; null if there are no values."""
     counts = written(df.select(F.lit(0).alias("c"), F.lit("").alias("g"), F.col(value).cast("double").alias("v")).where("v is not null").groupBy("c", "g", "v").agg(F.count("*").alias("n")), "values")
-    at = p * (F.col("total") - 1)
-    held = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-    found = positions(counts, buckets).agg(F.max(F.when(held(F.floor(at)), F.col("v"))).alias("lo"), F.max(F.when(held(F.ceil(at)), F.col("v"))).alias("hi"), F.max(at - F.floor(at)).alias("share"))
-    return found.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")).alias(out))
+    held = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("v")))
+    at = {out: F.lit(p) * (F.col("total") - 1) for out, p in shares.items()}
+    found = positions(counts, buckets).agg(*(x for out, k in at.items() for x in (held(F.floor(k)).alias(f"lo_{out}"), held(F.ceil(k)).alias(f"hi_{out}"), F.max(k - F.floor(k)).alias(f"share_{out}"))))
+    return found.select(*((F.col(f"lo_{out}") + (F.col(f"hi_{out}") - F.col(f"lo_{out}")) * F.col(f"share_{out}")).alias(out) for out in shares))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rankwright.functions import scalars
 from rankwright.operators import filters, joins, windows
+from rankwright.sources import written
 
 KEYS = ("player_id", "season")
 
@@ -60,8 +61,9 @@ def _by_normal_name(counted: DataFrame, sums: Sequence[str]) -> DataFrame:
 
 def _identified(counted: DataFrame, people: DataFrame, sums: Sequence[str], weight: str, least: float | None, overrides: DataFrame | None) -> DataFrame:
     """Sums by name turned into sums by id; several names may lead to one id. ``least`` gates the matched share."""
+    counted = written(counted, "counted")
     ids = joins.resolve(counted, people, "season", "name", "player_id", scalars.last_token(F.col("name")), scalars.first_token(F.col("name")), overrides)
-    named = counted.join(ids, ["season", "name"], "left")
+    named = written(counted.join(ids, ["season", "name"], "left"), "named")
     if least is not None:
         joins.match_gate(named, F.col("player_id").isNotNull(), weight, least, "name")
     return named.where("player_id is not null").groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in sums))

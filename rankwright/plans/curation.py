@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankwright.functions import scalars
 from rankwright.operators import curation, filters, joins, quality, ranking, shrink, signals, windows
 from rankwright.plans.rating import curve_sql, pct_sql, table
+from rankwright.sources import written
 
 ABILITIES = ("shooting", "scoring", "playmaking", "defense", "clutch", "rebounding")
 STINT = ("player_id", "season", "team")
@@ -135,7 +136,7 @@ def _manual(spark):
 
 
 def _grid(spark, sf_dir):
-    entries = curation.complete(_entries(spark, sf_dir), ABILITIES)[0]
+    entries = written(curation.complete(_entries(spark, sf_dir), ABILITIES)[0], "entries")
     members = _stints(spark, sf_dir).select(*STINT, "mp")
     scored = _universe(spark, sf_dir)[0]
     return entries, curation.rosters(members, scored, entries, _lineage(spark), _brands(spark), _stars(spark, sf_dir), _manual(spark), 5, 3)
@@ -150,7 +151,7 @@ def thin_decades(spark, sf_dir):
     """C8 of the decade grid."""
     entries = curation.complete(_entries(spark, sf_dir), ABILITIES)[0]
     members = _stints(spark, sf_dir).select(*STINT, "mp")
-    return curation.rosters(members, _universe(spark, sf_dir)[0], entries, _lineage(spark), _brands(spark), _stars(spark, sf_dir), None, 5, 60)[1]
+    return curation.rosters(members, _universe(spark, sf_dir)[0], entries, _lineage(spark), _brands(spark), _stars(spark, sf_dir), None, 5, 86)[1]
 
 
 G = f"""{D}, a AS (SELECT t.player_id, t.season, t.mp, CASE WHEN t.team = 'N' THEN 'A' ELSE t.team END AS franchise, greatest(t.season // 10 * 10, 1950)::VARCHAR || 's' AS decade FROM t SEMI JOIN u ON t.player_id = u.player_id AND t.season = u.season AND t.team = u.team),
@@ -249,7 +250,7 @@ n AS (SELECT count(*) AS expected, count(*) FILTER (WHERE name IN (SELECT name F
 def exact_quantiles(spark, sf_dir):
     """Quantiles of all prices."""
     line = table(spark, sf_dir, "lineitem").select("l_extendedprice")
-    return ranking.quantile(line, "l_extendedprice", 0.9452007083, "high").crossJoin(ranking.quantile(line, "l_extendedprice", 0.25, "low")).select(F.round("high", 6).alias("high"), F.round("low", 6).alias("low"))
+    return ranking.quantiles(line, "l_extendedprice", {"high": 0.9452007083, "low": 0.25}).select(F.round("high", 6).alias("high"), F.round("low", 6).alias("low"))
 
 
 def band_accuracy(spark, sf_dir):
@@ -275,7 +276,7 @@ QUERIES = {
     "starred_seasons": (starred_seasons, STAR_SQL),
     "recognized": (recognized, "SELECT DISTINCT l_suppkey AS player_id, (l_orderkey % 70 + 1945)::INTEGER AS season, 1.0::DOUBLE AS share FROM lineitem WHERE l_quantity >= 45"),
     "decade_rosters": (decade_rosters, f"WITH {G} SELECT decade, franchise, id, place FROM g"),
-    "thin_decades": (thin_decades, f"WITH {G} SELECT decade, franchise, count(*) AS n FROM li GROUP BY 1, 2 HAVING count(*) < 60"),
+    "thin_decades": (thin_decades, f"WITH {G} SELECT decade, franchise, count(*) AS n FROM li GROUP BY 1, 2 HAVING count(*) < 86"),
     "shipped_entries": (shipped_entries, SHIP_SQL),
     "grid_axes": (grid_axes, AXES_SQL),
     "pool_ceiling": (pool_ceiling, CEILING_SQL),
