@@ -5,7 +5,7 @@ of MinHash values; each tree of the forest sorts the classes by a rotation of th
 that share the first value of a tree are a region; a region of over ``most_rows`` goes one value
 deeper, again and again, so that the depth adapts to how dense it is. Candidates are the
 neighbours in the sorted order, those with the longest common prefixes, and in dense regions also
-its hubs: the classes that agree most with the region's commonest values. Candidates whose
+its hub, the class that agrees most with the region's commonest values, and the best of a few spread over it. Candidates whose
 signatures are too far apart for the threshold are left; the others are confirmed on the full sets:
 first each class's best candidate, then each component's best to another one, then all that are still between components.
 After each of these, components are contracted, so that links count by component and not by pair. Neighbours and
@@ -49,7 +49,7 @@ class Forest:
     values: int = 64
     most_rows: int = 1000
     deepest: int = 4
-    neighbours: int = 6
+    neighbours: int = 3
     pivots: int = 16
     least_agreeing: float = 0.6
     set_values: int = 2000
@@ -143,15 +143,13 @@ def _near(sigs: np.ndarray, reps: np.ndarray, how: Forest) -> list[tuple[np.ndar
         for c in range(how.values):
             _, back, counts = np.unique(sigs[:, c], return_inverse=True, return_counts=True)
             votes += counts[back]
-        hubs = np.argsort(-votes, kind="stable")[:2]
+        hubs = np.argsort(-votes, kind="stable")[:1]
         pivots = np.unique(np.concatenate([hubs, np.linspace(0, n - 1, min(n, how.pivots)).astype(np.int64)]))
         agree = np.stack([(sigs == sigs[p]).sum(axis=1) for p in pivots], axis=1)
         agree[pivots, np.arange(len(pivots))] = -1
         rows = np.arange(n)
         add(rows, np.full(n, hubs[0]))
-        add(rows, np.full(n, hubs[1]))
-        for place in np.argsort(-agree, axis=1, kind="stable")[:, :2].T:
-            add(rows, pivots[place])
+        add(rows, pivots[np.argmax(agree, axis=1)])
     return out
 
 
