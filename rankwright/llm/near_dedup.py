@@ -333,8 +333,8 @@ def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 def best_of_each(pairs: DataFrame) -> DataFrame:
     """The best pair of each part; of equals the one with the smallest ids."""
     pair = F.struct((-F.col("agree")).alias("less"), "a", "b", "part_a", "part_b")
-    ends = pairs.select(F.explode(F.array("part_a", "part_b")).alias("part"), pair.alias("pair"))
-    best = ends.groupBy("part").agg(F.min("pair").alias("pair")).select("pair.*").distinct()
+    of = lambda side: pairs.groupBy(F.col(side).alias("part")).agg(F.min(pair).alias("pair"))
+    best = of("part_a").union(of("part_b")).groupBy("part").agg(F.min("pair").alias("pair")).select("pair.*").distinct()
     return best.select("a", "b", (-F.col("less")).alias("agree"), "part_a", "part_b")
 
 
