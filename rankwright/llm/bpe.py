@@ -196,7 +196,7 @@ def decode(df: DataFrame, shared, ids: str = "ids", decoded: str = "decoded") ->
         for batch in batches:
             column = batch.column(batch.schema.names.index(ids))
             ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
-            flat = column.flatten().to_pylist()
+            flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
             out = [shared.value.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             yield _with(batch, decoded, pa.array(out, pa.binary()))
 

@@ -128,6 +128,29 @@ def test_quality_counts(spark, texts, hard):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_quality_bands_equal_brute_force(spark, texts):
+    import zstandard
+
+    bands, packer = quality.Bands(), zstandard.ZstdCompressor(level=3)
+    rng = random.Random(5)
+    odd = [(1, "the same words again and again in a row " * 400), (2, " ".join(f"{rng.getrandbits(60):x}" for _ in range(900))), (3, " ".join(f"word{i}" for i in range(40)))]
+    odd += [(i + 10, t) for i, t in list(texts.items())[:150]]
+
+    def outside(raw, lines):
+        limits = [x for x in lines if len(raw) >= x[0]]
+        return bool(limits) and not limits[-1][1] <= len(raw) / len(packer.compress(raw)) <= limits[-1][2]
+
+    kept = {}
+    for r in quality.quality(spark.createDataFrame(odd, SCHEMA).withColumn("ratio", F.lit("clash"))).collect():
+        raw = dict(odd)[r.doc_id].encode()
+        chunks = [raw[a : a + 4096] for a in range(0, len(raw), 4096)]
+        judged = [x for x in chunks if len(x) >= 512]
+        bad = sum(outside(x, bands.chunk) for x in judged)
+        kept[r.doc_id] = r.kept
+        assert r.kept == (not r.base_failed and not outside(raw, bands.whole) and bad <= 0.5 * len(judged))
+    assert not kept[1] and len(set(kept.values())) == 2
+
+
 def test_language_of_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"), "source")
     truth = dict(duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
@@ -207,6 +230,32 @@ def test_pii(spark, texts, hard):
     assert pii.with_pii(hard).where("size(pii) > 0").count() == 0 and pii.with_pii(hard).count() == len(HARD)
 
 
+def test_pii_bootstrap_equals_brute_force(spark):
+    """Rounds of scoring over dictionaries: cues whose known instances are enough make their other tokens known."""
+    rng = random.Random(9)
+    hexes = [f"{rng.getrandbits(128):032x}" for _ in range(30)]
+    words = [f"tok{rng.getrandbits(40):010x}" for _ in range(40)]
+    rows = [(i, f"é {rng.choice(['key', 'pass', 'note', 'id'])}={rng.choice(hexes if rng.random() < 0.5 else words)} and user: {rng.choice(words)}") for i in range(120)]
+    how = pii.Bootstrap()
+    edges = {}
+    for _, t in rows:
+        for m in re.finditer(r"(?<![A-Za-z_])([A-Za-z_]{2,24} ?[=:#] ?)([A-Za-z0-9+/_.@-]{6,})", t):
+            edges[m[1].lower(), m[2]] = bool(re.fullmatch("[0-9a-f]{32,}", m[2]))
+    known = {v: max(float(s) for (_, w), s in edges.items() if w == v) for _, v in edges}
+    for _ in range(how.rounds):
+        held = collections.defaultdict(list)
+        for c, v in edges:
+            held[c].append(known[v])
+        trusted = {c: round(sum(x) / len(x), 9) for c, x in held.items() if round(sum(x) / len(x), 9) >= how.least_share and sum(b >= how.least_instance for b in x) >= how.least_known}
+        for v in known:
+            doubt = np.prod([max(1 - trusted.get(c, 0.0), 1e-6) for c, w in edges if w == v])
+            known[v] = max(max(float(s) for (_, w), s in edges.items() if w == v), 1 - doubt)
+    got = {r.doc_id: [(s.start, s.end) for s in r.pii] for r in pii.with_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {i: [m.span(2) for m in re.finditer(r"(?<![A-Za-z_])([A-Za-z_]{2,24} ?[=:#] ?)([A-Za-z0-9+/_.@-]{6,})", t) if m[1].lower() in trusted] for i, t in rows}
+    assert got == want and trusted and any(want.values())
+    assert pii.with_pii(empty(spark)).count() == 0
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(3)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(90, 400))) for _ in range(6)]
@@ -358,6 +407,50 @@ def test_url_verdicts(spark):
     assert [out[i].verdict for i in range(2, 9)] == ["allow", "block", "block", "allow", "allow", "block", "allow"]
 
 
+def test_url_ranks_equal_brute_force(spark):
+    """Trust and distrust of all hosts against ten rounds over dictionaries."""
+    rng = random.Random(6)
+    hosts = [f"h{i}.d{i % 4}.org" for i in range(12)] + ["d1.org", "b.net", "c.net", "lone.io"]
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['fr', 'de', 'x'])}/{i}", "".join(f'<a href="//{rng.choice(hosts)}/">' for _ in range(rng.randint(0, 3)))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("trust", F.lit("clash"))
+    edges, good, bad = collections.Counter(), collections.Counter(), collections.Counter()
+    every = set()
+    for _, url, html in rows:
+        host, path = re.match(r"http://([^/]+)(.*)", url).groups()
+        out = re.findall(r'href="//([^/]+)/', html)
+        every |= {host, *out}
+        for dst in out:
+            if dst != host:
+                edges[host, dst] += 1
+        if host.endswith(".net"):
+            bad[host] += 1
+        elif host.endswith("org") and path.startswith("/fr/"):
+            good[host] += 1
+    for low in {x for h in every for x in ([h] if h.count(".") < 2 else [h, h.split(".", 1)[1]])}:
+        if low.count(".") >= 2:
+            edges[low, low.split(".", 1)[1]] += 1
+            edges[low.split(".", 1)[1], low] += 1
+
+    def ranks(links, seeds):
+        total, whole = collections.Counter(), sum(seeds.values())
+        for (a, _), w in links.items():
+            total[a] += w
+        base = {h: 0.15 * n / whole for h, n in seeds.items()}
+        rank = dict(base)
+        for _ in range(10):
+            new = collections.Counter(base)
+            for (a, b), w in links.items():
+                new[b] += 0.85 * rank.get(a, 0.0) * w / total[a]
+            rank = new
+        return rank
+
+    trust, distrust = ranks(edges, good), ranks({(b, a): w for (a, b), w in edges.items()}, bad)
+    for r in urls.judge_urls(pages).collect():
+        assert r.trust == pytest.approx(trust.get(r.host, 0.0)) and r.distrust == pytest.approx(distrust.get(r.host, 0.0))
+        assert r.verdict == (dict((h + p, v) for v, h, p in urls.RULES)[r.rule] if r.rule else "block" if distrust.get(r.host, 0.0) > trust.get(r.host, 0.0) * (1 + 1e-9) else "allow")
+    assert urls.judge_urls(pages.limit(0)).count() == 0 and urls.judge_urls(pages.union(pages)).count() == 120
+
+
 def test_url_verdicts_of_tiny_masses(spark):
     rows = [(1, "http://b.net/x", None), (2, "http://c.com/y", '<a href="http://b.net/">'), (3, "http://d.com/", '<a href="//c.com/">'), (4, "http://far.io/", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
