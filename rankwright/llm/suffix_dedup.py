@@ -460,9 +460,10 @@ def cut_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataF
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept holds the remaining bytes."""
     buckets = 8 * shuffle_partitions(df.sparkSession)
     rows, again = row_ids(df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")), "id")
-    named = rows.select(F.col("_row").alias("doc"), "id", text_bytes().alias("raw"))
+    # never null, and the planner is to know it: both joins of the texts then share one exchange
+    named = rows.select(F.coalesce("_row", F.lit(-1)).alias("doc"), text_bytes().alias("raw"), *(["id"] if again else []))
     # of equal rows one is searched, and what is found is cut from all
-    docs = named.select("doc", "raw").dropDuplicates(["doc"]) if again else named.select("doc", "raw")
+    docs = named.select("doc", "raw").dropDuplicates(["doc"]) if again else named
     found = gather(repeated_anchors(docs, buckets), 2)
     spans = gather(removed_spans(docs, found, buckets), 3)
 
@@ -490,7 +491,7 @@ def cut_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataF
             n, r, s, k = zip(*out)
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = named.join(spans, "doc", "left").select("doc", "raw", "block", "id")
+    joined = named.join(spans, "doc", "left").select("doc", "raw", "block", F.col("id" if again else "doc").alias("id"))
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
