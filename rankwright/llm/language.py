@@ -4,8 +4,8 @@ Text: naive Bayes over hashed byte trigrams, trained on a bounded sample of labe
 (``sample_rows``); the evidence of long texts is tempered to ``most_evidence`` trigrams. Web
 evidence of a row is optional: the language that its markup declares, its address suffix, its host.
 Expected counts of languages by declaration, suffix, host and domain are grouped aggregates over
-all rows; host priors are smoothed towards the domain's, and those towards the global one. The
-posterior multiplies what is known.
+all rows; host priors are smoothed towards the domain's, and those towards the global one. A row's
+own text is taken out of every count that it is judged by. The posterior multiplies what is known.
 
 A row is kept when its best posterior reaches ``least_posterior`` and its text fits a known
 language (mean log-likelihood of a trigram at least ``least_fit``). Null, empty and
@@ -108,6 +108,11 @@ def _total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def _others(counts: Column) -> Column:
+    """Counts without the row's own part in them."""
+    return F.zip_with(counts, "own", lambda c, o: F.greatest(c - o, F.lit(0.0)))
+
+
 def _smoothed(counts: Column, prior: Column, weight: float) -> Column:
     total = _total(counts)
     return F.zip_with(counts, prior, lambda c, p: (c + F.lit(weight) * p) / (total + weight))
@@ -120,37 +125,45 @@ def identify(scored: DataFrame, langs: list[str], how: Fusion = Fusion()) -> Dat
     none = F.lit(None)
     if not n:
         return scored.select(*keys, none.cast("string").alias("language"), none.cast("double").alias("posterior"), none.cast("double").alias("fit"), F.lit(False).alias("kept"))
-    scored = written(scored.withColumn("p", F.when(F.col("n_features") > 0, _softmax(F.col("loglik")))), "evidence")
+    zeros = F.array(*[F.lit(0.0)] * n)
+    p = F.when(F.col("n_features") > 0, _softmax(F.col("loglik")))
+    place = F.when(F.col("host").isNotNull(), F.concat_ws("\0", "host", "domain"))
+    scored = written(scored.withColumns({"p": p, "place": place}), "evidence")
 
     seen = scored.where("p is not null")
     overall = seen.agg(*_sums(n)).first()
-    world = [((overall[i] or 0.0) + 1.0) / (sum(overall[j] or 0.0 for j in range(n)) + n) for i in range(n)]
-    everywhere = F.array(*map(F.lit, world))
-    hosts = seen.where("host is not null").groupBy("host", "domain").agg(*_sums(n))
-    hosts = written(hosts, "hosts")
-    domains = hosts.groupBy("domain").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(n)))
-    domains = written(domains.select("domain", _smoothed(_array(n), everywhere, how.host_weight).alias("domain_prior")), "domains")
-    # a host without a domain is smoothed to the global prior
-    priors = sized_join(hosts, domains.where("domain is not null"), "domain")
-    priors = written(priors.groupBy("host").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(n)), F.first("domain_prior").alias("domain_prior")).select("host", _smoothed(_array(n), F.coalesce("domain_prior", everywhere), how.host_weight).alias("prior")), "priors")
-
-    def given(column: str):
-        """How likely each value of ``column`` is under each language, up to a factor."""
+    world = [(overall[i] or 0.0) + 1.0 for i in range(n)]
+    # a place is a host with its domain, if it has one
+    places = written(seen.where("place is not null").groupBy("place", "domain").agg(*_sums(n)), "places")
+    domains = places.where("domain is not null").groupBy("domain").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(n)))
+    domains = written(domains.select("domain", _array(n).alias("domain_n")), "domains")
+    places = written(sized_join(places.select("place", "domain", _array(n).alias("place_n")), domains, "domain").drop("domain"), "places")
+
+    def given(column: str) -> tuple[DataFrame, Column]:
+        """Counts of each value of ``column``, and how likely a row's value is under each language, up to a factor."""
         counts = written(seen.where(f"{column} is not null").groupBy(column).agg(*_sums(n)), column)
         sums = counts.agg(F.count("*").alias("values"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(n))).first()
         least = how.evidence_weight
-        logs = [F.log((F.col(f"n{i}") + least) / F.lit((sums[f"n{i}"] or 0.0) + least * ((sums["values"] or 0) + 1))) for i in range(n)]
-        return written(counts.select(column, F.array(*logs).alias(f"{column}_logs")), column)
-
-    out = sized_join(sized_join(sized_join(scored, priors, "host"), given("declared"), "declared"), given("suffix"), "suffix")
+        rest = F.array(*(F.lit((sums[f"n{i}"] or 0.0) + least * ((sums["values"] or 0) + 1)) for i in range(n)))
+        logs = F.zip_with(_others(F.col(f"{column}_n")), F.zip_with(rest, "own", lambda x, o: x - o), lambda c, x: F.log((c + least) / x))
+        return written(counts.select(column, _array(n).alias(f"{column}_n")), column), F.coalesce(logs, zeros)
+
+    declared, declared_logs = given("declared")
+    suffix, suffix_logs = given("suffix")
+    out = sized_join(sized_join(sized_join(scored, places, "place"), declared, "declared"), suffix, "suffix")
+    out = out.withColumn("own", F.coalesce("p", zeros))
+    everywhere = F.zip_with(F.array(*map(F.lit, world)), "own", lambda x, o: (x - o) / (F.lit(sum(world)) - _total(F.col("own"))))
+    out = out.withColumn("everywhere", everywhere)
+    out = out.withColumn("prior", F.coalesce(_smoothed(_others(F.col("domain_n")), F.col("everywhere"), how.host_weight), "everywhere"))
+    out = out.withColumn("prior", F.coalesce(_smoothed(_others(F.col("place_n")), F.col("prior"), how.host_weight), "everywhere"))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    zeros = F.array(*[F.lit(0.0)] * n)
-    logs = add(F.col("loglik"), F.transform(F.coalesce("prior", everywhere), lambda x: F.log(x)))
-    logs = add(add(logs, F.coalesce("declared_logs", zeros)), F.coalesce("suffix_logs", zeros))
-    fused = F.transform(_softmax(logs), lambda x: F.round(x, 9))
+    logs = add(F.col("loglik"), F.transform("prior", lambda x: F.log(x)))
+    out = out.withColumn("logs", add(add(logs, declared_logs), suffix_logs))
+    fused = F.transform(_softmax(F.col("logs")), lambda x: F.round(x, 9))
     out = out.withColumn("fused", F.when(F.col("n_features") > 0, fused)).withColumn("posterior", F.array_max("fused"))
     names = F.array(*map(F.lit, langs))
-    language = F.element_at(names, F.array_position("fused", F.col("posterior")).cast("int"))
+    # element_at of a null place is not null where no element is
+    language = F.when(F.col("posterior").isNotNull(), F.element_at(names, F.array_position("fused", F.col("posterior")).cast("int")))
     kept = F.coalesce((F.col("posterior") >= how.least_posterior) & (F.col("fit") >= how.least_fit), F.lit(False))
     return out.select(*keys, language.alias("language"), "posterior", "fit", kept.alias("kept"))
 
