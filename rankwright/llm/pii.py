@@ -3,9 +3,9 @@
 Base kinds (email, ip, card, phone) are the leftmost matches of fixed patterns, those that fail
 their test dropped. The contextual method starts from seed entities (the base finds and key-like
 tokens of known shape). The lexical cue right before a seed, such as ``password=``, is a pattern;
-patterns and the tokens that follow them form a graph. Round by round a pattern is scored by the
-share of its instances that are known, and an instance by the patterns that hold it; what
-high-confidence patterns hold becomes known, and is a span of kind ``secret``.
+patterns and the tokens that follow them form a graph. Round by round, until nothing changes, a pattern is
+scored by the share of its instances that are known, and an instance by the patterns that hold it;
+what high-confidence patterns hold becomes known, and is a span of kind ``secret``.
 
 All of it is DataFrame and SQL expressions. Only texts that can match a pattern are given to it.
 
@@ -33,15 +33,17 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CUED = r"""(?<![A-Za-z_])([A-Za-z_]{2,24}+["']?+\x20?+[=:#]\x20?+["']?+)([A-Za-z0-9+/_.@-]{6,}+)"""
 #: Shapes of tokens that are taken as seeds where they follow a cue.
 SEED_SHAPES = r"^(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16})$"
+#: Matches that are folded at a time.
+BLOCK = 64
 KINDS = ("email", "ip", "card", "phone")
 _BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """Rounds, and what makes a pattern trusted: distinct known instances and their share."""
+    """Most rounds, and what makes a pattern trusted: distinct known instances and their share."""
 
-    rounds: int = 3
+    rounds: int = 10
     least_known: int = 5
     least_share: float = 0.5
     least_instance: float = 0.5
@@ -50,19 +52,37 @@ class Bootstrap:
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as array of (start, end, value), in code points.
 
-    The text is split at the matches; starts are the running lengths of gaps and matches.
+    The text is split at the matches; starts are the running lengths of gaps and matches, summed over
+    blocks of ``BLOCK`` matches and then within each, so that a fold never copies a long array.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    both = F.arrays_zip(gaps.alias("gap"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    return _let(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda both: _let(_blocks(both), _placed))
+
+
+def _let(x: Column, body) -> Column:
+    """``body`` of ``x``, which is computed once however often ``body`` refers to it."""
+    return F.transform(F.array(x), body)[0]
+
+
+def _blocks(xs: Column) -> Column:
+    last = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * BLOCK + 1, BLOCK))
+
+
+def _placed(blocks: Column) -> Column:
+    """Structs of start, end and value from blocks of (gap, value), the last of which has no value."""
+    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))))
+    none = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(sizes, none, lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
 
     def step(acc, x):
         at = acc["pos"] + x["gap"]
         end = at + F.length(x["value"])
         return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out")))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    within = lambda b, start: F.aggregate(b, F.struct(start.alias("pos"), _none().alias("out")), step, lambda acc: acc["out"])
+    return _let(starts, lambda at: F.flatten(F.transform(blocks, lambda b, i: within(b, at[i]))))
 
 
 def luhn(digits: Column) -> Column:
@@ -103,14 +123,19 @@ def trusted_patterns(edges: DataFrame, how: Bootstrap = Bootstrap()) -> DataFram
     """(cue, score) of the high-confidence patterns of (cue, value, seed) edges.
 
     Each round: patterns are scored by their known instances, the trusted ones make their
-    instances known with one minus the product of the patterns' doubts.
+    instances known with one minus the product of the patterns' doubts. The rounds end when one
+    changes no score of a trusted pattern (beliefs only rise, so none is lost), or after ``how.rounds``.
     """
     edges = written(edges.groupBy("cue", "value").agg(F.max("seed").alias("seed")), "edges")
     known = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    trusted = None
+    trusted, before = None, None
     for _ in range(how.rounds):
         scored = edges.join(known, "value").groupBy("cue").agg(F.avg("belief").alias("score"), F.count_if(F.col("belief") >= how.least_instance).alias("n_known"))
         trusted = written(scored.where((F.round("score", 9) >= how.least_share) & (F.col("n_known") >= how.least_known)).select("cue", F.round("score", 9).alias("score")), "patterns")
+        state = trusted.agg(F.count("*"), F.round(F.sum("score"), 6)).first()
+        if state == before or not state[0]:
+            break
+        before = state
         doubt = F.sum(F.log(F.greatest(1 - F.coalesce("score", F.lit(0.0)), F.lit(1e-6))))
         believed = edges.join(trusted, "cue", "left").groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"), (1 - F.exp(doubt)).alias("found"))
         known = written(believed.select("value", F.greatest("seed", "found").alias("belief")), "known")

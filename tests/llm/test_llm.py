@@ -162,6 +162,57 @@ def test_language_of_held_out_rows(spark):
     assert language.languages(no_labels, spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).where("kept").count() == 0
 
 
+def test_language_fusion_equals_brute_force(spark):
+    """Each row's own posterior is taken out of the counts of its host, domain, suffix and declaration."""
+    rng, how, langs = random.Random(4), language.Fusion(), ["a", "b", "c"]
+    rows = []
+    for i in range(60):
+        host = rng.choice(["x.d.co", "y.d.co", "z.e.org", "src", None])
+        domain = ".".join(host.split(".")[-2:]) if host and "." in host else None
+        suffix = domain and domain.split(".")[-1]
+        rows.append((i, [rng.uniform(-9, 0) for _ in langs], -5.0 if i % 9 else None, 10 if i % 9 else 0, rng.choice(["a", "b", None]), suffix, host, domain))
+    rows.append(rows[3])
+
+    def softmax(x):
+        e = np.exp(np.array(x) - max(x))
+        return e / e.sum()
+
+    own = [softmax(r[1]) if r[3] else np.zeros(3) for r in rows]
+    sums = lambda k, value, i: sum((p for j, (r, p) in enumerate(zip(rows, own)) if r[k] == value and j != i), np.zeros(3))
+    want = []
+    for i, r in enumerate(rows):
+        world = sum((p for j, p in enumerate(own) if j != i), np.ones(3))
+        prior = world / world.sum()
+        for k in (7, 6):
+            if r[k] is not None:
+                c = sums(k, r[k], i)
+                prior = (c + how.host_weight * prior) / (c.sum() + how.host_weight)
+        logs = np.array(r[1]) + np.log(prior)
+        for k in (4, 5):
+            if r[k] is not None:
+                values = {x[k] for x in rows if x[3] and x[k] is not None}
+                total = sum((p for j, (x, p) in enumerate(zip(rows, own)) if x[k] is not None and j != i), np.zeros(3))
+                logs += np.log((sums(k, r[k], i) + how.evidence_weight) / (total + how.evidence_weight * (len(values) + 1)))
+        post = softmax(logs)
+        want.append((i if i < 60 else 3, langs[int(post.argmax())] if r[3] else None, round(float(post.max()), 7) if r[3] else None))
+    scored = spark.createDataFrame(rows, "doc_id long, loglik array<double>, fit double, n_features long, declared string, suffix string, host string, domain string")
+    got = [(r.doc_id, r.language, r.posterior and round(r.posterior, 7)) for r in language.identify(scored, langs).collect()]
+    close = lambda x, y: x[:2] == y[:2] and (x[2] == y[2] or abs(x[2] - y[2]) < 1e-6)
+    assert len(got) == 61 and all(map(close, sorted(got, key=str), sorted(want, key=str)))
+    assert language.identify(scored.limit(0), langs).count() == 0
+
+
+def test_language_of_hard_tables(spark):
+    """Nulls, empty and repeated rows, clashing columns, and empty tables of either kind."""
+    pages = spark.createDataFrame([(1, "http://a.b.c/de/1", '<html lang="de">'), (2, None, None), (None, "http://a.b.c/1", "")], "page_id long, url string, html string")
+    docs = spark.createDataFrame([(i, t, "en" if i else None, None, "x") for i, t in HARD], "doc_id long, text string, lang string, source string, host string")
+    got = language.languages(docs, pages).collect()
+    assert len(got) == len(HARD)
+    assert {r.doc_id: r.language for r in got} == {i: "en" if t and t.strip() else None for i, t in HARD}
+    assert language.languages(docs.limit(0), pages).count() == 0
+    assert language.languages(docs, pages.limit(0)).count() == len(HARD)
+
+
 def test_decontamination(spark, texts, hard):
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
     found = collections.defaultdict(set)
@@ -230,6 +281,14 @@ def test_pii(spark, texts, hard):
     assert pii.with_pii(hard).where("size(pii) > 0").count() == 0 and pii.with_pii(hard).count() == len(HARD)
 
 
+def test_pii_of_many_matches_in_one_text(spark):
+    """Positions over several blocks, block ends included; time in proportion to the matches."""
+    sizes = [pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 2 * pii.BLOCK, 30000]
+    rows = [(i, "".join(f"é{k} x{k}@mail.example.com 10.0.{k % 256}.7;" for k in range(n))) for i, n in enumerate(sizes)]
+    for r in pii.with_pii(spark.createDataFrame(rows, SCHEMA)).select("text", F.filter("pii", lambda s: s["kind"] != "secret").alias("pii")).collect():
+        assert [(s.kind, s.start, s.end) for s in r.pii] == base(r.text)
+
+
 def test_pii_bootstrap_equals_brute_force(spark):
     """Rounds of scoring over dictionaries: cues whose known instances are enough make their other tokens known."""
     rng = random.Random(9)
@@ -242,11 +301,15 @@ def test_pii_bootstrap_equals_brute_force(spark):
         for m in re.finditer(r"(?<![A-Za-z_])([A-Za-z_]{2,24} ?[=:#] ?)([A-Za-z0-9+/_.@-]{6,})", t):
             edges[m[1].lower(), m[2]] = bool(re.fullmatch("[0-9a-f]{32,}", m[2]))
     known = {v: max(float(s) for (_, w), s in edges.items() if w == v) for _, v in edges}
+    trusted = before = None
     for _ in range(how.rounds):
         held = collections.defaultdict(list)
         for c, v in edges:
             held[c].append(known[v])
         trusted = {c: round(sum(x) / len(x), 9) for c, x in held.items() if round(sum(x) / len(x), 9) >= how.least_share and sum(b >= how.least_instance for b in x) >= how.least_known}
+        if trusted == before:
+            break
+        before = trusted
         for v in known:
             doubt = np.prod([max(1 - trusted.get(c, 0.0), 1e-6) for c, w in edges if w == v])
             known[v] = max(max(float(s) for (_, w), s in edges.items() if w == v), 1 - doubt)
