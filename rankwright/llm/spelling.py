@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 
 from rankwright.llm.common import discard, session, shuffle_partitions, sized_join, table, text_bytes, written
 
-_RUN = re.compile("[a-zÀ-ÿ]+")
-#: Words and characters that a task counts before it sends them on.
-HELD_WORDS, HELD_CHARS = 200_000, 16 << 20
+#: Distinct words, and bytes of text, that a task counts before it sends the counts on.
+HELD_WORDS, HELD_CHARS = 200_000, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -50,44 +49,45 @@ class Spelling:
     block_cells: int = 1 << 18
 
 
-def runs_of(doc: str, raw: bytes, damage: int = 0) -> Counter:
-    """Words of one text with their counts."""
-    # lower-casing bytes changes A-Z only
-    found = Counter(_RUN.findall(raw.lower().decode("utf-8", "replace")))
-    if not damage:
-        return found
-    start, out = f"{doc}:".encode(), Counter()
-    for run, n in found.items():
-        h = crc32(start + run.encode())
-        if h % damage == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        out[run] += n
-    return out
+def counted(held: Counter, doc: str, raw: bytes, runs: re.Pattern, how: Spelling) -> int:
+    """Add the words of one text to ``held``; returns how many characters of runs it had."""
+    # lower-casing bytes changes A-Z only; shorter runs give no words
+    found = runs.findall(raw.lower().decode("utf-8", "replace"))
+    held.update(found)
+    if how.damage:
+        start = crc32(f"{doc}:".encode())
+        hit = [run for run in set(found) if crc32(run.encode(), start) % how.damage == 0]
+        sizes = Counter(found) if hit else {}
+        for run in hit:
+            at = crc32(run.encode(), start) % len(run)
+            word = run[:at] + run[at + 1 :]
+            held[run] -= sizes[run]
+            if len(word) >= how.least_chars:
+                held[word] += sizes[run]
+    return len(raw)
 
 
 def vocabulary(docs: DataFrame, how: Spelling = Spelling(), text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(word, n) of the words that are long and frequent enough."""
 
     def batch_of(held):
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+        words = [w for w, n in held.items() if n]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
 
     def run(batches):
+        runs = re.compile("[a-zÀ-ÿ]{%d,}" % how.least_chars)
         held, chars = Counter(), 0
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for word, n in runs_of(doc_id or "", raw.as_py(), how.damage).items():
-                    if len(word) >= how.least_chars:
-                        held[word] += n
-                        chars += len(word)
+                chars += counted(held, doc_id or "", raw.as_py(), runs, how)
                 if len(held) > HELD_WORDS or chars > HELD_CHARS:
                     yield batch_of(held)
                     held, chars = Counter(), 0
         if held:
             yield batch_of(held)
 
-    counted = docs.select(F.col(doc).cast("string"), text_bytes(text)).mapInArrow(run, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= how.least_n)
+    found = docs.select(F.col(doc).cast("string"), text_bytes(text)).mapInArrow(run, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= how.least_n)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
