@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankwright.llm import bpe, decontaminate, hard_negatives, language, lm_score, near_dedup, pii, quality, spelling, suffix_dedup, urls, warc
+from rankwright.llm import bpe, decontaminate, hard_negatives, language, lm_score, near_dedup, pii, quality, secret_scan, spelling, suffix_dedup, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filters": urls.op10_url_filters,
+    "op11_secrets": secret_scan.op11_secrets,
     "op12_spelling": spelling.op12_spelling,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
@@ -24,6 +25,7 @@ ORACLE_SQL = {
     "op6_decontamination": decontaminate.SQL_OP6,
     "op8_suffix_dedup": suffix_dedup.SQL_OP8,
     "op9_near_dedup": near_dedup.SQL_OP9,
+    "op11_secrets": secret_scan.SQL_OP11,
     "op12_spelling": spelling.SQL_OP12,
     "op13_hard_negatives": hard_negatives.SQL_OP13,
 }
