@@ -35,14 +35,18 @@ SLACK = 1e-6
 
 @dataclass(frozen=True)
 class Mining:
-    """``low`` and ``high`` in per cent of the positive's score; the others bound the tree, its sample and a task's share."""
+    """``low`` and ``high`` in per cent of the positive's score; the others bound the tree, its sample and a task's share.
+
+    Leaves are as large as parts: where rows of many dimensions leave the ranges nothing to exclude, every anchor reaches every
+    leaf, and its best of each are sent on.
+    """
 
     positives: int = 5
     negatives: int = 3
     low: int = 50
     high: int = 95
     fanout: int = 8
-    leaf_rows: int = 512
+    leaf_rows: int = 4096
     most_leaves: int = 1024
     sample_rows: int = 4096
     most_rows: int = 4096
