@@ -1,4 +1,4 @@
-"""Predicates, funnels and batches of criteria."""
+"""Predicates and funnels; batches of criteria are matched in ``criteria``."""
 
 from __future__ import annotations
 
@@ -63,29 +63,3 @@ def funnel(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
         held = held & F.coalesce(step, F.lit(False))
         counts.append(F.count_if(held).alias(name))
     return df.agg(*counts)
-
-
-def meets_all(rows: DataFrame, ident: str, criteria: DataFrame, fields: Sequence[str], name: str | None = None, label: str | None = None) -> DataFrame:
-    """P10: (query_id, id) of the rows that meet all criteria of a query.
-
-    ``criteria`` has query_id, key, kind (``range`` of a stat, rating or season; ``decade``, which starts at lo; ``words`` of the
-    name; ``suffix`` of the label), field, lo, hi, text and seq; the first of
-    each key counts, by seq. A missing value counts as 0. A query whose criteria are null matches every row.
-    Criteria are a stated set, at most 10,000, and are broadcast.
-    """
-    n = criteria.count()
-    if n > 10_000:
-        raise ValueError(f"{n} criteria; give them in blocks of 10,000 at most")
-    firsts = criteria.groupBy("query_id", "key").agg(F.min(F.struct("seq", "kind", "field", "lo", "hi", "text")).alias("c"))
-    queries = firsts.groupBy("query_id").agg(F.collect_list("c").alias("cs"))
-    values = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in fields)))
-    held = rows.select(F.col(ident), values.alias("_values"), (F.lower(F.col(name)) if name else F.lit("")).alias("_name"), (F.lower(F.col(label)) if label else F.lit("")).alias("_label"))
-
-    def met(c):
-        v = F.try_element_at("_values", c["field"])
-        inside = (v >= F.coalesce(c["lo"], F.lit(float("-inf")))) & (v <= F.coalesce(c["hi"], F.lit(float("inf"))))
-        words = F.forall(F.split(F.lower(F.coalesce(c["text"], F.lit(""))), " "), lambda w: F.contains(F.col("_name"), w))
-        suffix = F.coalesce(F.endswith(F.col("_label"), F.lower(c["text"])), F.lit(False))
-        return F.when(c["kind"] == "range", inside).when(c["kind"] == "decade", v.between(c["lo"], c["lo"] + 9)).when(c["kind"] == "words", words).when(c["kind"] == "suffix", suffix).otherwise(True)
-
-    return held.join(F.broadcast(queries), F.forall("cs", met)).select("query_id", ident)

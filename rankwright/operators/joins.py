@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwright.operators.scan import first_reaching
 from rankwright.sources import written
 
 
@@ -59,12 +60,11 @@ def expand_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, v
 
 
 def as_of(df: DataFrame, code: str, at: Column, eras: DataFrame, until: str, value: str, out: str) -> DataFrame:
-    """Value of the first era that has not ended; missing if all have. ``eras`` is a small dimension."""
-    lists = eras.groupBy(F.col(code).alias("_code")).agg(F.array_sort(F.collect_list(F.struct(F.col(until).alias("until"), F.col(value).alias("value")))).alias("_eras"))
-    joined = df.withColumn("_at", at).join(lists, F.col(code) == F.col("_code"), "left")
-    # out of a short sorted list, so each row stays one row
-    first = F.try_element_at(F.filter("_eras", lambda e: e["until"] >= F.col("_at")), F.lit(1))
-    return joined.withColumn(out, first["value"]).drop("_at", "_code", "_eras")
+    """Value of the first era that has not ended (of equal ends the smallest); missing if all have.
+
+    Rows and eras are merged in ranges of (code, time), so both may be of any size and a hot code is split.
+    """
+    return first_reaching(df, at, eras, F.col(until), F.col(value), out, {code: code})
 
 
 def nearest(queries: DataFrame, pool: DataFrame, ident: str, dims: Sequence[str], out: str = "match") -> DataFrame:

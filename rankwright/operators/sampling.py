@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwright.operators.scan import numbered
+from rankwright.sources import by_size, written
+
 
 def draw_index(n: Column, *keys: Column) -> Column:
     """K1: an index in [0, n) from the first 60 bits of the MD5 of the keys; 0 if there is nothing to draw from."""
@@ -13,13 +16,12 @@ def draw_index(n: Column, *keys: Column) -> Column:
 
 
 def boards(seeds: DataFrame, cells: DataFrame, spins: int = 6) -> DataFrame:
-    """K1: (seed, spin, cell) for every seed; ``cells`` is a grid axis of at most 100,000 cells."""
-    n = cells.select("cell").distinct().count()
-    if n > 100_000:
-        raise ValueError("too many cells to number in one task")
-    listed = cells.select("cell").distinct().withColumn("_at", F.row_number().over(Window.orderBy("cell")) - 1)
+    """K1: (seed, spin, cell) for every seed; cells are numbered in their order, whatever their count."""
+    listed = written(numbered(cells.select("cell").distinct(), [F.col("cell")], "_at"), "cells")
+    n = listed.count()
     spun = seeds.select("seed", F.explode(F.sequence(F.lit(1), F.lit(spins))).alias("spin"))
-    return spun.withColumn("_at", draw_index(F.lit(n), F.col("seed"), F.col("spin"), F.lit("cell"))).join(F.broadcast(listed), "_at").select("seed", "spin", "cell")
+    drawn = spun.withColumn("_at", draw_index(F.lit(n), F.col("seed"), F.col("spin"), F.lit("cell")).cast("long"))
+    return by_size(drawn, listed, ["_at"]).select("seed", "spin", "cell")
 
 
 def reroll(drawn: DataFrame, alternates: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwright.functions import scalars
+from rankwright.operators.scan import first_reaching, scan
+from rankwright.sources import by_size, written
+
+#: Scores that one row is expanded into at a time.
+BLOCK = 4096
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -60,24 +65,42 @@ def streaks(days: DataFrame, user: str, day: str, today: Column) -> DataFrame:
 
 
 def running_total(value: str, keys: Sequence[str], order: Sequence[Column]) -> Column:
-    """W16, W17."""
+    """W16, W17, within keys that are many and small; sums over all rows or hot groups are ``scan``'s."""
     return F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def score_ecdf(df: DataFrame, score: str, groups: Sequence[str] = (), ceiling: int | None = None) -> DataFrame:
-    """(score, pct) for every whole score from the lowest to the ceiling, per group.
+def score_steps(df: DataFrame, score: str, groups: Sequence[str] = (), ceiling: int | None = None) -> DataFrame:
+    """(score, until, n, pct) of the whole scores that occur, per group: each share holds from its score to ``until``.
 
-    The histogram is tiny (a row per score), so the running sum is over few rows per group.
+    A distributed running sum over distinct scores: a row per score that occurs, however far apart they are.
     """
-    keys = list(groups) or ["_all"]
-    base = df if groups else df.withColumn("_all", F.lit(1))
-    counts = base.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("int").alias("score")).agg(F.count("*").alias("_n"))
+    keys = list(groups)
+    counts = written(df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("int").alias("score")).agg(F.count("*").alias("n")), "counts")
     top = F.max("score") if ceiling is None else F.greatest(F.max("score"), F.lit(ceiling))
-    spine = counts.groupBy(*keys).agg(F.min("score").alias("_lo"), top.alias("_hi"), F.sum("_n").alias("_total")).select(*keys, "_total", F.explode(F.sequence("_lo", "_hi")).alias("score"))
-    dense = spine.join(counts, [*keys, "score"], "left").na.fill(0, ["_n"])
-    run = running_total("_n", keys, [F.col("score")])
-    out = dense.select(*keys, "score", F.round(100.0 * run / F.col("_total"), 2).alias("pct"))
-    return out if groups else out.drop("_all")
+    ends = counts.groupBy(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys))).agg(F.sum("n").alias("_total"), top.alias("_top"))
+    run = scan(counts, keys, [F.col("score")], sums={"_run": F.col("n")}, nexts={"_next": F.col("score")})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    both = run.join(ends, same) if keys else run.crossJoin(F.broadcast(ends))
+    return both.select(*keys, "score", F.coalesce(F.col("_next") - 1, "_top").alias("until"), "n", F.round(100.0 * F.col("_run") / F.col("_total"), 2).alias("pct"))
+
+
+def every_score(steps: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(score, pct) for every whole score of (score, until, pct). A long step is dealt out in blocks before it is expanded."""
+    cut = F.col("until") - F.col("score") >= BLOCK
+    starts = F.when(cut, F.sequence("score", "until", F.lit(BLOCK))).otherwise(F.array("score"))
+    blocks = steps.select(*groups, "pct", "until", F.explode(starts).alias("_from"))
+    blocks = blocks.select(*groups, "pct", "_from", F.least("until", F.col("_from") + BLOCK - 1).alias("_to"))
+    long = F.col("_to") - F.col("_from") == BLOCK - 1
+    n = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.where(~long).unionByName(blocks.where(long).repartition(n, *groups, "_from"))
+    return dealt.select(*groups, F.explode(F.sequence("_from", "_to")).alias("score"), "pct")
+
+
+def score_ecdf(df: DataFrame, score: str, groups: Sequence[str] = (), ceiling: int | None = None) -> DataFrame:
+    """(score, pct) for every whole score from the lowest to the ceiling, per group."""
+    return every_score(written(score_steps(df, score, groups, ceiling), "steps"), groups)
 
 
 def ecdf_anchor(ecdf: DataFrame, pct: float, groups: Sequence[str] = ()) -> DataFrame:
@@ -88,18 +111,25 @@ def ecdf_anchor(ecdf: DataFrame, pct: float, groups: Sequence[str] = ()) -> Data
 
 def filled_ecdf(ecdf: DataFrame) -> DataFrame:
     """The table with a row for every whole score; a score that is not listed, or listed at 0, has the last share before it."""
-    ends = ecdf.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    dense = ends.select(F.explode(F.sequence("_lo", "_hi")).alias("score")).join(ecdf.select("score", "pct"), "score", "left")
-    # a row per whole score, of which there are few
-    last = F.last(F.when(F.col("pct") > 0, F.col("pct")), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("score"))
-    return dense.select("score", F.coalesce(last, F.lit(0.0)).alias("pct"))
+    run = scan(ecdf.select("score", "pct"), [], [F.col("score")], lasts={"_pct": F.when(F.col("pct") > 0, F.col("pct"))}, nexts={"_next": F.col("score")})
+    steps = run.select("score", F.coalesce(F.col("_next") - 1, "score").alias("until"), F.coalesce("_pct", F.lit(0.0)).alias("pct"))
+    return every_score(written(steps, "steps"))
 
 
 def scores_for(ecdf: DataFrame, targets: DataFrame, target: str, out: str = "score") -> DataFrame:
-    """For each of the ``targets`` the smallest score that reaches it, else the highest of the table."""
-    held = ecdf.agg(F.array_sort(F.collect_list(F.struct("score", "pct"))).alias("_table"), F.max("score").alias("_top"))
-    first = F.get(F.filter("_table", lambda x: x["pct"] >= F.col(target)), F.lit(0))["score"]
-    return targets.crossJoin(F.broadcast(held)).withColumn(out, F.coalesce(first, F.col("_top"))).drop("_table", "_top")
+    """For each of the ``targets`` the smallest score that reaches it, else the highest of the table.
+
+    Targets and table are merged in descending order of the share; the smallest score seen so far is the answer, as shares need not rise.
+    """
+    table = ecdf.select(F.col("pct").cast("double").alias("_v"), F.col("score").alias("_score"))
+    kept = F.struct(*(F.col(f"`{c}`") for c in targets.columns)).alias("_row")
+    typed = F.struct(*(F.lit(None).cast(t.dataType).alias(t.name) for t in targets.schema)).alias("_row")
+    mine = targets.select(F.col(target).cast("double").alias("_v"), F.lit(None).cast(table.schema["_score"].dataType).alias("_score"), kept, F.lit(True).alias("_asks"), F.monotonically_increasing_id().alias("_tie"))
+    theirs = table.select("_v", "_score", typed, F.lit(False).alias("_asks"), F.lit(0).cast("long").alias("_tie"))
+    least = scan(theirs.unionByName(mine), [], [F.desc_nulls_first("_v"), F.asc("_asks"), F.asc("_score"), F.asc("_tie")], mins={"_least": F.col("_score")})
+    found = least.where("_asks").crossJoin(F.broadcast(ecdf.agg(F.max("score").alias("_top"))))
+    reached = F.when(F.col("_v").isNotNull(), F.col("_least"))
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in targets.columns if c != out), F.coalesce(reached, "_top").alias(out))
 
 
 def run_scores(picks: DataFrame, run: str, slot: str, rating: str, order: Sequence[Column], slots: int = 6) -> DataFrame:
@@ -112,10 +142,9 @@ def run_scores(picks: DataFrame, run: str, slot: str, rating: str, order: Sequen
 def ecdf_lookup(df: DataFrame, score: str, ecdf: DataFrame, out: str) -> DataFrame:
     """Percentile of a score, clamped to the ends of the table, which has a row for every whole score.
 
-    The table has a row per whole score and is broadcast after its size is checked.
+    The table is broadcast only if it has few rows; beyond that it is joined by score.
     """
-    ends = ecdf.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n")).first()
-    if ends.n > 100_000:
-        raise ValueError("the score table is not one of whole scores in a small range")
+    ecdf = written(ecdf.select(F.col("score").alias("_at"), F.col("pct").alias(out)), "ecdf")
+    ends = ecdf.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
     at = F.least(F.greatest(F.floor(F.col(score) + 0.5).cast("int"), F.lit(ends.lo)), F.lit(ends.hi))
-    return df.drop(out).withColumn("_at", at).join(F.broadcast(ecdf.select(F.col("score").alias("_at"), F.col("pct").alias(out))), "_at", "left").drop("_at")
+    return by_size(df.drop(out).withColumn("_at", F.when(F.col(score).isNotNull(), at)), ecdf, ["_at"], "left").drop("_at")

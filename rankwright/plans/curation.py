@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankwright.functions import scalars
 from rankwright.operators import curation, filters, joins, quality, ranking, shrink, signals, windows
+from rankwright.operators.criteria import matching
 from rankwright.plans.rating import curve_sql, pct_sql, table
 from rankwright.sources import written
 
@@ -225,7 +226,7 @@ def qualified_criteria(spark, sf_dir):
     more = spark.createDataFrame([(3, "season", 5, "decade", "peak_season", 1980.0, None, None), (3, "team:ds", 6, "suffix", None, None, None, "DS")], "query_id int, key string, seq int, kind string, field string, lo double, hi double, text string")
     criteria = filters.qualified(wants).unionByName(more)
     rows = _entries(spark, sf_dir).withColumn("label", F.when(F.col("peak_team") == "R", "Reds").otherwise("Ambers"))
-    return filters.meets_all(rows, "id", criteria, [*ABILITIES, "peak_season"], None, "label")
+    return matching(rows, "id", criteria, [*ABILITIES, "peak_season"], None, "label")
 
 
 QUALIFIED_SQL = f"""WITH {D} SELECT 1 AS query_id, id FROM d WHERE coalesce(scoring, 0) >= 90 AND coalesce(defense, 0) <= 45 UNION ALL SELECT 2, id FROM d WHERE coalesce(shooting, 0) >= 70

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankwright.functions import scalars
 from rankwright.operators import filters, joins, quality, sampling, windows
+from rankwright.operators.criteria import matching
 from rankwright.plans.rating import S, seasons, table
 
 
@@ -171,7 +172,7 @@ def part_criteria(spark, sf_dir):
     """P10: three queries of criteria over all parts."""
     rows = [(1, "size", 1, "range", "p_size", 40.0, None, None), (1, "size", 2, "range", "p_size", 1.0, None, None), (1, "price", 3, "range", "p_retailprice", None, 1500.0, None), (2, "name", 1, "words", None, None, None, "a e"), (3, None, 1, None, None, None, None, None)]
     criteria = spark.createDataFrame(rows, "query_id int, key string, seq int, kind string, field string, lo double, hi double, text string")
-    return filters.meets_all(table(spark, sf_dir, "part"), "p_partkey", criteria, ["p_size", "p_retailprice"], "p_name")
+    return matching(table(spark, sf_dir, "part"), "p_partkey", criteria, ["p_size", "p_retailprice"], "p_name")
 
 
 CRITERIA_SQL = """SELECT 1 AS query_id, p_partkey FROM part WHERE p_size >= 40 AND p_retailprice <= 1500

@@ -63,6 +63,14 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def by_size(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", most_rows: int = 100_000) -> DataFrame:
+    """Join; ``small``, a written table, is broadcast only if it has few rows.
+
+    Beyond that both sides are shuffled, and adaptive execution splits skewed keys.
+    """
+    return big.join(F.broadcast(small) if small.count() <= most_rows else small, list(on), how)
+
+
 def save(df: DataFrame, path: str) -> DataFrame:
     """A stage's artifact, read back."""
     df.write.mode("overwrite").parquet(path)

@@ -13,7 +13,7 @@ import rankwright
 from rankwright import sources
 from rankwright.functions import scalars
 from rankwright.functions.normal import with_inverse_normal
-from rankwright.operators import filters, joins, quality, ranking, sampling, shrink, windows
+from rankwright.operators import criteria, filters, joins, quality, ranking, sampling, shrink, windows
 
 
 def values(df, *columns):
@@ -131,8 +131,8 @@ def test_draws_do_not_depend_on_history(spark):
 def test_funnel_and_criteria(spark):
     df = spark.createDataFrame([(1, 5.0, "Ann Lee"), (2, None, "Bo Lee")], "id int, v double, name string")
     assert values(filters.funnel(df, {"v": F.col("v") > 1, "id": F.col("id") > 1}), "*") == [(2, 1, 0)]
-    criteria = spark.createDataFrame([(1, "v", 1, "range", "v", None, 0.0, None), (2, "n", 1, "words", None, None, None, "lee ann")], "query_id int, key string, seq int, kind string, field string, lo double, hi double, text string")
-    assert sorted(values(filters.meets_all(df, "id", criteria, ["v"], "name"), "*")) == [(1, 2), (2, 1)]
+    wanted = spark.createDataFrame([(1, "v", 1, "range", "v", None, 0.0, None), (2, "n", 1, "words", None, None, None, "lee ann")], "query_id int, key string, seq int, kind string, field string, lo double, hi double, text string")
+    assert sorted(values(criteria.matching(df, "id", wanted, ["v"], "name"), "*")) == [(1, 2), (2, 1)]
 
 
 def test_digest_ignores_order(spark):
