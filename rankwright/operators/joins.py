@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,37 +65,6 @@ def as_of(df: DataFrame, code: str, at: Column, eras: DataFrame, until: str, val
     return first_reaching(df, at, eras, F.col(until), F.col(value), out, {code: code})
 
 
-def nearest(queries: DataFrame, pool: DataFrame, ident: str, dims: Sequence[str], out: str = "match") -> DataFrame:
-    """The pool row at the least weighted distance of each query row.
-
-    Values are z-scored over the pool (population deviation, 0 counts as 1); a dimension weighs
-    0.25 plus the query's z above 0; of equals the smallest id wins. ``queries`` is broadcast; more than
-    10,000 rows are dealt into blocks of about half as many, one broadcast after another, and the results are written.
-    ``percent`` is 100 less the mean distance of the values themselves, rounded half up, from 0 to 100.
-    """
-    n = queries.count()
-    if n > 10_000:
-        k = math.ceil(n / 5_000)
-        parts = (queries.where(F.pmod(F.xxhash64(ident), F.lit(k)) == i) for i in range(k))
-        return functools.reduce(DataFrame.union, [written(_nearest(part, pool, ident, dims, out), "nearest") for part in parts])
-    return _nearest(queries, pool, ident, dims, out)
-
-
-def _nearest(queries: DataFrame, pool: DataFrame, ident: str, dims: Sequence[str], out: str) -> DataFrame:
-    sd = lambda d: F.stddev_pop(d)
-    stats = pool.agg(*(F.avg(d).alias(f"_m{i}") for i, d in enumerate(dims)), *(F.when(sd(d) == 0, 1.0).otherwise(sd(d)).alias(f"_s{i}") for i, d in enumerate(dims)))
-    z = lambda t: F.array(*((F.col(f"{t}.{d}") - F.col(f"s._m{i}")) / F.col(f"s._s{i}") for i, d in enumerate(dims)))
-    raw = lambda t: F.array(*(F.col(f"{t}.{d}").cast("double") for d in dims))
-    q = queries.alias("q").crossJoin(F.broadcast(stats).alias("s")).select(F.col(f"q.{ident}").alias("query_id"), z("q").alias("_q"), raw("q").alias("_qv"))
-    p = pool.alias("p").crossJoin(F.broadcast(stats).alias("s")).select(F.col(f"p.{ident}").alias(out), z("p").alias("_p"), raw("p").alias("_pv"))
-    gap = F.aggregate(F.zip_with("_q", "_p", lambda a, b: (0.25 + F.greatest(a, F.lit(0.0))) * (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
-    off = F.aggregate(F.zip_with("_qv", "_pv", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: x + y) / len(dims)
-    pairs = p.join(F.broadcast(q), F.col(out) != F.col("query_id"))
-    best = pairs.groupBy("query_id").agg(F.min(F.struct(F.round(gap, 9).alias("distance"), F.col(out), off.alias("off"))).alias("_best"))
-    percent = F.greatest(F.least(F.floor(F.lit(100.5) - F.round("_best.off", 9)), F.lit(100)), F.lit(0)).cast("int")
-    return best.select("query_id", F.col(f"_best.{out}").alias(out), F.col("_best.distance").alias("distance"), percent.alias("percent"))
-
-
 def alternates(cells: DataFrame, fixed: str, axis: str) -> DataFrame:
     """Other values of ``axis`` for the same ``fixed``."""
     other = cells.select(fixed, F.col(axis).alias("alternate")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankwright.functions import scalars
 from rankwright.operators import filters, joins, quality, sampling, windows
 from rankwright.operators.criteria import matching
+from rankwright.operators.nearest import nearest
 from rankwright.plans.rating import S, seasons, table
 
 
@@ -132,7 +133,7 @@ SELECT o_orderkey, (SELECT min_by(name, until) FROM e WHERE code = o_orderstatus
 def nearest_profile(spark, sf_dir):
     """The nearest supplier-year of the suppliers' whole profiles, for a stated set of suppliers."""
     prof = seasons(spark, sf_dir).groupBy("l_suppkey").agg(F.sum("makes").alias("a"), F.sum("att").alias("b"), F.round(F.sum("qty"), 2).alias("c"))
-    return joins.nearest(prof.where("l_suppkey % 20 = 0"), prof, "l_suppkey", ["a", "b", "c"]).select("query_id", "match", F.round("distance", 6).alias("distance"), "percent")
+    return nearest(prof.where("l_suppkey % 20 = 0"), prof, "l_suppkey", ["a", "b", "c"]).select("query_id", "match", F.round("distance", 6).alias("distance"), "percent")
 
 
 NEAREST_SQL = f"""WITH {S}, p AS (SELECT l_suppkey AS id, sum(makes) AS a, sum(att) AS b, round(sum(qty), 2) AS c FROM s GROUP BY 1),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankwright import sources
 from rankwright.functions import scalars
 from rankwright.operators import categories, curation, filters, grid, joins, quality, ranking, shrink, signals, windows
+from rankwright.operators.nearest import nearest
 from rankwright.operators.ranking import Rank
 
 
@@ -146,7 +147,7 @@ def test_same_content(spark):
 def test_match_percent(spark):
     pool = spark.createDataFrame([(1, 90.0, 80.0), (2, 10.0, 20.0)], "id int, a double, b double")
     query = spark.createDataFrame([(7, 88.0, 79.0)], "id int, a double, b double")
-    assert values(joins.nearest(query, pool, "id", ["a", "b"]), "query_id", "match", "percent") == [(7, 1, 99)]
+    assert values(nearest(query, pool, "id", ["a", "b"]), "query_id", "match", "percent") == [(7, 1, 99)]
 
 
 def test_thin_cells(spark):

@@ -14,6 +14,7 @@ from rankwright import sources
 from rankwright.functions import scalars
 from rankwright.functions.normal import with_inverse_normal
 from rankwright.operators import criteria, filters, joins, quality, ranking, sampling, shrink, windows
+from rankwright.operators.nearest import nearest
 
 
 def values(df, *columns):
@@ -101,7 +102,7 @@ def test_nearest_of_many_queries(spark):
     pool = [(i, float(i * i % 7), float(i)) for i in range(8)]
     queries = [(100 + i, float(i % 7), float(i % 8)) for i in range(10_001)]
     schema = "id long, a double, b double"
-    got = {q: (m, d) for q, m, d in values(joins.nearest(spark.createDataFrame(queries, schema), spark.createDataFrame(pool, schema), "id", ["a", "b"]), "query_id", "match", "distance")}
+    got = {q: (m, d) for q, m, d in values(nearest(spark.createDataFrame(queries, schema), spark.createDataFrame(pool, schema), "id", ["a", "b"]), "query_id", "match", "distance")}
     mean = [sum(p[k] for p in pool) / 8 for k in (1, 2)]
     sd = [math.sqrt(sum((p[k] - mean[k - 1]) ** 2 for p in pool) / 8) for k in (1, 2)]
     z = lambda row: [(row[k] - mean[k - 1]) / sd[k - 1] for k in (1, 2)]
