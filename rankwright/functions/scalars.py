@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and the plain letters they decompose into.
-_FOLDS = [(c, p) for c in map(chr, range(0xC0, 0x250)) if (p := unicodedata.normalize("NFKD", c)[0]) != c and p.isascii()]
-_ACCENTED, _PLAIN = ("".join(x) for x in zip(*_FOLDS))
 #: Name suffixes.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
@@ -32,9 +31,30 @@ def clock_seconds(c: Column) -> Column:
     return F.when(m != "", m.try_cast("double") * 60 + s.try_cast("double"))
 
 
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What is left of each character beyond ASCII, decomposed for compatibility: those of one letter or space, and those of more."""
+    one, more = {}, {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not unicodedata.decomposition(c):
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if "a" <= x <= "z" or x == " ")
+        if plain:
+            (one if len(plain) == 1 else more)[c] = plain
+    return one, more
+
+
 def normal_name(c: Column) -> Column:
-    """folded, lower-cased name of letters and single spaces, without suffixes."""
-    folded = F.translate(c, _ACCENTED, _PLAIN)
+    """folded, lower-cased name of letters and single spaces, without suffixes.
+
+    All characters that decompose for compatibility are folded, those into several letters (ligatures, units) too.
+    """
+    one, more = _folds()
+    expansions = F.create_map(*(F.lit(x) for pair in more.items() for x in pair))
+    # names with such a character are few; only they are taken apart
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(expansions, x), x)), "")
+    whole = F.when(c.rlike("[" + "".join(more) + "]"), apart).otherwise(c)
+    folded = F.translate(whole, "".join(one), "".join(one.values()))
     plain = F.regexp_replace(F.regexp_replace(F.lower(folded), r"[^\x00-\x7F]", ""), "[^a-z ]", "")
     return F.array_join(F.filter(F.split(plain, " +"), lambda t: (t != "") & ~t.isin(*SUFFIXES)), " ")
 
@@ -155,6 +175,12 @@ def perfect(ratings: Column, most: int = 99) -> Column:
     return F.coalesce(F.bool_and(F.coalesce(ratings == most, F.lit(False))), F.lit(False))
 
 
+def row_text(*columns: Column) -> Column:
+    """A text that differs for different rows: each value as its length and itself, a missing one as ``n``."""
+    cell = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n"))
+    return F.concat_ws("|", *map(cell, columns))
+
+
 def by_last_name(name: Column) -> list[Column]:
     """sort keys: the last word of a name, then the whole name."""
     return [F.element_at(F.split(F.trim(name), r"\s+"), -1), name]

@@ -111,8 +111,8 @@ def _rounded(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns({n: F.round(c, 9) for n, c in columns.items()})
 
 
-def rate(df: DataFrame, keys: Sequence[str], categories: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
-    """comp_<category> and <category>, a rating of 0 to 100, of each row; ``keys`` name a row.
+def rate(df: DataFrame, categories: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
+    """comp_<category> and <category>, a rating of 0 to 100, of each row.
 
     Components are shrunk and ranked in one pass, archetypes made and ranked again, composites made, those of
     non-shooters confined below the composite whose rating is the cap, and all composites ranked and curved in one pass.
@@ -122,7 +122,7 @@ def rate(df: DataFrame, keys: Sequence[str], categories: Sequence[str] = tuple(W
     work = _rounded(df, {f"c_{n}": c for n, c in parts.items()})
     if shrunk := [n for n in parts if n in CREDIBILITY]:
         work = _rounded(credible(work, shrunk), {f"c_{n}": F.col(f"c_{n}") for n in shrunk})
-    work = ranking.percentile_ranks(work, keys, [_rank(n) for n in parts])
+    work = ranking.percentile_ranks(work, [_rank(n) for n in parts])
     of = lambda weights: shrink.weighted_composite({f"rk_{n}": w for n, w in weights.items()})
     again = {}
     if "defense" in categories:
@@ -130,7 +130,7 @@ def rate(df: DataFrame, keys: Sequence[str], categories: Sequence[str] = tuple(W
     if "clutch" in categories:
         again["clutch_box"] = of(CLUTCH_BOX)
     if again:
-        work = ranking.percentile_ranks(_rounded(work, {f"c_{n}": c for n, c in again.items()}), keys, [Rank(f"c_{n}", f"rk_{n}") for n in again])
+        work = ranking.percentile_ranks(_rounded(work, {f"c_{n}": c for n, c in again.items()}), [Rank(f"c_{n}", f"rk_{n}") for n in again])
     if "clutch" in categories:
         arm = lambda rank, count, full: F.col(rank) * scalars.clip(F.col(count) / full, 0.0, 1.0)
         work = work.withColumn("rk_clutch_best", shrink.best_of(F.col("rk_clutch_box"), arm("rk_clutch_shots", "gw_po", CROWN), arm("rk_clutch_time", "ct_g", FULL_GAMES)))
@@ -143,7 +143,7 @@ def rate(df: DataFrame, keys: Sequence[str], categories: Sequence[str] = tuple(W
         work = work.crossJoin(F.broadcast(ranking.quantiles(work, "comp_shooting", {"_most": share})))
         confined = F.when(is_shooter() | F.col("comp_shooting").isNull(), F.col("comp_shooting")).otherwise(F.least("comp_shooting", "_most"))
         work = _rounded(work, {"comp_shooting": confined}).drop("_most")
-    work = ranking.percentile_ranks(work, keys, [Rank(f"comp_{cat}", f"_{cat}", curve=(MEAN, SPREAD.get(cat, 18.0), FLOOR, CAP)) for cat in categories])
+    work = ranking.percentile_ranks(work, [Rank(f"comp_{cat}", f"_{cat}", curve=(MEAN, SPREAD.get(cat, 18.0), FLOOR, CAP)) for cat in categories])
     out = work.withColumns({cat: scalars.half_even(F.col(f"_{cat}")) for cat in categories})
     if "shooting" in categories:
         out = out.withColumn("shooting", F.when(is_shooter(), F.col("shooting")).otherwise(scalars.clip(F.col("shooting"), high=OTHERS_CAP)))

@@ -52,7 +52,7 @@ def decade_entries(scored: DataFrame, lineage: DataFrame, abilities: Sequence[st
     overall = F.when(known > 0, F.round(total / known, 9))
     best = F.min(F.struct(overall.isNull().alias("none"), (-overall).alias("less"), "season", "team")).alias("_best")
     peaks = df.groupBy(*keys).agg(*(F.max(f"comp_{a}").alias(f"comp_{a}") for a in abilities), *(F.sum(F.coalesce(s, F.lit(0.0))).alias(s) for s in stats), best)
-    ranked = ranking.percentile_ranks(peaks, keys, [Rank(f"comp_{a}", f"_{a}", curve=DECADE_CURVE) for a in abilities])
+    ranked = ranking.percentile_ranks(peaks, [Rank(f"comp_{a}", f"_{a}", curve=DECADE_CURVE) for a in abilities])
     return ranked.select(entry_id().alias("id"), *keys, *(scalars.half_even(F.col(f"_{a}")).alias(a) for a in abilities), *stats, F.col("_best.season").alias("peak_season"), F.col("_best.team").alias("peak_team"))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwright.functions import scalars
+
 
 def _row(check: str, subject: str, value: Column, threshold: float, level: str, passed: Column) -> Column:
     return F.struct(F.lit(check).alias("check"), F.lit(subject).alias("subject"), value.cast("double").alias("value"), F.lit(float(threshold)).alias("threshold"), F.lit(level).alias("level"), F.coalesce(passed, F.lit(False)).alias("passed"))
@@ -68,8 +70,8 @@ def signature_floors(df: DataFrame, name: str, ratings: Sequence[str], floors: D
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """Q9: row count and order-insensitive digest of the content, from the first 60 bits of each row's MD5; missing differs from empty."""
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns))
+    """Q9: row count and order-insensitive digest of the content, from the first 60 bits of each row's MD5. No two rows read alike."""
+    text = scalars.row_text(*(F.col(f"`{c}`") for c in df.columns))
     h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("sum"))
 

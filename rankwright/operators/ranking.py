@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankwright.functions import scalars
 from rankwright.functions.normal import with_bell_curve
 from rankwright.sources import written
 
@@ -36,7 +37,7 @@ class Rank:
 
     @property
     def group(self) -> Column:
-        return F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in self.within)) if self.within else F.lit("")
+        return scalars.row_text(*map(F.col, self.within)) if self.within else F.lit("")
 
     def scaled(self, pct: Column) -> Column:
         return self.sparse[1] + pct / 100 * (100 - self.sparse[1]) if self.sparse else pct
@@ -67,11 +68,12 @@ def _of(ranks: Sequence[Rank], value) -> Column:
     return F.element_at(F.array(*(F.lit(value(r)) for r in ranks)), F.col("c") + 1)
 
 
-def percentile_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[Rank], buckets: int = 64) -> DataFrame:
-    """All ``ranks`` of a table in one pass over its long form; ``keys`` name a row."""
-    base = written(df, "ranked")
+def percentile_ranks(df: DataFrame, ranks: Sequence[Rank], buckets: int = 64) -> DataFrame:
+    """All ``ranks`` of a table in one pass over its long form. Rows are told apart by a number of their own, not by keys."""
+    # the numbers hold once they are written
+    base = written(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
     entries = F.array(*(F.struct(F.lit(i).alias("c"), r.group.alias("g"), r.value.alias("v")) for i, r in enumerate(ranks)))
-    long = base.select(*keys, F.explode(entries).alias("x")).select(*keys, "x.*").where("v is not null")
+    long = base.select("_row", F.explode(entries).alias("x")).select("_row", "x.*").where("v is not null")
     counts = written(long.groupBy("c", "g", "v").agg(F.count("*").alias("n")), "values")
     table = positions(counts, buckets).select("c", "g", "v", _pct().alias("pct"))
     if any(r.curve for r in ranks):
@@ -79,8 +81,8 @@ def percentile_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[Rank],
         table = with_bell_curve(table, "pct", "_curved", of(0), of(1), of(2), of(3))
         table = table.withColumn("pct", F.when(_of(ranks, lambda r: r.curve is not None), F.col("_curved")).otherwise(F.col("pct"))).drop("_curved")
     table = written(table, "ranks")
-    found = long.join(table, ["c", "g", "v"]).groupBy(*keys).agg(*(F.max(F.when(F.col("c") == i, r.scaled(F.col("pct")))).alias(r.out) for i, r in enumerate(ranks)))
-    out = base.drop(*(r.out for r in ranks)).join(found, list(keys), "left")
+    found = long.join(table, ["c", "g", "v"]).groupBy("_row").agg(*(F.max(F.when(F.col("c") == i, r.scaled(F.col("pct")))).alias(r.out) for i, r in enumerate(ranks)))
+    out = base.drop(*(r.out for r in ranks)).join(found, "_row", "left").drop("_row")
     zeros = {r.out: F.coalesce(r.out, F.when(F.col(r.column).isNotNull(), F.lit(float(r.sparse[0])))) for r in ranks if r.sparse}
     return out.withColumns(zeros) if zeros else out
 

@@ -21,14 +21,25 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+def _remaining(df: DataFrame, *named: str) -> list[Column]:
+    """The columns that ``named`` leaves, in their order: what settles ties. Maps cannot be ordered and are left out."""
+    return [F.col(f"`{f.name}`").asc_nulls_first() for f in df.schema if f.name not in named and f.dataType.typeName() != "map"]
+
+
 def collapse_to_season(df: DataFrame, keys: Sequence[str] = ("player_id", "season"), team: str = "team", minutes: str = "mp") -> DataFrame:
-    """One row per player and season: the row over all teams if there is one, else the one with most minutes (ties: team)."""
-    return first_per_key(df, keys, [F.desc(scalars.is_aggregate_team(F.col(team))), F.desc_nulls_last(minutes), F.asc(team)])
+    """One row per player and season: the row over all teams if there is one, else the one with most minutes.
+
+    Ties, and seasons whose minutes are missing, go to the smallest team, then to the smallest of the remaining columns in their order.
+    """
+    return first_per_key(df, keys, [F.desc(scalars.is_aggregate_team(F.col(team))), F.desc_nulls_last(minutes), F.asc(team), *_remaining(df, *keys, team, minutes)])
 
 
 def keep_stints(df: DataFrame, keys: Sequence[str] = ("player_id", "season", "team"), team: str = "team", minutes: str = "mp") -> DataFrame:
-    """One row per player, season and team, that with most minutes; rows over all teams go."""
-    return first_per_key(df.where(~scalars.is_aggregate_team(F.col(team))), keys, [F.desc_nulls_last(minutes)])
+    """One row per player, season and team, that with most minutes; rows over all teams go.
+
+    Ties, and rows whose minutes are missing, go to the smallest of the remaining columns in their order.
+    """
+    return first_per_key(df.where(~scalars.is_aggregate_team(F.col(team))), keys, [F.desc_nulls_last(minutes), *_remaining(df, *keys, minutes)])
 
 
 def smooth_reputation(df: DataFrame, keys: Sequence[str], season: str, value: str, window: int, decay: float, out: str) -> DataFrame:

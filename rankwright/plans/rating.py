@@ -104,11 +104,10 @@ SELECT l_suppkey, season, round(mu + (share - mu) * att / (att + 30.0), 6) AS sh
 def two_round_rating(spark, sf_dir):
     """Components ranked, archetype of the better of two, composite ranked and curved, gated and capped."""
     df = seasons(spark, sf_dir).select("l_suppkey", "season", "qty", F.round(F.col("makes") / F.col("att"), 9).alias("back"), F.when(F.col("att") >= 5, F.round(F.col("open_lines") / F.col("att"), 9)).alias("still"), F.round(F.col("qty") / F.greatest("att", F.lit(1.0)), 9).alias("size"))
-    keys = ["l_suppkey", "season"]
-    df = ranking.percentile_ranks(df, keys, [Rank("back", "rk_back"), Rank("still", "rk_still"), Rank("size", "rk_size", within=("season",))])
-    df = ranking.percentile_ranks(df.withColumn("best", F.round(shrink.best_of("rk_back", "rk_still"), 9)), keys, [Rank("best", "rk_best")])
+    df = ranking.percentile_ranks(df, [Rank("back", "rk_back"), Rank("still", "rk_still"), Rank("size", "rk_size", within=("season",))])
+    df = ranking.percentile_ranks(df.withColumn("best", F.round(shrink.best_of("rk_back", "rk_still"), 9)), [Rank("best", "rk_best")])
     df = df.withColumn("comp", F.round(shrink.weighted_composite({"rk_best": 0.55, "rk_size": 0.25, "rk_still": 0.2}), 9))
-    df = ranking.percentile_ranks(df, keys, [Rank("comp", "curved", curve=(50.0, 18.0, 5.0, 100.0))])
+    df = ranking.percentile_ranks(df, [Rank("comp", "curved", curve=(50.0, 18.0, 5.0, 100.0))])
     gated = F.when(F.col("still").isNull(), F.least("curved", F.lit(82.0))).otherwise(F.col("curved"))
     return df.select("l_suppkey", "season", F.round("comp", 6).alias("comp"), scalars.half_even(gated).alias("rating"))
 

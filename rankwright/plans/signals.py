@@ -144,12 +144,12 @@ COMPONENT_SQL = f"WITH {X} SELECT l_suppkey, season, {', '.join(f'round({e}, 6)
 
 def six_ratings(spark, sf_dir):
     """All six categories, from components to ratings."""
-    return categories.rate(_stats(spark, sf_dir), ["player_id", "season"]).select("player_id", "season", *categories.WEIGHTS, *(F.round(f"comp_{c}", 6).alias(f"comp_{c}") for c in categories.WEIGHTS))
+    return categories.rate(_stats(spark, sf_dir)).select("player_id", "season", *categories.WEIGHTS, *(F.round(f"comp_{c}", 6).alias(f"comp_{c}") for c in categories.WEIGHTS))
 
 
 def rebounding_rating(spark, sf_dir):
     """One whole category, from components to rating."""
-    return categories.rate(_stats(spark, sf_dir), ["player_id", "season"], ["rebounding"]).select(F.col("player_id").alias("l_suppkey"), "season", F.col("rebounding").alias("rating"))
+    return categories.rate(_stats(spark, sf_dir), ["rebounding"]).select(F.col("player_id").alias("l_suppkey"), "season", F.col("rebounding").alias("rating"))
 
 
 def _rank_sql(v, group="", sparse=None):

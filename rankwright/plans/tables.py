@@ -275,7 +275,7 @@ d AS (SELECT c_custkey AS seed, spin FROM customer, (SELECT unnest(generate_seri
 b AS (SELECT seed, spin, cell FROM d JOIN l ON l.at = {DRAW.format("concat_ws('|', seed, spin, 'cell')", "l.n")}),
 o AS (SELECT x.axis AS cell, list_sort(list(DISTINCT y.axis)) AS others FROM c x JOIN c y ON x.franchise = y.franchise AND x.axis <> y.axis GROUP BY 1)
 SELECT seed, spin, b.cell, others[{DRAW.format("concat_ws('|', seed, spin, 'axis', b.cell)", "len(others)")} + 1] AS alternate FROM b LEFT JOIN o ON o.cell = b.cell"""
-DIGEST_SQL = """WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderdate::DATE)), 1, 15))::BIGINT AS h FROM orders) SELECT count(*) AS rows, bit_xor(h) AS xor, sum(h::HUGEINT)::DECIMAL(38, 0) AS sum FROM h"""
+DIGEST_SQL = f"""WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', {", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate::DATE"))})), 1, 15))::BIGINT AS h FROM orders) SELECT count(*) AS rows, bit_xor(h) AS xor, sum(h::HUGEINT)::DECIMAL(38, 0) AS sum FROM h"""
 
 
 def archive(spark, sf_dir):

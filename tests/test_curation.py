@@ -23,7 +23,7 @@ def test_many_ranks_equal_single_ones(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["x", "y", None]), rng.choice([None, 0.0, 1.0, 2.0, rng.random()]), float(rng.randint(-3, 3))) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, g string, a double, b double")
-    many = ranking.percentile_ranks(df, ["id"], [Rank("a", "r1"), Rank("a", "r2", within=("g",)), Rank("b", "r3", sparse=(35.0, 70.0))], 5)
+    many = ranking.percentile_ranks(df, [Rank("a", "r1"), Rank("a", "r2", within=("g",)), Rank("b", "r3", sparse=(35.0, 70.0))], 5)
     one = ranking.desaturated_rank(ranking.percentile_rank_within(ranking.percentile_rank(df, "a", "r1", 3), "a", ["g"], "r2", 3), "b", "r3", 35.0, 70.0, 3)
     got, want = ({r[0]: r[1:] for r in values(x, "id", "r1", "r2", "r3")} for x in (many, one))
     assert got.keys() == want.keys() and all(x == y or math.isclose(x, y) for i in got for x, y in zip(got[i], want[i]))
@@ -66,6 +66,28 @@ def test_stints_and_collapse(spark):
     rows = spark.createDataFrame([("p", 2000, "TOT", 90.0), ("p", 2000, "A", 50.0), ("p", 2000, "B", 40.0), ("p", 2000, "B", 99.0), ("q", 2000, "A", None)], "player_id string, season int, team string, mp double")
     assert sorted(values(windows.collapse_to_season(rows), "player_id", "team")) == [("p", "TOT"), ("q", "A")]
     assert sorted(values(windows.keep_stints(rows), "player_id", "team", "mp"), key=str) == [("p", "A", 50.0), ("p", "B", 99.0), ("q", "A", None)]
+    # equal or missing minutes: the remaining columns decide, whatever the order of the rows
+    for mp in (7.0, None):
+        ties = [("p", 1949, "A", mp, 2, "x"), ("p", 1949, "A", mp, 1, "y"), ("p", 1949, "A", mp, None, "z")]
+        for rows in (ties, ties[::-1]):
+            df = spark.createDataFrame(rows, "player_id string, season int, team string, mp double, g int, s string").repartition(3)
+            assert values(windows.keep_stints(df), "s") == values(windows.collapse_to_season(df), "s") == [("z",)]
+
+
+def test_ranks_of_rows_without_a_key(spark):
+    rows = [(None, 1.0), (None, 2.0), (7, 3.0), (7, 4.0)]
+    df = spark.createDataFrame(rows, "id int, v double")
+    assert sorted(values(ranking.percentile_ranks(df, [Rank("v", "r")]), "v", "r")) == [(1.0, 12.5), (2.0, 37.5), (3.0, 62.5), (4.0, 87.5)]
+    groups = spark.createDataFrame([("a|b", "c", 1.0), ("a", "b|c", 2.0), (None, "n", 3.0), ("n", None, 4.0)], "g string, h string, v double")
+    assert {r for _, r in values(ranking.percentile_ranks(groups, [Rank("v", "r", within=("g", "h"))]), "v", "r")} == {50.0}
+
+
+def test_different_rows_read_differently(spark):
+    of = lambda *rows: spark.createDataFrame(list(rows), "a string, b string")
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("\\N", "c"), ("n", "c"), ("", "c"), ("1:a", "c"), ("c", None), (None, None)]
+    for x in rows:
+        for y in rows:
+            assert quality.same_content(of(x), of(y)) == (x == y)
 
 
 def test_forced_rows_may_fill_a_cell(spark):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 from datetime import date
 from pathlib import Path
 from statistics import NormalDist
@@ -83,6 +84,17 @@ def test_scalars(spark):
     assert [x for x, in values(totals, scalars.overall(F.col("t"), 0))] == [99, 99, 78, 40]
 
 
+def test_names_fold_all_of_unicode(spark):
+    """By the rule itself: compatibility decomposition, ASCII letters and spaces, lower-cased."""
+    left = lambda s: " ".join("".join(x for x in unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower() if x == " " or x.isalpha()).split())
+    signs = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.decomposition(c)] + list("ßøłđħæœĸŋ\u00d7\u4e2d")
+    df = spark.createDataFrame([(i, f"Q{c}w {c}") for i, c in enumerate(signs)] + [(-1, "Nguyễn"), (-2, "ﬁn"), (-3, "Ǆ ㎏ jr"), (-4, None)], "i int, s string")
+    got = dict(values(df, "i", scalars.normal_name(F.col("s"))))
+    assert (got[-1], got[-2], got[-3], got[-4]) == ("nguyen", "fin", "dz kg", None)
+    wrong = [(c, got[i]) for i, c in enumerate(signs) if got[i] != " ".join(t for t in left(f"Q{c}w {c}").split() if t not in scalars.SUFFIXES)]
+    assert len(signs) > 2000 and not wrong, wrong[:9]
+
+
 def test_as_of_boundaries(spark):
     eras = spark.createDataFrame([("OKC", 2008, "SEA"), ("CHO", 2002, "CHH"), ("CHO", 2014, "CHA")], "code string, until int, name string")
     rows = spark.createDataFrame([("OKC", 2008), ("OKC", 2009), ("CHO", 1995), ("CHO", 2010), ("CHO", 2015), ("LAL", 1985)], "code string, y int")
