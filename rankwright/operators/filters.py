@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwright.sources import observed
+
 
 def enough_sample(games: Column, minutes: Column, least_games: float, least_minutes: float) -> Column:
     """Enough games, and enough minutes where they are known."""
@@ -56,6 +58,15 @@ def qualified(wants: DataFrame) -> DataFrame:
     return named.join(F.broadcast(known), "qualifier").select("query_id", F.concat_ws(":", F.lit("rate"), "ability", side).alias("key"), "seq", F.lit("range").alias("kind"), F.col("ability").alias("field"), "lo", "hi", F.lit(None).cast("string").alias("text"))
 
 
+def kept(df: DataFrame, steps: Mapping[str, Column], name: str = "kept") -> tuple[DataFrame, dict[str, int]]:
+    """The rows that pass all ``steps``, written, and how many were left after each, counted in the pass that writes them."""
+    held, counts = F.lit(True), {"all": F.count(F.lit(1))}
+    for step, test in steps.items():
+        held = held & F.coalesce(test, F.lit(False))
+        counts[step] = F.count_if(held)
+    return observed(df, name, counts, lambda x: x.where(held))
+
+
 def funnel(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
     """Rows left after each of the successive filters, in one pass."""
     held, counts = F.lit(True), [F.count("*").alias("all")]

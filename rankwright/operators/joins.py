@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwright.operators.scan import first_reaching
-from rankwright.sources import written
+from rankwright.sources import discard, observed, written
 
 
 def with_fallback(df: DataFrame, key: str, lookup: DataFrame, source: str, target: str, out: str) -> DataFrame:
@@ -71,14 +71,19 @@ def alternates(cells: DataFrame, fixed: str, axis: str) -> DataFrame:
     return cells.select(fixed, axis).distinct().join(other, fixed).where(F.col(axis) != F.col("alternate"))
 
 
-def match_gate(df: DataFrame, matched: Column, weight: str | None, least: float, report: str, top: int = 10) -> float:
-    """The matched share of rows or of weight; raises with the heaviest unmatched if under ``least``."""
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    share = df.agg(F.try_divide(F.sum(F.when(matched, w).otherwise(0.0)), F.sum(w)).alias("x")).first().x
-    if share is not None and share < least:
-        worst = df.where(~matched).groupBy(report).agg(F.sum(w).alias("weight")).orderBy(F.desc("weight"), report).limit(top).collect()
+def match_gate(df: DataFrame, matched: Column, weight: str | None, least: float, report: str, top: int = 10) -> tuple[DataFrame, float]:
+    """``df`` written, and its matched share of rows or of weight, taken in the pass that writes it.
+
+    Under ``least`` it raises with the heaviest unmatched, and what was written goes. Without weight the share is 1.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    out, seen = observed(df, "gated", {"matched": F.sum(F.when(matched, w).otherwise(0.0)), "whole": F.sum(w)})
+    share = seen["matched"] / seen["whole"] if seen["whole"] else 1.0
+    if share < least:
+        worst = out.where(~matched).groupBy(report).agg(F.sum(w).alias("weight")).orderBy(F.desc("weight"), report).limit(top).collect()
+        discard(out)
         raise ValueError(f"matched {share:.4f}, under {least}: {[tuple(r) for r in worst]}")
-    return 1.0 if share is None else share
+    return out, share
 
 
 def dangling(lists: DataFrame, ids: str, known: DataFrame, ident: str) -> DataFrame:

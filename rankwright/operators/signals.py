@@ -63,9 +63,9 @@ def _identified(counted: DataFrame, people: DataFrame, sums: Sequence[str], weig
     """Sums by name turned into sums by id; several names may lead to one id. ``least`` gates the matched share."""
     counted = written(counted, "counted")
     ids = joins.resolve(counted, people, "season", "name", "player_id", scalars.last_token(F.col("name")), scalars.first_token(F.col("name")), overrides)
-    named = written(counted.join(ids, ["season", "name"], "left"), "named")
+    named = counted.join(ids, ["season", "name"], "left")
     if least is not None:
-        joins.match_gate(named, F.col("player_id").isNotNull(), weight, least, "name")
+        named, _ = joins.match_gate(named, F.col("player_id").isNotNull(), weight, least, "name")
     return named.where("player_id is not null").groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in sums))
 
 

@@ -11,7 +11,7 @@ from rankwright.functions import scalars
 from rankwright.operators import curation, filters, joins, quality, ranking, shrink, signals, windows
 from rankwright.operators.criteria import matching
 from rankwright.plans.rating import curve_sql, pct_sql, table
-from rankwright.sources import written
+from rankwright.sources.artifacts import Artifacts
 
 ABILITIES = ("shooting", "scoring", "playmaking", "defense", "clutch", "rebounding")
 STINT = ("player_id", "season", "team")
@@ -86,7 +86,10 @@ def _brands(spark):
 
 
 def _entries(spark, sf_dir):
-    return curation.decade_entries(_scored(spark, sf_dir), _lineage(spark), ABILITIES, ["g", "mp", "pts", "trb"])
+    """The entries of all decades: a stage artifact that every query of the grid reads and the first one builds."""
+    stats = ["g", "mp", "pts", "trb"]
+    build = lambda: curation.decade_entries(_scored(spark, sf_dir), _lineage(spark), ABILITIES, stats)
+    return Artifacts(spark).get("decade_entries", [f"{sf_dir}/lineitem.parquet"], {"abilities": ABILITIES, "stats": stats}, build)
 
 
 def decade_entries(spark, sf_dir):
@@ -137,15 +140,16 @@ def _manual(spark):
 
 
 def _grid(spark, sf_dir):
-    entries = written(curation.complete(_entries(spark, sf_dir), ABILITIES)[0], "entries")
+    """The complete entries and their rosters, both stage artifacts."""
+    entries = curation.complete(_entries(spark, sf_dir), ABILITIES)[0]
     members = _stints(spark, sf_dir).select(*STINT, "mp")
-    scored = _universe(spark, sf_dir)[0]
-    return entries, curation.rosters(members, scored, entries, _lineage(spark), _brands(spark), _stars(spark, sf_dir), _manual(spark), 5, 3)
+    build = lambda: curation.rosters(members, _universe(spark, sf_dir)[0], entries, _lineage(spark), _brands(spark), _stars(spark, sf_dir), _manual(spark), 5, 3)[0]
+    return entries, Artifacts(spark).get("decade_rosters", [f"{sf_dir}/lineitem.parquet"], {"k": 5, "least": 3}, build)
 
 
 def decade_rosters(spark, sf_dir):
     """Most minutes of each decade and franchise, stars and named ones never cut."""
-    return _grid(spark, sf_dir)[1][0]
+    return _grid(spark, sf_dir)[1]
 
 
 def thin_decades(spark, sf_dir):
@@ -165,7 +169,7 @@ g AS (SELECT decade, franchise, id, (row_number() OVER (PARTITION BY decade, fra
 
 def shipped_entries(spark, sf_dir):
     """Listed entries with ratings, per-game stats and label."""
-    entries, (roster, _) = _grid(spark, sf_dir)
+    entries, roster = _grid(spark, sf_dir)
     out = curation.shipped(entries, roster, _brands(spark).where("franchise <> 'N'"), ABILITIES, {"mpg": "mp", "rpg": "trb"})
     return out.select("id", "player_id", "ratings.*", "stats.*", "peak_season", "team_label")
 
@@ -176,7 +180,7 @@ substr(decade, 3) || ' ' || CASE coalesce(nullif(peak_team, 'N'), franchise) WHE
 
 def grid_axes(spark, sf_dir):
     """Used franchises in their order with how many decades, and decades in theirs with how many franchises."""
-    roster = _grid(spark, sf_dir)[1][0].select("decade", "franchise").distinct()
+    roster = _grid(spark, sf_dir)[1].select("decade", "franchise").distinct()
     franchises, decades = curation.axes(roster, _brands(spark))
     of = lambda a, b: roster.groupBy(a).agg(F.array_join(F.array_sort(F.collect_set(b)), ",").alias("others"))
     one = franchises.join(of("franchise", "decade"), "franchise").select(F.lit("franchise").alias("axis"), F.col("franchise").alias("value"), "ordinal", "others")
@@ -189,7 +193,7 @@ UNION ALL SELECT 'decade', decade, left(decade, 4)::INTEGER, string_agg(DISTINCT
 
 def pool_ceiling(spark, sf_dir):
     """Best of each ability over listed entries."""
-    entries, (roster, _) = _grid(spark, sf_dir)
+    entries, roster = _grid(spark, sf_dir)
     return curation.ceiling(entries, roster, ABILITIES)
 
 
@@ -198,7 +202,7 @@ CEILING_SQL = f"""WITH {G}, m AS (SELECT {', '.join(f'max({a}) AS {a}' for a in
 
 def roster_checks(spark, sf_dir):
     """Cells against entries; every eleventh entry is held back."""
-    entries, (roster, _) = _grid(spark, sf_dir)
+    entries, roster = _grid(spark, sf_dir)
     cells = roster.groupBy(F.concat_ws("_", "decade", "franchise").alias("cell")).agg(F.collect_list("id").alias("ids"))
     return quality.roster_checks(cells, entries.where("player_id % 11 <> 0"), 6)
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,27 +40,52 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="rankwright-")
         spark.conf.set("spark.checkpoint.dir", found)
+        hadoop(spark, found)[0].deleteOnExit(hadoop(spark, found)[1])
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own classes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the application ends, whatever is left in it."""
+    path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    fs, where = hadoop(spark, path)
+    if not fs.exists(where):
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage, survives lost executors. Gone when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, metrics: Mapping[str, Column], then: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, dict]:
+    """``then(df)`` written, and ``metrics`` of ``df`` that were taken in the pass that wrote it: nothing is read twice."""
+    seen = Observation()
+    out = written(then(df.observe(seen, *(c.alias(k) for k, c in metrics.items()))), name)
+    return out, seen.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing will read again."""
     for df in tables:
         spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        fs, file = hadoop(spark, df.inputFiles()[0])
+        folder = file.getParent()
         if not re.search("-[0-9a-f]{32}$", folder.getName()):
             raise ValueError(f"{folder} was not made by written()")
-        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        fs.delete(folder, True)
 
 
 def by_size(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", most_rows: int = 100_000) -> DataFrame:

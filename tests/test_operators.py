@@ -130,7 +130,11 @@ def test_match_gate(spark):
     df = spark.createDataFrame([("a", 1.0, True), ("b", 9.0, False)], "n string, w double, ok boolean")
     with pytest.raises(ValueError, match="matched 0.1"):
         joins.match_gate(df, F.col("ok"), "w", 0.9, "n")
-    assert joins.match_gate(df, F.col("ok"), None, 0.5, "n") == 0.5
+    # what failed is not left behind
+    assert not list(Path(sources.scratch_dir(spark)).glob("gated-*"))
+    out, share = joins.match_gate(df, F.col("ok"), None, 0.5, "n")
+    assert share == 0.5 and sorted(out.collect()) == sorted(df.collect())
+    assert joins.match_gate(df.limit(0), F.col("ok"), "w", 0.9, "n")[1] == 1.0
 
 
 def test_draws_do_not_depend_on_history(spark):
