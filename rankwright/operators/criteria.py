@@ -55,13 +55,21 @@ def _bucket(v: Column, points: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) < v, at + step).otherwise(at))
 
 
-def _node(field: str, level: int, at: Column) -> Column:
-    return F.concat_ws(":", F.lit("r"), F.lit(level), at.cast("string"), F.lit(field))
+def _node(field: str, level: Column, at: Column) -> Column:
+    return F.concat_ws(":", F.lit("r"), level.cast("string"), at.cast("string"), F.lit(field))
+
+
+def _levels(of) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), of)
+
+
+def _halved(x: Column, times: Column) -> Column:
+    return F.call_function("shiftright", x, times)
 
 
 def row_keys(values: dict[str, Column], name: Column, label: Column, points: dict[str, list[float]]) -> Column:
     """All keys under which a row is found."""
-    of = lambda field, ends: F.transform(F.array(_bucket(values[field], _points(ends))), lambda b: F.array(*(_node(field, k, F.shiftright(b, k)) for k in range(LEVELS + 1))))
+    of = lambda field, ends: F.transform(F.array(_bucket(values[field], _points(ends))), lambda b: _levels(lambda k: _node(field, k, _halved(b, k))))
     nodes = [of(field, ends) for field, ends in points.items()]
     found = [F.flatten(F.flatten(F.array(*nodes)))] if nodes else []
     found.append(F.transform(_runs(name, LETTERS), lambda g: F.concat(F.lit("w:"), g)))
@@ -75,12 +83,13 @@ def range_keys(c: Column, points: dict[str, list[float]]) -> Column:
     lo, hi = bounds(c)
 
     def nodes(field: str, first: Column, past: Column) -> Column:
-        found = []
-        for k in range(LEVELS + 1):
-            a, b = F.shiftright(first + ((1 << k) - 1), k), F.shiftright(past, k)
-            found += [F.when((a < b) & (a % 2 == 1), _node(field, k, a)), F.when((a < b) & (b % 2 == 1), _node(field, k, b - 1))]
         share = ((past - first) / F.lit(float(1 << LEVELS))).cast("double").alias("share")
-        return F.transform(F.filter(F.array(*found), lambda x: x.isNotNull()), lambda x: F.struct(x.alias("key"), share))
+
+        def level(k: Column) -> Column:
+            a, b = _halved(first + F.call_function("shiftleft", F.lit(1), k) - 1, k), _halved(past, k)
+            return F.array(F.when((a < b) & (a % 2 == 1), _node(field, k, a)), F.when((a < b) & (b % 2 == 1), _node(field, k, b - 1)))
+
+        return F.transform(F.filter(F.flatten(_levels(level)), lambda x: x.isNotNull()), lambda x: F.struct(x.alias("key"), share))
 
     def cover(field: str, ends: list[float]) -> Column:
         # both ends are searched once
@@ -93,26 +102,32 @@ def range_keys(c: Column, points: dict[str, list[float]]) -> Column:
     return out
 
 
-def matching(rows: DataFrame, ident: str, criteria: DataFrame, fields: Sequence[str], name: str | None = None, label: str | None = None) -> DataFrame:
+def matching(rows: DataFrame, ident: str, criteria: DataFrame, fields: Sequence[str], name: str | None = None, label: str | None = None, few: int = 64) -> DataFrame:
     """P10: (query_id, id) of the rows that meet all criteria of a query.
 
     ``criteria`` has query_id, key, kind (``range`` of a stat, rating or season; ``decade``, which starts at lo; ``words`` of the
     name; ``suffix`` of the label), field, lo, hi, text and seq; the first of each key counts, by seq. A missing value counts as 0. A query
     whose criteria are null matches every row. Both sides may be of any size; neither is matched with all of the other. Equal ``ident`` rows
-    are rows of their own.
+    are rows of their own. Up to ``few`` queries are compared with each row as they are; the index gives the same rows.
     """
     firsts = criteria.groupBy("query_id", "key").agg(F.min(F.struct("seq", "kind", "field", "lo", "hi", "text")).alias("c"))
     queries = written(firsts.groupBy("query_id").agg(F.collect_list("c").alias("cs")), "queries")
     number = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in fields}
     text = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))) if c else F.lit("")
     values = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*number.values())) if fields else F.lit(None).cast("map<string,double>")
-    held = written(rows.select(F.col(ident), values.alias("_values"), text(name).alias("_name"), text(label).alias("_label")), "rows")
+    held = rows.select(F.col(ident), values.alias("_values"), text(name).alias("_name"), text(label).alias("_label"))
+    all_met = F.forall("cs", lambda c: met(c, F.col("_values"), F.col("_name"), F.col("_label")))
+    if queries.count() <= few:
+        return held.join(F.broadcast(queries), all_met).select("query_id", ident)
+    held = written(held, "rows")
 
     # the quantiles of the fields that ranges ask for: a bounded report
     asked = [r.field for r in queries.select(F.explode("cs.field").alias("field")).distinct().where(F.col("field").isin(*fields)).collect()] if fields else []
     at = lambda f: F.try_element_at("_values", F.lit(f))
-    ends = held.agg(*(F.percentile_approx(at(f), [i / (1 << LEVELS) for i in range(1, 1 << LEVELS)], 4 << LEVELS).alias(f"q{i}") for i, f in enumerate(asked))).first() if asked else None
-    points = {f: sorted({x for x in ends[f"q{i}"] or [] if math.isfinite(x)}) for i, f in enumerate(asked)}
+    shares = [i / (1 << LEVELS) for i in range(1, 1 << LEVELS)]
+    flat = held.select(*(at(f).alias(f"q{i}") for i, f in enumerate(asked)))
+    ends = flat.approxQuantile(flat.columns, shares, 0.25 / (1 << LEVELS)) if asked else []
+    points = {f: sorted({x for x in found if math.isfinite(x)}) for f, found in zip(asked, ends)}
     kinds = {r.kind for r in queries.select(F.explode("cs.kind").alias("kind")).distinct().collect()}
     looked_up = lambda kind, c: F.col(c) if kind in kinds else F.lit("")
     keyed = held.withColumn("_keys", row_keys({f: at(f) for f in asked}, looked_up("words", "_name"), looked_up("suffix", "_label"), points))
@@ -143,9 +158,9 @@ def matching(rows: DataFrame, ident: str, criteria: DataFrame, fields: Sequence[
     # a query all of whose criteria hold for every row is in no path
     entries = written(best.where("_key is not null").join(queries, "query_id"), "entries")
     spread = keyed.select(ident, "_values", "_name", "_label", F.explode("_keys").alias("_key"))
-    found = by_size(spread, entries, ["_key"]).where(F.forall("cs", lambda x: met(x, F.col("_values"), F.col("_name"), F.col("_label"))))
+    found = by_size(spread, entries, ["_key"]).where(all_met)
     free = written(queries.join(best.select("query_id"), "query_id", "left_anti"), "free")
-    every = held.crossJoin(free).where(F.forall("cs", lambda x: met(x, F.col("_values"), F.col("_name"), F.col("_label"))))
+    every = held.crossJoin(free).where(all_met)
     return found.select("query_id", ident).unionByName(every.select("query_id", ident))
 
 

@@ -47,14 +47,14 @@ def made(n, seed):
     return rows, criteria
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_batches_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "few"), [(1, 0), (2, 0), (3, 1000)])
+def test_batches_equal_brute_force(spark, seed, few):
     rows, criteria = made(300, seed)
     df = spark.createDataFrame([(r["id"], None if r["a"] is None else float(r["a"]), None if r["b"] is None else float(r["b"]), r["name"], r["label"]) for r in rows], "id long, a double, b double, name string, label string")
     wanted = spark.createDataFrame([(q, k, s, kind, f, None if lo is None else float(lo), None if hi is None else float(hi), t) for q, k, s, kind, f, lo, hi, t in criteria], CRITERIA)
-    got = sorted((r.query_id, r.id) for r in matching(df, "id", wanted, FIELDS, "name", "label").collect())
+    got = sorted((r.query_id, r.id) for r in matching(df, "id", wanted, FIELDS, "name", "label", few=few).collect())
     assert got == brute(rows, criteria)
-    assert matching(df.limit(0), "id", wanted, FIELDS, "name", "label").collect() == [] and matching(df, "id", wanted.limit(0), FIELDS, "name", "label").collect() == []
+    assert matching(df.limit(0), "id", wanted, FIELDS, "name", "label", few=few).collect() == [] and matching(df, "id", wanted.limit(0), FIELDS, "name", "label", few=few).collect() == []
 
 
 def test_a_million_criteria(spark):
