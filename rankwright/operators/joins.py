@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwright.operators import windows
+from rankwright.operators.intervals import largest_over
 from rankwright.operators.scan import first_reaching
 from rankwright.sources import discard, observed, written
 
@@ -52,9 +54,12 @@ def resolve(rows: DataFrame, people: DataFrame, season: str, name: str, ident: s
 
 
 def expand_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, value: str, season: str = "season") -> DataFrame:
-    """A row per season of each interval, the largest value of each."""
-    spread = df.where(F.col(start) <= F.col(end)).select(*keys, F.explode(F.sequence(start, end)).alias(season), value)
-    return spread.groupBy(*keys, season).agg(F.max(value).alias(value))
+    """A row per season that intervals cover, the largest value of each.
+
+    The values are settled over segments; seasons are only spelled out at the end.
+    """
+    segments = written(largest_over(df, keys, start, end, value), "segments")
+    return windows.spelled_out(segments, [*keys, value], start, end, season)
 
 
 def as_of(df: DataFrame, code: str, at: Column, eras: DataFrame, until: str, value: str, out: str) -> DataFrame:

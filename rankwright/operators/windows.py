@@ -97,16 +97,22 @@ def score_steps(df: DataFrame, score: str, groups: Sequence[str] = (), ceiling:
     return both.select(*keys, "score", F.coalesce(F.col("_next") - 1, "_top").alias("until"), "n", F.round(100.0 * F.col("_run") / F.col("_total"), 2).alias("pct"))
 
 
-def every_score(steps: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """(score, pct) for every whole score of (score, until, pct). A long step is dealt out in blocks before it is expanded."""
-    cut = F.col("until") - F.col("score") >= BLOCK
-    starts = F.when(cut, F.sequence("score", "until", F.lit(BLOCK))).otherwise(F.array("score"))
-    blocks = steps.select(*groups, "pct", "until", F.explode(starts).alias("_from"))
-    blocks = blocks.select(*groups, "pct", "_from", F.least("until", F.col("_from") + BLOCK - 1).alias("_to"))
+def spelled_out(steps: DataFrame, kept: Sequence[str], first: str, last: str, out: str) -> DataFrame:
+    """A row for every whole number from ``first`` to ``last``, with the ``kept`` columns. Long steps are dealt out in blocks before they are
+    expanded; ``steps`` is a written table."""
+    cut = F.col(last) - F.col(first) >= BLOCK
+    starts = F.when(cut, F.sequence(first, last, F.lit(BLOCK))).otherwise(F.array(first))
+    blocks = steps.select(*kept, F.col(last).alias("_until"), F.explode(starts).alias("_from"))
+    blocks = blocks.select(*kept, "_from", F.least("_until", F.col("_from") + BLOCK - 1).alias("_to"))
     long = F.col("_to") - F.col("_from") == BLOCK - 1
     n = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.where(~long).unionByName(blocks.where(long).repartition(n, *groups, "_from"))
-    return dealt.select(*groups, F.explode(F.sequence("_from", "_to")).alias("score"), "pct")
+    dealt = blocks.where(~long).unionByName(blocks.where(long).repartition(n, *kept, "_from"))
+    return dealt.select(*kept, F.explode(F.sequence("_from", "_to")).alias(out))
+
+
+def every_score(steps: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(score, pct) for every whole score of (score, until, pct), a written table."""
+    return spelled_out(steps, [*groups, "pct"], "score", "until", "score").select(*groups, "score", "pct")
 
 
 def score_ecdf(df: DataFrame, score: str, groups: Sequence[str] = (), ceiling: int | None = None) -> DataFrame:
