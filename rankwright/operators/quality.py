@@ -34,6 +34,12 @@ def rating_checks(df: DataFrame, ratings: Sequence[str], mean_low: float = 45, m
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def summary(df: DataFrame, ratings: Sequence[str], top: float) -> DataFrame:
+    """(ability, n, mean, least, most, at_top) of each rating in one pass; missing ones are left out."""
+    facts = lambda r: F.struct(F.lit(r).alias("ability"), F.count(r).alias("n"), F.round(F.avg(r), 9).alias("mean"), F.min(r).alias("least"), F.max(r).alias("most"), F.round(F.avg((F.col(r) >= top).cast("double")), 9).alias("at_top"))
+    return df.agg(F.array(*map(facts, ratings)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def balance(df: DataFrame, groups: str, order: str, ident: str, top: int = 200, least: int = 30) -> DataFrame:
     """Q3: how many of each group are among the top rows."""
     best = df.orderBy(F.desc(order), ident).limit(top)

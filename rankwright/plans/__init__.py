@@ -1,8 +1,8 @@
 """Registered queries of the rating engine and their SQL."""
 
-from rankwright.plans import curation, rating, signals, tables
+from rankwright.plans import curation, rating, signals, sources, tables
 
-_ALL = {**rating.QUERIES, **tables.QUERIES, **signals.QUERIES, **curation.QUERIES}
+_ALL = {**rating.QUERIES, **tables.QUERIES, **signals.QUERIES, **curation.QUERIES, **sources.QUERIES}
 
 
 def flagship(spark, sf_dir):

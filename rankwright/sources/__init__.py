@@ -109,23 +109,6 @@ def optional(df: DataFrame, extra: DataFrame | None, keys: Sequence[str], column
     return df.join(extra.select(*keys, *columns), list(keys), "left")
 
 
-def document(players: DataFrame, rosters: DataFrame, ceiling: DataFrame, **meta: str) -> DataFrame:
-    """One nested row of meta, players, rosters by cell, and ceiling.
-
-    ``rosters`` is (cell, ids). This is the report of a curated pool, whose size the grid bounds.
-    """
-    listed = players.agg(F.array_sort(F.collect_list(F.struct(*players.columns))).alias("players"))
-    grid = rosters.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cell", "ids")))).alias("rosters"))
-    top = ceiling.select(F.struct(*ceiling.columns).alias("ceiling"))
-    head = F.struct(*(F.lit(v).alias(k) for k, v in sorted(meta.items()))) if meta else F.struct(F.lit(None).alias("none"))
-    return listed.crossJoin(grid).crossJoin(top).select(head.alias("meta"), "players", "rosters", "ceiling")
-
-
-def write_document(doc: DataFrame, path: str) -> None:
-    """Minified UTF-8 JSON."""
-    doc.coalesce(1).write.mode("overwrite").json(path)
-
-
 def write_percentiles(ecdf: DataFrame, path: str, **meta: str) -> None:
     """A score table (score, pct) as one JSON document, sorted, with its ends and ``meta``. A row per whole score, so few."""
     table = F.array_sort(F.collect_list(F.struct("score", "pct"))).alias("table")

@@ -13,6 +13,7 @@ from rankwright.functions import scalars
 from rankwright.operators import categories, curation, filters, grid, joins, quality, ranking, shrink, signals, windows
 from rankwright.operators.nearest import nearest
 from rankwright.operators.ranking import Rank
+from rankwright.sources import documents
 
 
 def values(df, *columns):
@@ -115,8 +116,9 @@ def test_rosters_and_document(spark, tmp_path):
     used, decades = curation.axes(roster, brands)
     assert values(used, "franchise") == [("A",)] and values(decades, "decade") == [("1990s",)]
     cells = roster.groupBy(F.concat_ws("_", "decade", "franchise").alias("cell")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    sources.write_document(sources.document(ship, cells, curation.ceiling(whole, roster, ["x", "y"]), grain="decade"), str(tmp_path / "doc"))
-    doc = json.loads(next((tmp_path / "doc").glob("*.json")).read_text())
+    documents.write_fragments(ship, cells, curation.ceiling(whole, roster, ["x", "y"]), str(tmp_path / "doc"), grain="decade")
+    documents.joined(spark, str(tmp_path / "doc"), str(tmp_path / "doc.json"))
+    doc = json.loads((tmp_path / "doc.json").read_text())
     assert doc["meta"] == {"grain": "decade"} and list(doc["rosters"]) == ["1990s_A"] and len(doc["players"]) == 3
     assert values(sources.manifest(roster, "cells", "decade", "franchise"), "path") == [("cells/1990s/A",)]
     checks = {r.check: (r.value, r.passed) for r in quality.roster_checks(cells.union(spark.createDataFrame([("e", []), ("s", ["nobody"])], "cell string, ids array<string>")), whole, 3).collect()}
