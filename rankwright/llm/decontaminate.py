@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from rankwright.llm.common import bitmap, in_bitmap, session, table, text_bytes, written
+from rankwright.llm.common import bitmap, fresh, in_bitmap, session, table, text_bytes, written
 
 #: Places of the bitmap over the windows of a large benchmark.
 BITMAP_BITS = 1 << 27
@@ -173,10 +173,11 @@ def _windows(items: DataFrame, size: int) -> DataFrame:
 def _joined(df: DataFrame, items: DataFrame, text: str, size: int, schema: T.StructType) -> DataFrame:
     """The texts against a table of all windows."""
     spark, names = df.sparkSession, df.columns
+    row, back = fresh(df, "_row"), fresh(df, "_back")
     windows = written(_windows(items, size), "windows")
     sizes = [r.n for r in windows.select("n").distinct().collect()]
     shared = spark.sparkContext.broadcast(bitmap(windows.select(F.pmod("hash", F.lit(BITMAP_BITS)).alias("place")), BITMAP_BITS))
-    rows = written(df.withColumn("_rankwright_row", F.monotonically_increasing_id()), "rows")
+    rows = written(df.withColumn(row, F.monotonically_increasing_id()), "rows")
 
     def near(batches):
         for batch in batches:
@@ -190,12 +191,12 @@ def _joined(df: DataFrame, items: DataFrame, text: str, size: int, schema: T.Str
                         at = places[a : a + 10_000]
                         yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array(at), pa.array([n] * len(at), pa.int32()), pa.array(mixed[at]), pa.array([b" ".join(words[i : i + n]) for i in at.tolist()], pa.binary())], ["row", "at", "n", "hash", "words"])
 
-    close = written(rows.select("_rankwright_row", text_bytes(text)).mapInArrow(near, "row long, at long, n int, hash long, words binary"), "near")
+    close = written(rows.select(row, text_bytes(text)).mapInArrow(near, "row long, at long, n int, hash long, words binary"), "near")
     key = ["n", "hash", "words"]
     spans = close.join(windows.select(*key).distinct(), key, "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
     found = close.select("row", *key).distinct().join(windows, key).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    back = spans.join(found, "row").withColumnRenamed("row", "_rankwright_row")
-    joined = rows.join(back, "_rankwright_row", "left").select(*names, F.col("spans.at").alias("_at"), F.col("spans.n").alias("_n"), "items")
+    hits = spans.join(found, "row").select(F.col("row").alias(row), F.struct("spans", "items").alias(back))
+    joined = rows.join(hits, row, "left").select(*names, *(F.col(f"{back}.{c}").alias(fresh(df, f"_{k}")) for k, c in (("at", "spans.at"), ("n", "spans.n"), ("items", "items"))))
     at = names.index(text)
 
     def run(batches):

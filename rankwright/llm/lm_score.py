@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from rankwright.llm.common import session, shuffle_partitions, sized_join, table, text_bytes, written
+from rankwright.llm.common import fresh, session, shuffle_partitions, sized_join, table, text_bytes, written
 
 #: Text bytes of a block, unless one text is longer, and ranges per shuffle partition.
 BLOCK_BYTES, RANGES = 4 << 20, 8
@@ -226,9 +226,10 @@ def score(df: DataFrame, is_target: Column, text: str = "text", shape: Shape = S
     ranges = RANGES * shuffle_partitions(df.sparkSession)
     names = [name for name, _ in _RESULTS]
     passed = [f for f in df.schema if f.name not in [*names, text]]
-    rows = df.select(*(f.name for f in passed), text_bytes(text).alias("_rankwright_text"), F.coalesce(is_target, F.lit(False)).alias("_rankwright_target"))
+    raw, mark = fresh(df, "_raw"), fresh(df, "_mark")
+    rows = df.select(*(f.name for f in passed), text_bytes(text).alias(raw), F.coalesce(is_target, F.lit(False)).alias(mark))
     text_at, mark_at = len(passed), len(passed) + 1
-    blocks = written(packed_blocks(rows, "_rankwright_text", "_rankwright_target"), "blocks")
+    blocks = written(packed_blocks(rows, raw, mark), "blocks")
     answers = written(answered(asked(blocks, ranges, text_at, mark_at)), "answers")
     known = blocks.agg(F.sum("tokens").alias("tokens"), F.sum("target_tokens").alias("target")).first()
     size = Size(answers.agg(F.sum("words")).first()[0] or 0, known.tokens or 0, known.target or 0)

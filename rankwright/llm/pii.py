@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import session, table, written
+from rankwright.llm.common import fresh, session, table, written
 
 #: Java patterns. The look-behinds and possessive counts change no match; they keep long runs linear.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -143,14 +143,14 @@ def trusted_patterns(edges: DataFrame, how: Bootstrap = Bootstrap()) -> DataFram
 
 
 def find_pii(df: DataFrame, text: str = "text", row: tuple[str, ...] = ("doc_id",), how: Bootstrap = Bootstrap()) -> DataFrame:
-    """Add ``pii``: array of (kind, start, end) in order of kind and start; ``text`` is kept.
+    """(rows, found): ``df`` with a key for each row, and by key ``pii``: array of (kind, start, end) in order of kind and start.
 
-    ``row`` names the columns that, with the text, tell rows apart.
+    ``row`` names the columns that, with the text, tell rows apart. The key is the first column of ``found``, under a name that ``df`` does not have.
     """
-    kept = [c for c in df.columns if c not in ("pii", "_text", "_key")]
-    raw = df.select(*kept, F.coalesce(text, F.lit("")).alias("_text"))
-    key = F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in row), "_text"), 256)
-    light = raw.select(key.alias("_key"), *(x.alias(k) for k, x in base_spans(F.col("_text")).items()), cued_tokens(F.col("_text")).alias("cued"))
+    kept, name, filled = [c for c in df.columns if c != "pii"], fresh(df, "_key"), fresh(df, "_text")
+    raw = df.select(*kept, F.coalesce(text, F.lit("")).alias(filled))
+    key = F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in row), filled), 256)
+    light = raw.select(key.alias("_key"), *(x.alias(k) for k, x in base_spans(F.col(filled)).items()), cued_tokens(F.col(filled)).alias("cued"))
     light = written(light, "spans")
     every = F.concat(*KINDS)
 
@@ -170,13 +170,14 @@ def find_pii(df: DataFrame, text: str = "text", row: tuple[str, ...] = ("doc_id"
     # equal keys are equal rows: one of them is joined
     found = light.groupBy("_key").agg(*(F.first(k).alias(k) for k in KINDS)).join(added, "_key", "left")
     spans = F.concat(*(as_kind(k, F.col(k)) for k in KINDS), as_kind("secret", F.coalesce("added", F.array().cast("array<struct<start:int,end:int>>"))))
-    return raw.select(*kept, key.alias("_key")), found.select("_key", spans.alias("pii"))
+    return raw.select(*kept, key.alias(name)), found.select(F.col("_key").alias(name), spans.alias("pii"))
 
 
 def with_pii(df: DataFrame, text: str = "text", row: tuple[str, ...] = ("doc_id",), how: Bootstrap = Bootstrap()) -> DataFrame:
     """``df`` with the column ``pii`` of ``find_pii``."""
     rows, found = find_pii(df, text, row, how)
-    return rows.join(found, "_key", "left").drop("_key")
+    key = found.columns[0]
+    return rows.join(found, key, "left").drop(key)
 
 
 def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:

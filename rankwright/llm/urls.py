@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import table, written
+from rankwright.llm.common import fresh, table, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,10 +99,11 @@ def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", html: str = "htm
     """Add host, path, rule, verdict, trust and distrust to every row of ``pages``; html goes."""
     host, path = host_and_path(F.col(url))
     kept = [c for c in pages.columns if c not in (html, "host", "path", "rule", "verdict", "trust", "distrust")]
-    parsed = pages.select(*kept, F.col(html).alias("html"), host.alias("host"), path.alias("path")).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
-    verdicts = written(host_verdicts(parsed.select("host", "html", "found"), **how), "verdicts")
-    judged = parsed.drop("html").join(verdicts, "host", "left")
-    return judged.select(*kept, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    source, found, of_host = (fresh(pages, x) for x in ("_html", "found", "host_verdict"))
+    parsed = pages.select(*kept, F.col(html).alias(source), host.alias("host"), path.alias("path")).withColumn(found, rule_for(F.col("host"), F.col("path"), rules))
+    verdicts = written(host_verdicts(parsed.select("host", F.col(source).alias("html"), F.col(found).alias("found")), **how), "verdicts").withColumnRenamed("host_verdict", of_host)
+    judged = parsed.drop(source).join(verdicts, "host", "left")
+    return judged.select(*kept, "host", "path", F.col(f"{found}.rule").alias("rule"), F.coalesce(f"{found}.verdict", of_host, F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
