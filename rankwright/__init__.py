@@ -1,4 +1 @@
 """Spark-native rating, ranking and curation engine."""
-
-#: Part of the address of stage artifacts: raise it when a stage computes something else.
-__version__ = "3"

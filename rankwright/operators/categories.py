@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,37 @@ MEAN, SPREAD, FLOOR, CAP = 50.0, {"scoring": 22.0, "shooting": 20.0}, 5.0, 100.0
 GATE, OTHERS_CAP, CROWN, FULL_GAMES = 0.10, 82, 3.0, 6.0
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """Everything that can be tuned about the ratings; the defaults are the fixed values above.
+
+    ``weights`` are by category and component; ``credibility`` maps a component to its backing volume and the weight of the mean, ``sparse`` to
+    its zero rank and floor. ``spread`` is by category, ``usual_spread`` for the rest.
+    """
+
+    weights: Mapping[str, Mapping[str, float]] = field(default_factory=lambda: WEIGHTS)
+    perimeter: Mapping[str, float] = field(default_factory=lambda: PERIMETER)
+    interior: Mapping[str, float] = field(default_factory=lambda: INTERIOR)
+    clutch_box: Mapping[str, float] = field(default_factory=lambda: CLUTCH_BOX)
+    within_season: Sequence[str] = WITHIN_SEASON
+    sparse: Mapping[str, tuple[float, float]] = field(default_factory=lambda: SPARSE)
+    credibility: Mapping[str, tuple[str, float]] = field(default_factory=lambda: CREDIBILITY)
+    mean: float = MEAN
+    spread: Mapping[str, float] = field(default_factory=lambda: SPREAD)
+    usual_spread: float = 18.0
+    floor: float = FLOOR
+    cap: float = CAP
+    gate: float = GATE
+    others_cap: float = OTHERS_CAP
+    crown: float = CROWN
+    full_games: float = FULL_GAMES
+    band: float = 0.06
+    least_guard: float = 0.10
+
+    def sd(self, category: str) -> float:
+        return self.spread.get(category, self.usual_spread)
+
+
 def _games() -> Column:
     return F.greatest(F.coalesce(F.col("g"), F.lit(1.0)), F.lit(1.0))
 
@@ -84,7 +116,7 @@ def fill_signals(df: DataFrame, playoff_weight: float = 20, first_season: int =
     return out.withColumns({"gw_score": F.when(covered, zero(F.col("gw")) + (playoff_weight - 1) * zero(F.col("gw_po"))), "ct_pts": F.when(covered, zero(F.col("ct_pts")))})
 
 
-def credible(df: DataFrame, names: Sequence[str], player: str = "player_id", season: str = "season") -> DataFrame:
+def credible(df: DataFrame, names: Sequence[str], player: str = "player_id", season: str = "season", how: Mapping[str, tuple[str, float]] | None = None) -> DataFrame:
     """Component columns ``c_<name>`` shrunk to their unweighted mean by the backing volume.
 
     Minutes, and assists with turnovers, are the totals of the player's season over all its rows.
@@ -94,16 +126,16 @@ def credible(df: DataFrame, names: Sequence[str], player: str = "player_id", sea
     means = df.agg(*(F.avg(f"c_{n}").alias(f"_m_{n}") for n in names))
     volume = {"mp": F.col("_mp"), "ast_tov": F.col("_ast_tov"), "po_fga": zero("po_fga")}
     out = df.join(totals, [player, season]).crossJoin(F.broadcast(means))
-    made = {}
+    made, how = {}, CREDIBILITY if how is None else how
     for n in names:
-        of, k = CREDIBILITY[n]
+        of, k = how[n]
         mean, v = F.col(f"_m_{n}"), F.greatest(volume[of], F.lit(0.0))
         made[f"c_{n}"] = mean + (F.col(f"c_{n}") - mean) * v / (v + k)
     return out.withColumns(made).drop("_mp", "_ast_tov", *(f"_m_{n}" for n in names))
 
 
-def _rank(name: str) -> Rank:
-    return Rank(f"c_{name}", f"rk_{name}", within=("season",) if name in WITHIN_SEASON else (), sparse=SPARSE.get(name))
+def _rank(name: str, how: Scheme) -> Rank:
+    return Rank(f"c_{name}", f"rk_{name}", within=("season",) if name in how.within_season else (), sparse=how.sparse.get(name))
 
 
 def _rounded(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -111,41 +143,41 @@ def _rounded(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns({n: F.round(c, 9) for n, c in columns.items()})
 
 
-def rate(df: DataFrame, categories: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
+def rate(df: DataFrame, categories: Sequence[str] = tuple(WEIGHTS), how: Scheme = Scheme()) -> DataFrame:
     """comp_<category> and <category>, a rating of 0 to 100, of each row.
 
     Components are shrunk and ranked in one pass, archetypes made and ranked again, composites made, those of
     non-shooters confined below the composite whose rating is the cap, and all composites ranked and curved in one pass.
     ``gw_po`` and ``ct_g`` weigh the clutch arms; an arm whose weight or rank is missing is ignored.
     """
-    parts = {n: c for cat in categories for n, c in components()[cat].items()}
+    parts = {n: c for cat in categories for n, c in components(how.gate, how.band, how.least_guard)[cat].items()}
     work = _rounded(df, {f"c_{n}": c for n, c in parts.items()})
-    if shrunk := [n for n in parts if n in CREDIBILITY]:
-        work = _rounded(credible(work, shrunk), {f"c_{n}": F.col(f"c_{n}") for n in shrunk})
-    work = ranking.percentile_ranks(work, [_rank(n) for n in parts])
+    if shrunk := [n for n in parts if n in how.credibility]:
+        work = _rounded(credible(work, shrunk, how=how.credibility), {f"c_{n}": F.col(f"c_{n}") for n in shrunk})
+    work = ranking.percentile_ranks(work, [_rank(n, how) for n in parts])
     of = lambda weights: shrink.weighted_composite({f"rk_{n}": w for n, w in weights.items()})
     again = {}
     if "defense" in categories:
-        again["box_best"] = shrink.best_of(of(PERIMETER), of(INTERIOR))
+        again["box_best"] = shrink.best_of(of(how.perimeter), of(how.interior))
     if "clutch" in categories:
-        again["clutch_box"] = of(CLUTCH_BOX)
+        again["clutch_box"] = of(how.clutch_box)
     if again:
         work = ranking.percentile_ranks(_rounded(work, {f"c_{n}": c for n, c in again.items()}), [Rank(f"c_{n}", f"rk_{n}") for n in again])
     if "clutch" in categories:
         arm = lambda rank, count, full: F.col(rank) * scalars.clip(F.col(count) / full, 0.0, 1.0)
-        work = work.withColumn("rk_clutch_best", shrink.best_of(F.col("rk_clutch_box"), arm("rk_clutch_shots", "gw_po", CROWN), arm("rk_clutch_time", "ct_g", FULL_GAMES)))
-    comps = {f"comp_{cat}": of(WEIGHTS[cat]) for cat in categories}
+        work = work.withColumn("rk_clutch_best", shrink.best_of(F.col("rk_clutch_box"), arm("rk_clutch_shots", "gw_po", how.crown), arm("rk_clutch_time", "ct_g", how.full_games)))
+    comps = {f"comp_{cat}": of(how.weights[cat]) for cat in categories}
     if "clutch" in categories:
         comps["comp_clutch"] = shrink.lift_only(comps["comp_clutch"], F.col("rk_clutch_best"))
     work = _rounded(work, comps)
     if "shooting" in categories:
-        share = NormalDist().cdf((OTHERS_CAP - MEAN) / SPREAD["shooting"])
+        share = NormalDist().cdf((how.others_cap - how.mean) / how.sd("shooting"))
         work = work.crossJoin(F.broadcast(ranking.quantiles(work, "comp_shooting", {"_most": share})))
-        confined = F.when(is_shooter() | F.col("comp_shooting").isNull(), F.col("comp_shooting")).otherwise(F.least("comp_shooting", "_most"))
+        confined = F.when(is_shooter(how.gate) | F.col("comp_shooting").isNull(), F.col("comp_shooting")).otherwise(F.least("comp_shooting", "_most"))
         work = _rounded(work, {"comp_shooting": confined}).drop("_most")
-    work = ranking.percentile_ranks(work, [Rank(f"comp_{cat}", f"_{cat}", curve=(MEAN, SPREAD.get(cat, 18.0), FLOOR, CAP)) for cat in categories])
+    work = ranking.percentile_ranks(work, [Rank(f"comp_{cat}", f"_{cat}", curve=(how.mean, how.sd(cat), how.floor, how.cap)) for cat in categories])
     out = work.withColumns({cat: scalars.half_even(F.col(f"_{cat}")) for cat in categories})
     if "shooting" in categories:
-        out = out.withColumn("shooting", F.when(is_shooter(), F.col("shooting")).otherwise(scalars.clip(F.col("shooting"), high=OTHERS_CAP)))
+        out = out.withColumn("shooting", F.when(is_shooter(how.gate), F.col("shooting")).otherwise(scalars.clip(F.col("shooting"), high=how.others_cap)))
     kept = [c for c in df.columns if c not in (*categories, *(f"comp_{x}" for x in categories))]
     return out.select(*kept, *(f"comp_{cat}" for cat in categories), *categories)

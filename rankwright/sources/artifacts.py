@@ -1,6 +1,6 @@
 """Stage artifacts, addressed by the digest of what made them.
 
-An artifact's name holds the digest of its parameters, of this library's version and of its inputs (paths, sizes and times of all files),
+An artifact's name holds the digest of its parameters, of this library's code and of its inputs (paths, sizes and times of all files),
 so that a stage whose inputs and parameters are unchanged is read and not built again, by any later query or application. It is built beside
 its place and published by one rename: readers see all of it or nothing, a failed or gated build publishes nothing, and of two
 builders the first wins. What nobody has used for a while is swept.
@@ -14,6 +14,8 @@ import re
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,16 @@ def fingerprint(spark: SparkSession, paths: Sequence[str]) -> list:
     return [str(x) for x in digest(files.select("path", "length", "modificationTime")).first()]
 
 
+@cache
+def code() -> str:
+    """Digest of the library's own modules: other code, other artifacts."""
+    root, out = Path(rankwright.__file__).parent, hashlib.sha256()
+    for part in ("functions", "operators", "plans", "sources"):
+        for file in sorted((root / part).glob("*.py")):
+            out.update(f"{part}/{file.name}".encode() + file.read_bytes())
+    return out.hexdigest()
+
+
 class Artifacts:
     """The artifacts in one folder, ``artifacts`` in the shared one by default."""
 
@@ -38,7 +50,7 @@ class Artifacts:
         self.spark, self.root = spark, root or f"{shared_dir(spark)}/artifacts"
 
     def address(self, name: str, inputs: Sequence[str], params: Mapping) -> str:
-        told = json.dumps([rankwright.__version__, name, params, fingerprint(self.spark, inputs)], sort_keys=True, default=str)
+        told = json.dumps([code(), name, params, fingerprint(self.spark, inputs)], sort_keys=True, default=str)
         return f"{self.root}/{name}-{hashlib.sha256(told.encode()).hexdigest()[:32]}"
 
     def get(self, name: str, inputs: Sequence[str], params: Mapping, build: Callable[[], DataFrame]) -> DataFrame:
