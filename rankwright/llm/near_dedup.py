@@ -2,7 +2,7 @@
 
 Documents with equal sets form a class, represented by its smallest id. Each class has a signature
 of MinHash values; each tree of the forest sorts the classes by a rotation of the signature. Classes
-that share the first value of a tree are a region; a region of over ``most_rows`` goes one value
+that share the first value of a tree are a region; a region of over a quarter of ``most_rows`` goes one value
 deeper, again and again, so that the depth adapts to how dense it is. Candidates are the
 neighbours in the sorted order, those with the longest common prefixes, and in dense regions also
 its hub, the class that agrees most with the region's commonest values, and the best of a few spread over it. Candidates whose
@@ -11,8 +11,10 @@ first each class's best candidate, then each component's best to another one, th
 After each of these, components are contracted, so that links count by component and not by pair. Neighbours and
 hubs are bounded in number, so regions that still hold several components are then searched for
 every candidate across components; pairs within a component are left out, as they can change nothing.
-A region that is over ``most_rows`` at the deepest level gets its first candidates in parts of about that size;
-the search across components takes it whole, every part with every part, each two in a block of their own.
+A pair is searched in the first tree in which it shares a region, and in no other. Many candidates of a block, as
+texts of one template give, are confirmed together: products of 0/1 matrices count what their full sets have in common.
+A region that is over that size at the deepest level gets its first candidates in parts of about it;
+the search across components takes it whole: over ``most_rows``, every part with every part, each two in a block of their own.
 
 Words are lower-cased (A-Z); a set holds the distinct runs of ``words`` words, or the whole text
 as one run if it has fewer words. Null text and text without words has an empty set, is linked with
@@ -40,14 +42,15 @@ _C = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Forest:
     """Linked: 100 * intersection >= percent * union. Neighbours and pivots bound the first candidates
-    of one class in one tree; ``across`` finds what they miss. In ``most_rows`` a set counts once, and once more
-    for every ``set_values`` shingles, so that a block's sets are bounded in bytes."""
+    of one class in one tree; ``across`` finds what they miss. A region of over a quarter of ``most_rows`` goes deeper;
+    a block has up to about ``most_rows``, in which a set counts once, and once more for every ``set_values`` shingles,
+    so that a block's sets are bounded in bytes."""
 
     words: int = 5
     percent: int = 80
     trees: int = 16
     values: int = 64
-    most_rows: int = 1000
+    most_rows: int = 4000
     deepest: int = 4
     neighbours: int = 3
     pivots: int = 16
@@ -107,6 +110,7 @@ def regions(classes: DataFrame, how: Forest) -> DataFrame:
     turned = F.concat(F.substring("sig", start + 1, F.lit(4 * how.deepest)), F.substring("sig", F.lit(1), F.lit(4 * how.deepest)))
     weight = (1 + F.col("n_shingles") / how.set_values).cast("int").alias("weight")
     rows = classes.select("rep", weight, F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"), "sig").select("rep", "weight", "tree", F.substring(turned, 1, 4 * how.deepest).alias("prefix"))
+    most = max(1, how.most_rows // 4)
     out, depth = None, 1
     while True:
         keyed = rows.withColumn("head", F.substring("prefix", 1, 4 * depth))
@@ -116,13 +120,13 @@ def regions(classes: DataFrame, how: Forest) -> DataFrame:
         sized = written(keyed.join(counts, ["tree", "head"]).select("rep", "weight", "tree", "prefix", "head", "size"), "regions")
         discard(counts)
         # beyond the deepest level the first candidates are sought in parts, other ones in each tree
-        part = F.when(F.col("size") > how.most_rows, F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("size") / how.most_rows))).otherwise(0)
-        done = sized if last else sized.where(F.col("size") <= how.most_rows)
+        part = F.when(F.col("size") > most, F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("size") / most))).otherwise(0)
+        done = sized if last else sized.where(F.col("size") <= most)
         done = done.select(F.xxhash64("tree", "head").alias("whole"), F.xxhash64("tree", "head", part).alias("region"), "tree", "rep", "weight")
         out = done if out is None else out.union(done)
-        if last or sized.where(F.col("size") > how.most_rows).isEmpty():
+        if last or sized.where(F.col("size") > most).isEmpty():
             return out
-        rows, depth = sized.where(F.col("size") > how.most_rows).select("rep", "weight", "tree", "prefix"), depth + 1
+        rows, depth = sized.where(F.col("size") > most).select("rep", "weight", "tree", "prefix"), depth + 1
 
 
 def _near(sigs: np.ndarray, reps: np.ndarray, how: Forest) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -157,47 +161,75 @@ def _near(sigs: np.ndarray, reps: np.ndarray, how: Forest) -> list[tuple[np.ndar
 LEFT, RIGHT, FEW = 1, 2, 4
 
 
-def _across(sigs: np.ndarray, reps: np.ndarray, parts: np.ndarray, how: Forest, sides: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Every candidate of one block between different components, left with right: (rep, rep, values that agree).
+def _pairs(sigs: np.ndarray, reps: np.ndarray, parts: np.ndarray, how: Forest, sides: np.ndarray | None = None, sizes: np.ndarray | None = None, homes: np.ndarray | None = None, whole: int = 0):
+    """Every candidate of one block between different components, left with right: (place, place, values that agree), some at a time.
 
     Left rows are never in the region's largest component, so that a dense group costs little. Without
-    ``sides`` the block is a region of its own.
+    ``sides`` the block is a region of its own. Pairs whose ``sizes`` (of sets) are too far apart to be linked are left out, and
+    so are pairs that share a region in a tree before that of ``whole``: ``homes`` has each row's region in each tree.
     """
-    out = []
     names, back, counts = np.unique(parts, return_inverse=True, return_counts=True)
     if len(names) < 2:
-        return out
+        return
     if sides is None:
         sides = np.where(back != counts.argmax(), LEFT | RIGHT | FEW, RIGHT)
     least = how.least_agreeing * how.values
     left, right = np.flatnonzero(sides & LEFT), np.flatnonzero(sides & RIGHT)
-    step = max(1, (1 << 22) // (max(1, len(right)) * how.values))
+    earlier = () if homes is None else homes.T[: int(np.argmax(homes[0] == whole))]
+    by_value = np.ascontiguousarray(sigs.T)
+    step = max(1, (1 << 20) // max(1, len(right)))
     for a in range(0, len(left), step):
         some = left[a : a + step]
-        agree = (sigs[some][:, None, :] == sigs[right][None, :, :]).sum(axis=2)
         # a pair of which neither row is in the largest component is met twice
-        once = (sides[right] & FEW == 0)[None, :] | (reps[right][None, :] > reps[some][:, None])
-        i, j = np.nonzero((agree >= least) & once & (back[some][:, None] != back[right][None, :]))
-        x, y = reps[some[i]], reps[right[j]]
-        out.append((np.minimum(x, y), np.maximum(x, y), agree[i, j]))
-    return out
+        still = (sides[right] & FEW == 0)[None, :] | (reps[right][None, :] > reps[some][:, None])
+        still &= back[some][:, None] != back[right][None, :]
+        if sizes is not None:
+            p, q = sizes[some][:, None], sizes[right][None, :]
+            still &= (100 * p >= how.percent * q) & (100 * q >= how.percent * p)
+        for home in earlier:
+            still &= home[some][:, None] != home[right][None, :]
+        i, j = np.nonzero(still)
+        if 4 * len(i) > still.size:
+            dense = np.zeros(still.shape, np.uint16)
+            for value in by_value:
+                dense += value[some][:, None] == value[right][None, :]
+            agree = dense[i, j]
+        else:
+            agree = (sigs[some[i]] == sigs[right[j]]).sum(axis=1)
+        ok = agree >= least
+        if ok.any():
+            yield some[i[ok]], right[j[ok]], agree[ok]
 
 
-def _searched(rows: DataFrame, search) -> DataFrame:
+def _across(sigs: np.ndarray, reps: np.ndarray, parts: np.ndarray, how: Forest, sides: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of ``_pairs`` by ids: (rep, rep, values that agree)."""
+    return [(np.minimum(reps[i], reps[j]), np.maximum(reps[i], reps[j]), agree) for i, j, agree in _pairs(sigs, reps, parts, how, sides)]
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """A column as an array: signatures and lists as rows of values."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), ">u4").astype(np.uint32).reshape(len(column), -1)
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy().reshape(len(column), -1)
+    return column.to_numpy()
+
+
+def _searched(rows: DataFrame, search, *columns: str) -> DataFrame:
     """(region, a, b, agree) with a < b that ``search`` gives for each region of
-    (region, rep, sig, order, part, side); it gets signatures, ids, components and sides in the region's order."""
-    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "region").sortWithinPartitions("region", "order", "rep").select("region", "rep", "sig", "part", "side")
+    (region, rep, sig, order, *columns); it gets signatures, ids and ``columns`` in the region's order."""
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "region").sortWithinPartitions("region", "order", "rep").select("region", "sig", "rep", *columns)
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
 
         def pairs(blocks):
-            region, reps, sigs, parts, sides = (np.concatenate(x) for x in zip(*blocks))
+            region, *columns = (np.concatenate(x) for x in zip(*blocks))
             out = []
             cuts = np.flatnonzero(np.diff(region)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(region)]):
                 if b - a > 1:
-                    out += [(np.full(len(x[0]), region[a]), *x) for x in search(sigs[a:b], reps[a:b], parts[a:b], sides[a:b])]
+                    out += [(np.full(len(x[0]), region[a]), *x) for x in search(*(c[a:b] for c in columns))]
             if out:
                 made = [np.concatenate(x).astype(np.int64) for x in zip(*out)]
                 if len(made[0]):
@@ -205,16 +237,16 @@ def _searched(rows: DataFrame, search) -> DataFrame:
             return None
 
         for batch in batches:
-            region, reps, parts, sides = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
-            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").astype(np.uint32).reshape(batch.num_rows, -1)
+            values = list(map(_values, batch.columns))
+            region = values[0]
             # the last region of a batch may go on in the next one
             cut = int(np.searchsorted(region != region[-1], False)) if region[0] == region[-1] else int(np.flatnonzero(region != region[-1])[-1]) + 1
             if cut:
-                made = pairs([*held, (region[:cut], reps[:cut], sigs[:cut], parts[:cut], sides[:cut])])
+                made = pairs([*held, [x[:cut] for x in values]])
                 held = []
                 if made is not None:
                     yield made
-            held.append((region[cut:], reps[cut:], sigs[cut:], parts[cut:], sides[cut:]))
+            held.append([x[cut:] for x in values])
         if held and (made := pairs(held)) is not None:
             yield made
 
@@ -226,12 +258,12 @@ def candidates(found: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
     step = 4 * (how.values // how.trees)
     start = F.col("tree") * step
     order = F.concat(F.substring("sig", start + 1, F.lit(4 * how.values)), F.substring("sig", F.lit(1), start))
-    rows = found.join(classes.select("rep", "sig"), "rep").select("region", "rep", "sig", order.alias("order"), F.col("rep").alias("part"), F.lit(LEFT | RIGHT).alias("side"))
-    return _searched(rows, lambda sigs, reps, *_: _near(sigs, reps, how)).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    rows = found.join(classes.select("rep", "sig"), "rep").select("region", "rep", "sig", order.alias("order"))
+    return _searched(rows, lambda sigs, reps: _near(sigs, reps, how)).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def blocks(found: DataFrame, parts: DataFrame, how: Forest) -> DataFrame:
-    """(region, rep, part, side) of the blocks in which all of each region in ``found`` that holds several
+    """(region, whole, rep, part, side) of the blocks in which all of each region in ``found`` that holds several
     components is searched: rows outside its largest component against all rows.
 
     A region of up to ``most_rows`` is one block. A larger one is dealt into parts of about half as many,
@@ -249,23 +281,32 @@ def blocks(found: DataFrame, parts: DataFrame, how: Forest) -> DataFrame:
     as_left = F.transform(F.sequence(F.lit(0), F.col("n_right") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), (own + LEFT + F.when(j == F.col("j"), RIGHT).otherwise(0)).alias("side")))
     as_right = F.transform(F.filter(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: ~F.col("few") | (i != F.col("i"))), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), (own + RIGHT).alias("side")))
     spread = rows.select("whole", "rep", "part", F.explode(F.when(F.col("few"), F.concat(as_left, as_right)).otherwise(as_right)).alias("b"))
-    return spread.select(F.xxhash64("whole", "b.i", "b.j").alias("region"), "rep", "part", F.col("b.side").alias("side"))
+    return spread.select(F.xxhash64("whole", "b.i", "b.j").alias("region"), "whole", "rep", "part", F.col("b.side").alias("side"))
+
+
+#: What ``_pairs`` takes of a row, besides its signature and id.
+OF_PAIRS = ("part", "side", "n_shingles", "homes", "whole")
 
 
 def across(found: DataFrame, classes: DataFrame, parts: DataFrame, how: Forest) -> DataFrame:
-    """(region, rep, part, side, sig) of classes with a candidate in another component, in one of the ``blocks``.
+    """(region, rep, sig, part, side, n_shingles, homes, whole) of classes with a candidate in another component, in one of the ``blocks``.
 
-    At most one row per class and block; the pairs themselves are not emitted.
+    At most one row per class and block; the pairs themselves are not emitted. A pair counts in the first tree in which
+    it shares a region, so later trees only search what is left.
     """
     rows = written(blocks(found, parts, how), "blocks")
+    # who has no region in a tree is alone there
+    home = [F.coalesce(F.max(F.when(F.col("tree") == t, F.col("whole"))), F.col("rep")) for t in range(how.trees)]
+    known = written(found.groupBy("rep").agg(F.array(*home).alias("homes")).join(classes.select("rep", "sig", "n_shingles"), "rep"), "known")
 
-    def members(sigs, reps, parts, sides):
-        got = [np.concatenate(x[:2]) for x in _across(sigs, reps, parts, how, sides)]
-        ids = np.unique(np.concatenate(got)) if got else np.empty(0, np.int64)
-        return [(ids, ids, np.zeros(len(ids), np.int64))]
+    def members(sigs, reps, parts, sides, sizes, homes, wholes):
+        seen = np.zeros(len(reps), bool)
+        for i, j, _ in _pairs(sigs, reps, parts, how, sides, sizes, homes, wholes[0]):
+            seen[i] = seen[j] = True
+        return [(reps[seen], reps[seen], np.zeros(seen.sum(), np.int64))]
 
-    made = _searched(rows.join(classes.select("rep", "sig"), "rep").select("region", "rep", "sig", F.lit(0).alias("order"), "part", "side"), members)
-    return made.select("region", F.col("a").alias("rep")).join(rows, ["region", "rep"]).join(classes.select("rep", "sig"), "rep")
+    made = _searched(rows.join(known, "rep").select("region", "rep", "sig", F.lit(0).alias("order"), *OF_PAIRS), members, *OF_PAIRS)
+    return made.select("region", F.col("a").alias("rep")).join(rows, ["region", "rep"]).join(known, "rep").select("region", "rep", "sig", *OF_PAIRS)
 
 
 def linked(p: np.ndarray, q: np.ndarray, how: Forest) -> bool:
@@ -278,6 +319,45 @@ def linked(p: np.ndarray, q: np.ndarray, how: Forest) -> bool:
     return 100 * common >= how.percent * (len(both) - common)
 
 
+class Common:
+    """How many values rows of a block have in common, for many pairs at once.
+
+    Values of one row only are in no intersection. Those of at least every sixteenth row are counted by products of 0/1
+    matrices, the others through the list of rows that have them, so that neither grows with rows times distinct values.
+    """
+
+    def __init__(self, sets: list[np.ndarray], columns: int = 1024):
+        self.n, self.columns = len(sets), columns
+        _, value, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(self.n), [len(x) for x in sets])
+        often = counts >= max(2, self.n / 16)
+        place = np.cumsum(often) - 1
+        dense = often[value]
+        self.dense = np.zeros((self.n, int(often.sum())), np.uint8)
+        self.dense[row[dense], place[value[dense]]] = 1
+        rare = (counts[value] > 1) & ~dense
+        value, row = value[rare], row[rare]
+        self.starts = np.searchsorted(row, np.arange(self.n + 1))
+        self.of_row = value
+        self.rows = row[np.argsort(value, kind="stable")]
+        self.ends = np.cumsum(np.bincount(value, minlength=len(counts)))
+        self.lengths = np.diff(self.ends, prepend=0)
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """Values that each of ``rows`` has in common with every other row; of itself those that another row has too."""
+        out = np.zeros((len(rows), self.n), np.float32)
+        for a in range(0, self.dense.shape[1], self.columns):
+            some = self.dense[:, a : a + self.columns].astype(np.float32)
+            out += some[rows] @ some.T
+        for k, r in enumerate(rows):
+            mine = self.of_row[self.starts[r] : self.starts[r + 1]]
+            if len(mine):
+                lengths = self.lengths[mine]
+                first = np.repeat(self.ends[mine] - np.cumsum(lengths), lengths)
+                out[k] += np.bincount(self.rows[first + np.arange(len(first))], minlength=self.n)
+        return out
+
+
 class Joined:
     """Which parts a task has joined."""
 
@@ -344,30 +424,43 @@ def confirm_by_region(members: DataFrame, sets: DataFrame, how: Forest) -> DataF
     A task holds the sets of one block, which ``most_rows`` bounds, and gives no more links than
     join the block's components.
     """
-    rows = members.join(sets, "rep").select("region", "rep", "part", "side", "sig", "found")
+    columns = ["sig", "rep", *OF_PAIRS, "found"]
+    rows = members.join(sets, "rep").select("region", *columns)
     dealt = rows.repartition(shuffle_partitions(members.sparkSession), "region").sortWithinPartitions("region", "rep")
 
     def links(held):
-        reps, parts, sides, sigs, found = zip(*held)
-        sigs = np.frombuffer(b"".join(sigs), ">u4").astype(np.uint32).reshape(len(reps), -1)
-        of, joined = dict(zip(reps, parts)), Joined()
-        full = {r: np.frombuffer(x, np.uint64) for r, x in zip(reps, found)}
-        for x, y, _ in _across(sigs, np.array(reps), np.array(parts), how, np.array(sides)):
-            for a, b in zip(x.tolist(), y.tolist()):
-                if joined.top(of[a]) != joined.top(of[b]) and linked(full[a], full[b], how):
-                    joined.join(of[a], of[b])
-                    yield of[a], of[b]
+        sigs, reps, parts, sides, sizes, homes, wholes = (np.concatenate(x) for x in zip(*(x[:-1] for x in held)))
+        full = [np.frombuffer(x, np.uint64) for *_, some in held for x in some.to_pylist()]
+        names, back = np.unique(parts, return_inverse=True)
+        joined, common = Joined(), None
+        for i, j, _ in _pairs(sigs, reps, parts, how, sides, sizes, homes, wholes[0]):
+            top = np.array([joined.top(x) for x in names.tolist()])[back]
+            apart = top[i] != top[j]
+            i, j = i[apart], j[apart]
+            if many := len(i) > 4 * len(reps):
+                common = common or Common(full)
+                rows, place = np.unique(i, return_inverse=True)
+                both = common.counts(rows)[place, j]
+                near = 100 * both >= how.percent * (sizes[i] + sizes[j] - both)
+                i, j = i[near], j[near]
+            for a, b in zip(i.tolist(), j.tolist()):
+                p, q = int(parts[a]), int(parts[b])
+                if joined.top(p) != joined.top(q) and (many or linked(full[a], full[b], how)):
+                    joined.join(p, q)
+                    yield p, q
 
     def run(batches):
         at, held = None, []
-
         for batch in batches:
-            for region, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if region != at:
+            region = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(region)) + 1), len(region)]
+            for a, b in zip(cuts, cuts[1:]):
+                if region[a] != at:
                     if held:
                         yield _links(list(links(held)))
-                    at, held = region, []
-                held.append(row)
+                    at, held = region[a], []
+                part = batch.slice(a, b - a)
+                held.append([*map(_values, part.columns[1:-1]), part.column(part.num_columns - 1)])
         if held:
             yield _links(list(links(held)))
 
