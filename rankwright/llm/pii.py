@@ -31,6 +31,8 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A cue (a word and a mark that binds it to what follows) and the token after it.
 CUED = r"""(?<![A-Za-z_])([A-Za-z_]{2,24}+["']?+\x20?+[=:#]\x20?+["']?+)([A-Za-z0-9+/_.@-]{6,}+)"""
+#: What every text with a cue and a token holds.
+CAN_CUE = r"""[=:#]\x20?["']?[A-Za-z0-9+/_.@-]{6}"""
 #: Shapes of tokens that are taken as seeds where they follow a cue.
 SEED_SHAPES = r"^(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16})$"
 #: Matches that are folded at a time.
@@ -41,12 +43,14 @@ _BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """Most rounds, and what makes a pattern trusted: distinct known instances and their share."""
+    """Most rounds, what makes a pattern trusted (distinct known instances and their share), and how many
+    trusted patterns (of 30 letters at most each) go to all tasks; more are joined."""
 
     rounds: int = 10
     least_known: int = 5
     least_share: float = 0.5
     least_instance: float = 0.5
+    most_patterns: int = 1000
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -112,11 +116,35 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def cued_tokens(text: Column) -> Column:
     """Array of (start, end, value) of cue and token together."""
-    return F.when(text.rlike(r"""[=:#]\x20?["']?[A-Za-z0-9+/_.@-]{6}"""), matches(text, CUED)).otherwise(_none())
+    return F.when(text.rlike(CAN_CUE), matches(text, CUED)).otherwise(_none())
 
 
-def _overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+def _tokens(base: Column, cued: Column) -> Column:
+    """Structs of cue, value, start, end (of the token), is_base and seed. The token starts where the cue ends.
+
+    A token that overlaps a base span is the seed instance of its cue.
+    """
+    parts = F.transform(cued, lambda x: F.struct(F.regexp_extract(x["value"], CUED, 1).alias("cue"), F.regexp_extract(x["value"], CUED, 2).alias("value"), x["start"].alias("start"), x["end"].alias("end")))
+    placed = F.transform(parts, lambda x: F.struct(F.lower(x["cue"]).alias("cue"), x["value"].alias("value"), (x["start"] + F.length(x["cue"])).alias("start"), x["end"].alias("end")))
+
+    def marked(x):
+        hit = F.exists(base, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+        return _let(hit, lambda h: F.struct(*(x[c].alias(c) for c in ("cue", "value", "start", "end")), h.alias("is_base"), (h | x["value"].rlike(SEED_SHAPES)).alias("seed")))
+
+    return F.transform(placed, marked)
+
+
+def _as_kind(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _base(text: Column) -> Column:
+    return F.concat(*(_as_kind(k, x) for k, x in base_spans(text).items()))
+
+
+def tagged(text: Column) -> Column:
+    """Struct of base, the (kind, start, end) in order of kind and start, and tokens (``_tokens``); ``text`` has no nulls."""
+    return _let(F.struct(_base(text).alias("base"), cued_tokens(text).alias("cued")), lambda s: F.struct(s["base"].alias("base"), _tokens(s["base"], s["cued"]).alias("tokens")))
 
 
 def trusted_patterns(edges: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
@@ -132,7 +160,7 @@ def trusted_patterns(edges: DataFrame, how: Bootstrap = Bootstrap()) -> DataFram
     for _ in range(how.rounds):
         scored = edges.join(known, "value").groupBy("cue").agg(F.avg("belief").alias("score"), F.count_if(F.col("belief") >= how.least_instance).alias("n_known"))
         trusted = written(scored.where((F.round("score", 9) >= how.least_share) & (F.col("n_known") >= how.least_known)).select("cue", F.round("score", 9).alias("score")), "patterns")
-        state = trusted.agg(F.count("*"), F.round(F.sum("score"), 6)).first()
+        state = trusted.agg(F.count("*"), F.bit_xor(F.xxhash64("cue", "score"))).first()
         if state == before or not state[0]:
             break
         before = state
@@ -142,51 +170,51 @@ def trusted_patterns(edges: DataFrame, how: Bootstrap = Bootstrap()) -> DataFram
     return trusted
 
 
-def find_pii(df: DataFrame, text: str = "text", row: tuple[str, ...] = ("doc_id",), how: Bootstrap = Bootstrap()) -> DataFrame:
-    """(rows, found): ``df`` with a key for each row, and by key ``pii``: array of (kind, start, end) in order of kind and start.
+def with_pii(df: DataFrame, text: str = "text", row: tuple[str, ...] = ("doc_id",), how: Bootstrap = Bootstrap()) -> DataFrame:
+    """``df`` with the column ``pii``: array of (kind, start, end) in order of kind and start, added spans last.
 
-    ``row`` names the columns that, with the text, tell rows apart. The key is the first column of ``found``, under a name that ``df`` does not have.
+    One pass over the texts that hold a cue gives the edges, a second one over all texts the spans. Up to ``how.most_patterns``
+    trusted patterns go to it as a set of literals, so that no text is shuffled. More are joined with the tokens;
+    ``row`` names the columns that, with the text, then spread equal texts over the join.
     """
-    kept, name, filled = [c for c in df.columns if c != "pii"], fresh(df, "_key"), fresh(df, "_text")
+    kept, filled = [c for c in df.columns if c != "pii"], fresh(df, "_text")
     raw = df.select(*kept, F.coalesce(text, F.lit("")).alias(filled))
-    key = F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in row), filled), 256)
-    light = raw.select(key.alias("_key"), *(x.alias(k) for k, x in base_spans(F.col(filled)).items()), cued_tokens(F.col(filled)).alias("cued"))
-    light = written(light, "spans")
-    every = F.concat(*KINDS)
-
-    # the token starts where the cue ends
-    cue = F.regexp_extract("x.value", CUED, 1)
-    value = F.regexp_extract("x.value", CUED, 2)
-    cues = light.where(F.size("cued") > 0).select("_key", every.alias("base"), F.explode("cued").alias("x"))
-    tokens = cues.select("_key", F.lower(cue).alias("cue"), value.alias("value"), (F.col("x.start") + F.length(cue)).alias("start"), F.col("x.end").alias("end"), "base")
-    # a cue before a base entity: the entity is the seed instance of the cue
-    base_hit = F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    marked = tokens.select("_key", "cue", "value", "start", "end", base_hit.alias("is_base"), (base_hit | F.col("value").rlike(SEED_SHAPES)).alias("seed"))
-    marked = written(marked, "tokens")
-    trusted = trusted_patterns(marked.select("cue", "value", "seed"), how)
-    added = marked.where(~F.col("is_base")).join(trusted, "cue").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("added"))
-
-    as_kind = lambda name, spans: F.transform(spans, lambda s: F.struct(F.lit(name).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    # equal keys are equal rows: one of them is joined
-    found = light.groupBy("_key").agg(*(F.first(k).alias(k) for k in KINDS)).join(added, "_key", "left")
-    spans = F.concat(*(as_kind(k, F.col(k)) for k in KINDS), as_kind("secret", F.coalesce("added", F.array().cast("array<struct<start:int,end:int>>"))))
-    return raw.select(*kept, key.alias(name)), found.select(F.col("_key").alias(name), spans.alias("pii"))
-
-
-def with_pii(df: DataFrame, text: str = "text", row: tuple[str, ...] = ("doc_id",), how: Bootstrap = Bootstrap()) -> DataFrame:
-    """``df`` with the column ``pii`` of ``find_pii``."""
-    rows, found = find_pii(df, text, row, how)
-    key = found.columns[0]
-    return rows.join(found, key, "left").drop(key)
+    spans = tagged(F.col(filled))
+    edges = raw.where(F.col(filled).rlike(CAN_CUE)).select(F.explode(spans["tokens"]).alias("x")).select("x.cue", "x.value", "x.seed")
+    trusted = trusted_patterns(edges, how)
+    few = [r.cue for r in trusted.select("cue").limit(how.most_patterns + 1).collect()]
+    if len(few) <= how.most_patterns:
+        secret = lambda t: ~t["is_base"] & (t["cue"].isin(few) if few else F.lit(False))
+        return raw.select(*kept, _let(spans, lambda s: F.concat(s["base"], _as_kind("secret", F.filter(s["tokens"], secret)))).alias("pii"))
+
+    key, added = fresh(df, "_key"), fresh(df, "_added")
+    keyed = raw.withColumn(key, F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in row), filled), 256))
+    tokens = keyed.where(F.col(filled).rlike(CAN_CUE)).select(F.col(key).alias("_key"), F.explode(spans["tokens"]).alias("x")).where("not x.is_base").select("_key", "x.cue", "x.start", "x.end")
+    # equal keys are equal rows: their tokens count once
+    found = tokens.join(trusted, "cue").groupBy(F.col("_key").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(added))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return keyed.join(found, key, "left").select(*kept, F.concat(_base(F.col(filled)), _as_kind("secret", F.coalesce(added, none))).alias("pii"))
 
 
 def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    """Put ``<KIND>`` in place of every span of ``pii`` (where spans of kinds overlap, of their union)."""
-    merge = lambda acc, s: F.when(
+    """Put ``<KIND>`` in place of every span of ``pii`` (where spans of kinds overlap, of their union).
+
+    Spans are folded ``BLOCK`` at a time, each block over its own piece of the text.
+    """
+    cut = lambda acc, s, w: F.when(
         s["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))
-    ).otherwise(F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out")))
+    ).otherwise(F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.substring(w["piece"], acc["pos"] - w["pos"] + 1, s["start"] - acc["pos"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out")))
+
+    def of_block(acc, spans):
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        piece = F.struct(acc["pos"].alias("pos"), F.substring(F.col(text), acc["pos"] + 1, F.greatest(F.lit(0), last - acc["pos"])).alias("piece"))
+        masked = _let(piece, lambda w: F.aggregate(spans, F.struct(w["pos"].alias("pos"), F.lit("").alias("out")), lambda at, s: cut(at, s, w)))
+        return _let(masked, lambda m: F.struct(m["pos"].alias("pos"), F.concat(acc["out"], F.array(m["out"])).alias("out")))
+
     ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), merge, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, F.length(F.col(text)))))
+    none = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["pos"] + 1, F.length(F.col(text))))
+    done = _let(ordered, lambda xs: F.aggregate(_blocks(xs), none, of_block, rest))
     return df.withColumn(text, F.when(F.size("pii") > 0, done).otherwise(F.col(text)))
 
 
