@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankwright.functions import scalars
 from rankwright.operators import joins, ranking, windows
 from rankwright.operators.ranking import Rank
-from rankwright.sources import written
+from rankwright.sources import by_size, written
 
 #: Decade curve (mean, sd, floor, cap).
 DECADE_CURVE = (75.0, 9.0, 55.0, 99.0)
@@ -62,24 +62,34 @@ def complete(entries: DataFrame, abilities: Sequence[str]) -> tuple[DataFrame, D
     return entries.where(whole), entries.agg(F.count_if(~whole).alias("dropped"))
 
 
-def cell_minutes(members: DataFrame, scored: DataFrame, lineage: DataFrame) -> DataFrame:
-    """A10: minutes per decade, franchise and player over the stints that are in the scored universe."""
+def rated_stints(members: DataFrame, scored: DataFrame, lineage: DataFrame) -> DataFrame:
+    """The stints of ``members`` that are in the scored universe, with franchise and decade."""
     stints = ["player_id", "season", "team"]
-    held = with_cell(members.join(scored.select(*stints).distinct(), stints, "left_semi"), lineage)
+    return with_cell(members.join(scored.select(*stints), stints, "left_semi"), lineage)
+
+
+def _minutes(held: DataFrame) -> DataFrame:
     return held.groupBy("decade", "franchise", "player_id").agg(F.sum(F.coalesce("mp", F.lit(0.0))).alias("mp"))
 
 
+def cell_minutes(members: DataFrame, scored: DataFrame, lineage: DataFrame) -> DataFrame:
+    """A10: minutes per decade, franchise and player over the stints that are in the scored universe."""
+    return _minutes(rated_stints(members, scored, lineage))
+
+
 def rosters(members: DataFrame, scored: DataFrame, entries: DataFrame, lineage: DataFrame, brands: DataFrame, stars: DataFrame, manual: DataFrame | None = None, k: int = 12, least: int = 8) -> tuple[DataFrame, DataFrame]:
     """(decade, franchise, id, place) of branded cells with ``least`` entries, and the cells that have too few.
 
     The ``k`` with most minutes (ties: id); who was starred in a season with the franchise, or is in ``manual`` (decade,
     franchise, player_id), is never cut. ``entries`` are those that may be listed.
     """
-    stints = ["player_id", "season", "team"]
-    minutes = cell_minutes(members, scored, lineage).join(brands.select("franchise").distinct(), "franchise", "left_semi").withColumn("id", entry_id())
+    # written, as minutes and stars both read it
+    held = written(rated_stints(members, scored, lineage).select("decade", "franchise", "player_id", "season", "mp"), "held")
+    branded = written(brands.select("franchise").distinct(), "branded")
+    minutes = by_size(_minutes(held), branded, ["franchise"], "left_semi").withColumn("id", entry_id())
     listed = minutes.join(entries.select("id"), "id", "left_semi")
     cell = ["decade", "franchise", "player_id"]
-    forced = with_cell(members.join(scored.select(*stints).distinct(), stints, "left_semi").join(stars, ["player_id", "season"], "left_semi"), lineage).select(*cell)
+    forced = held.join(stars, ["player_id", "season"], "left_semi").select(*cell)
     if manual is not None:
         forced = forced.union(manual.select(*cell))
     marked = written(listed.join(forced.distinct().withColumn("forced", F.lit(True)), cell, "left").na.fill(False, ["forced"]), "listed")
@@ -94,8 +104,8 @@ def shipped(entries: DataFrame, roster: DataFrame, brands: DataFrame, abilities:
     ``brands`` has franchise (any team code), name; ``stats`` maps an output to its total; games are ``g``.
     """
     held = entries.join(roster.select("id").distinct(), "id", "left_semi")
-    names = brands.select("franchise", "name")
-    held = held.join(names.toDF("peak_team", "_peak"), "peak_team", "left").join(names.toDF("franchise", "_own"), "franchise", "left")
+    names = written(brands.select("franchise", "name"), "names")
+    held = by_size(by_size(held, names.toDF("peak_team", "_peak"), ["peak_team"], "left"), names.toDF("franchise", "_own"), ["franchise"], "left")
     label = F.concat_ws(" ", scalars.short_decade(F.col("decade")), F.coalesce("_peak", "_own", "franchise"))
     rated = F.struct(*(F.col(a) for a in abilities)).alias("ratings")
     per = F.struct(*(scalars.per_game(F.col(total), F.col("g")).alias(name) for name, total in stats.items())).alias("stats")

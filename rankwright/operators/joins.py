@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from rankwright.operators import windows
 from rankwright.operators.intervals import largest_over
 from rankwright.operators.scan import first_reaching
-from rankwright.sources import discard, observed, written
+from rankwright.sources import by_size, discard, observed, written
 
 
 def with_fallback(df: DataFrame, key: str, lookup: DataFrame, source: str, target: str, out: str) -> DataFrame:
-    """Dictionary lookup; keys that are not listed stay as they are."""
-    found = lookup.select(F.col(source).alias("_from"), F.col(target).alias("_to"))
-    return df.join(found, F.col(key) == F.col("_from"), "left").withColumn(out, F.coalesce("_to", key)).drop("_from", "_to")
+    """Dictionary lookup; keys that are not listed stay as they are. Keys may be few and their rows many, so a short dictionary is broadcast."""
+    found = written(lookup.select(F.col(source).alias("_from"), F.col(target).alias("_to")), "lookup")
+    return by_size(df.withColumn("_from", F.col(key)), found, ["_from"], "left").withColumn(out, F.coalesce("_to", key)).drop("_from", "_to")
 
 
 def with_facts(spine: DataFrame, facts: Sequence[tuple[DataFrame, Sequence[str]]], keys: Sequence[str]) -> DataFrame:

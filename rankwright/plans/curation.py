@@ -18,7 +18,11 @@ STINT = ("player_id", "season", "team")
 
 
 def _stints(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem")
+    """Lines by supplier, season and team: a stage artifact, so that a query that needs it several times sums the lines once."""
+    return Artifacts(spark).get("stints", [f"{sf_dir}/lineitem.parquet"], {}, lambda: _summed(table(spark, sf_dir, "lineitem")))
+
+
+def _summed(line):
     return line.groupBy(F.col("l_suppkey").alias("player_id"), (F.col("l_orderkey") % 70 + 1945).cast("int").alias("season"), F.col("l_returnflag").alias("team")).agg(
         F.count("*").cast("double").alias("g"), F.round(F.sum("l_quantity"), 2).alias("mp"), F.round(F.sum("l_extendedprice"), 2).alias("pts"), F.sum("l_linenumber").cast("double").alias("trb"), F.count_if(F.col("l_linestatus") == "O").cast("double").alias("makes")
     )
