@@ -54,8 +54,9 @@ def normal_name(c: Column) -> Column:
     # names with such a character are few; only they are taken apart
     apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(expansions, x), x)), "")
     whole = F.when(c.rlike("[" + "".join(more) + "]"), apart).otherwise(c)
-    folded = F.translate(whole, "".join(one), "".join(one.values()))
-    plain = F.regexp_replace(F.regexp_replace(F.lower(folded), r"[^\x00-\x7F]", ""), "[^a-z ]", "")
+    # a plain ASCII name is not looked through for them
+    folded = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(whole, "".join(one), "".join(one.values()))).otherwise(c)
+    plain = F.regexp_replace(F.lower(folded), "[^a-z ]", "")
     return F.array_join(F.filter(F.split(plain, " +"), lambda t: (t != "") & ~t.isin(*SUFFIXES)), " ")
 
 

@@ -5,6 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from rankwright import plans, sources
+from rankwright.functions import scalars
 from rankwright.operators import curation
 from rankwright.sources.artifacts import Artifacts
 
@@ -27,3 +28,10 @@ def test_the_grid_sums_its_lines_once(spark):
     df = plans.queries()["pool_ceiling"](spark, "/root/testdata/sf0.001")
     assert len([p for p in folder.iterdir() if p.name.startswith("stints-")]) == 1
     assert "lineitem" not in df._jdf.queryExecution().toString() and df.count() == 1
+
+
+def test_plain_names_are_not_folded(spark):
+    df = spark.createDataFrame([("Al  Bo Jr.",), ("\u00c5l B\u00f8 III",), ("\ufb01n \u212bx",), (None,)], "name string").select(scalars.normal_name(F.col("name")).alias("name"))
+    # the tables of folded characters stand under a test for characters beyond ASCII
+    assert "CASE WHEN RLIKE(name" in plan(df) and plan(df).index("CASE WHEN RLIKE(name") < plan(df).index("translate(")
+    assert [r.name for r in df.collect()] == ["al bo", "al b", "fin ax", None]
