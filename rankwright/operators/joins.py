@@ -28,7 +28,8 @@ def with_facts(spine: DataFrame, facts: Sequence[tuple[DataFrame, Sequence[str]]
 
 def unique_lookup(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Keys that lead to one value only."""
-    return df.groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
+    # one value where the least is the greatest: no row per distinct value is shuffled
+    return df.groupBy(*keys).agg(F.max(value).alias("_most"), F.min(value).alias(value)).where(F.col("_most") == F.col(value)).drop("_most")
 
 
 def resolve(rows: DataFrame, people: DataFrame, season: str, name: str, ident: str, last: Column, first: Column, overrides: DataFrame | None = None) -> DataFrame:

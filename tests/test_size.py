@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankwright import plans, sources
 from rankwright.functions import scalars
-from rankwright.operators import curation
+from rankwright.operators import curation, joins
 from rankwright.sources.artifacts import Artifacts
 
 
@@ -35,3 +35,10 @@ def test_plain_names_are_not_folded(spark):
     # the tables of folded characters stand under a test for characters beyond ASCII
     assert "CASE WHEN RLIKE(name" in plan(df) and plan(df).index("CASE WHEN RLIKE(name") < plan(df).index("translate(")
     assert [r.name for r in df.collect()] == ["al bo", "al b", "fin ax", None]
+
+
+def test_unique_ids_are_found_without_distinct_rows(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "b", 1), (1, "b", 2), (1, "c", None), (1, "d", None), (1, "d", 4)], "season int, name string, id int")
+    found = joins.unique_lookup(rows, ["season", "name"], "id")
+    assert {(r.name, r.id) for r in found.collect()} == {("a", 1), ("d", 4)}
+    assert plan(found).count("HashAggregate") == 2
