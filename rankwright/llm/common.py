@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from rankwright.sources import discard, shared_dir, written  # noqa: F401
 
-#: Most bytes of one Arrow batch that is handed to a Python worker.
-BATCH_BYTES = 16 << 20
+#: Most bytes of one Arrow batch that is handed to a Python worker. A worker holds several times as much (token ids as a list: 9 times),
+#: and the JVM its own copy.
+BATCH_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:

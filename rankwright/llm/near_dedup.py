@@ -195,7 +195,10 @@ def _pairs(sigs: np.ndarray, reps: np.ndarray, parts: np.ndarray, how: Forest, s
                 dense += value[some][:, None] == value[right][None, :]
             agree = dense[i, j]
         else:
-            agree = (sigs[some[i]] == sigs[right[j]]).sum(axis=1)
+            # value by value, as whole signatures of so many pairs would take hundreds of MB
+            p, q, agree = some[i], right[j], np.zeros(len(i), np.uint16)
+            for value in by_value:
+                agree += value[p] == value[q]
         ok = agree >= least
         if ok.any():
             yield some[i[ok]], right[j[ok]], agree[ok]
@@ -430,7 +433,7 @@ def confirm_by_region(members: DataFrame, sets: DataFrame, how: Forest) -> DataF
 
     def links(held):
         sigs, reps, parts, sides, sizes, homes, wholes = (np.concatenate(x) for x in zip(*(x[:-1] for x in held)))
-        full = [np.frombuffer(x, np.uint64) for *_, some in held for x in some.to_pylist()]
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for *_, some in held for x in some]
         names, back = np.unique(parts, return_inverse=True)
         joined, common = Joined(), None
         for i, j, _ in _pairs(sigs, reps, parts, how, sides, sizes, homes, wholes[0]):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -85,3 +86,18 @@ def test_pairs_count_in_their_first_tree_only(spark):
     want = {(a, b) for h in homes.values() if len(h) > how.neighbours + 1 for a in h for b in h if a < b and (sigs[a] == sigs[b]).sum() >= how.least_agreeing * how.values and 10 * min(size[a], size[b]) >= 8 * max(size[a], size[b])}
     small = {(a, b) for h in homes.values() if len(h) <= how.neighbours + 1 for a in h for b in h}
     assert len(met) == len(set(met)) and want - small <= set(met) <= want and want
+
+
+def test_candidates_of_a_block_take_little_memory():
+    how, rng, n = near_dedup.Forest(), np.random.default_rng(3), 2000
+    sigs = rng.integers(0, 3, (n, how.values), np.uint32)
+    reps, sizes = np.arange(n), (10 * 2.0 ** (np.arange(n) % 10)).astype(np.int64)
+    tracemalloc.start()
+    got = {(int(a), int(b)): int(k) for i, j, agree in near_dedup._pairs(sigs, reps, reps % 500, how, None, sizes) for a, b, k in zip(i, j, agree)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    some = [(i, j) for i in range(0, n, 97) for j in range(i + 1, n) if i % 500 != j % 500 and sizes[i] == sizes[j]]
+    for i, j in some:
+        same = int((sigs[i] == sigs[j]).sum())
+        assert ((i, j) in got or (j, i) in got) == (same >= 0.6 * how.values)
+    assert peak < 30 << 20
