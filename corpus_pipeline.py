@@ -42,9 +42,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out; drop documents that are mostly such passages."""
-    found = decontaminate.find_passages(docs.select(*COLUMNS), table(session(spark), sf_dir, "benchmark"))
+    found = decontaminate.find_passages(docs.select(*COLUMNS), table(session(spark), sf_dir, "benchmark"), cut=True)
     left = found.where(decontaminate.n_hit() <= F.col("n_words") * MOST_HIT)
-    cut = decontaminate.cut_passages(left).withColumn("n_chars", F.when(F.size("hit_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    cut = left.withColumn("n_chars", F.when(F.size("hit_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*COLUMNS)
 
 
@@ -58,7 +58,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
     shared = bpe.default_codec(session(spark))
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared), shared)
+    out = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), shared)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

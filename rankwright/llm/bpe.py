@@ -174,17 +174,28 @@ def codec(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast(Codec(read_ranks(path), pattern))
 
 
+def _encoded(texts: pa.Array, codec: Codec) -> pa.ListArray:
+    made = [codec.packed(x.as_py() or "") for x in texts]
+    ends = np.zeros(len(made) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in made], out=ends[1:])
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
+def _decoded(ids: pa.ListArray, codec: Codec) -> pa.Array:
+    """Row by row, as the ids of a whole batch would be nine times as large as a list."""
+    ends = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    return pa.array((codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])), pa.binary(), size=len(ids))
+
+
 def encode(df: DataFrame, shared, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids of ``text`` as ``array<int>``; ``text`` is dropped."""
     at = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            made = [shared.value.packed(x.as_py() or "") for x in batch.column(at)]
-            ends = np.zeros(len(made) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in made], out=ends[1:])
-            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
-            yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(ends), flat), text)
+            yield _with(batch, ids, _encoded(batch.column(at), shared.value), text)
 
     return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType()), text))
 
@@ -194,15 +205,24 @@ def decode(df: DataFrame, shared, ids: str = "ids", decoded: str = "decoded") ->
 
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.schema.names.index(ids))
-            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
-            flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
-            out = [shared.value.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield _with(batch, decoded, pa.array(out, pa.binary()))
+            yield _with(batch, decoded, _decoded(batch.column(batch.schema.names.index(ids)), shared.value))
 
     return df.mapInArrow(run, _schema(df, decoded, T.BinaryType()))
 
 
+def encode_decode(df: DataFrame, shared, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode``, in one worker for each task instead of two, each with its own vocabulary."""
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            made = _with(batch, ids, _encoded(batch.column(at), shared.value), text)
+            yield _with(made, decoded, _decoded(made.column(made.schema.names.index(ids)), shared.value))
+
+    fields = T.StructType([f for f in df.schema if f.name not in (text, ids, decoded)])
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())]))
+
+
 def default_codec(spark: SparkSession):
     import public_tokenizers
 
@@ -213,7 +233,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes decoded from them, as digests."""
     shared = default_codec(session(spark))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, shared), shared)
+    out = encode_decode(docs, shared)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _cut(columns: list[pa.Array], at: int, hits: Iterable[list[tuple[int, int]]]) -> list[pa.Array]:
+    """``columns`` with the spans of words cut out of the texts in column ``at``."""
+    out = []
+    for x, spans in zip(columns[at], hits):
+        raw = x.as_py()
+        if raw is not None and spans:
+            raw = raw.encode()
+            places = [m.span() for m in _WORD.finditer(raw)]
+            kept, last = [], 0
+            for a, b in spans:
+                kept.append(raw[last : places[a][0]])
+                last = places[b - 1][1]
+            raw = b"".join([*kept, raw[last:]]).decode()
+        out.append(raw)
+    return [*columns[:at], pa.array(out, columns[at].type), *columns[at + 1 :]]
+
+
 def _outputs(columns: list[pa.Array], names: list[str], counts: list[int], spans: list[list[tuple[int, int]]], items: list) -> pa.RecordBatch:
     made = [pa.array(counts, pa.int64()), pa.array([[y for pair in x for y in pair] for x in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays([*columns, *made], [*names, *OUTPUTS])
@@ -140,16 +158,22 @@ def _outputs(columns: list[pa.Array], names: list[str], counts: list[int], spans
 OUTPUTS = {"n_words": "long", "hit_words": "array<long>", "hit_items": "array<string>"}
 
 
-def _scanned(df: DataFrame, items: list[tuple[str, bytes]], text: str, size: int, schema: T.StructType) -> DataFrame:
+def _scanned(df: DataFrame, items: list[tuple[str, bytes]], text: str, size: int, schema: T.StructType, cut: bool) -> DataFrame:
     """The texts against a broadcast set of all windows."""
     shared = df.sparkSession.sparkContext.broadcast(Windows(items, size))
     at, names = df.columns.index(text), df.columns
 
     def run(batches):
         for batch in batches:
-            words = [words_of((x.as_py() or "").encode()) for x in batch.column(at)]
-            found = [shared.value.scan(x) for x in words]
-            yield _outputs(batch.columns, names, list(map(len, words)), [x for x, _ in found], [x for _, x in found])
+            counts, hits, items = [], [], []
+            for x in batch.column(at):
+                words = words_of((x.as_py() or "").encode())
+                spans, some = shared.value.scan(words)
+                counts.append(len(words))
+                hits.append(spans)
+                items.append(some)
+            columns = _cut(batch.columns, at, hits) if cut else batch.columns
+            yield _outputs(columns, names, counts, hits, items)
 
     return df.mapInArrow(run, schema)
 
@@ -170,7 +194,7 @@ def _windows(items: DataFrame, size: int) -> DataFrame:
     return items.mapInArrow(run, "n int, hash long, words binary, item string").distinct()
 
 
-def _joined(df: DataFrame, items: DataFrame, text: str, size: int, schema: T.StructType) -> DataFrame:
+def _joined(df: DataFrame, items: DataFrame, text: str, size: int, schema: T.StructType, cut: bool) -> DataFrame:
     """The texts against a table of all windows."""
     spark, names = df.sparkSession, df.columns
     row, back = fresh(df, "_row"), fresh(df, "_back")
@@ -204,19 +228,23 @@ def _joined(df: DataFrame, items: DataFrame, text: str, size: int, schema: T.Str
             starts, sizes, items = (batch.column(len(names) + i).to_pylist() for i in range(3))
             counts = [len(words_of((x.as_py() or "").encode())) for x in batch.column(at)]
             hits = [merged([(a, a + n) for a, n in zip(x or (), y or ())]) for x, y in zip(starts, sizes)]
-            yield _outputs(batch.columns[: len(names)], names, counts, hits, [x or () for x in items])
+            columns = batch.columns[: len(names)]
+            yield _outputs(_cut(columns, at, hits) if cut else columns, names, counts, hits, [x or () for x in items])
 
     return joined.mapInArrow(run, schema)
 
 
-def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, most_bytes: int = 8 << 20) -> DataFrame:
-    """Add ``n_words``, ``hit_words`` (word spans as start, end, start, ...) and ``hit_items``."""
+def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, most_bytes: int = 8 << 20, cut: bool = False) -> DataFrame:
+    """Add ``n_words``, ``hit_words`` (word spans as start, end, start, ...) and ``hit_items``, all of the given text.
+
+    With ``cut`` the text is replaced by what ``cut_passages`` would leave, in the same pass.
+    """
     df = df.drop(*OUTPUTS)
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema), *(T.StructField(k, T.DataType.fromDDL(v)) for k, v in OUTPUTS.items())])
     items = benchmark.select(F.col(item).cast("string").alias("i"), text_bytes(item_text).alias("t")).where("i is not null")
     if (items.agg(F.sum(F.length("t") + F.length("i") + 64)).first()[0] or 0) > most_bytes:
-        return _joined(df, items, text, size, schema)
-    return _scanned(df, [(r.i, bytes(r.t)) for r in items.collect()], text, size, schema)
+        return _joined(df, items, text, size, schema, cut)
+    return _scanned(df, [(r.i, bytes(r.t)) for r in items.collect()], text, size, schema, cut)
 
 
 def cut_passages(df: DataFrame, text: str = "text") -> DataFrame:
@@ -225,21 +253,8 @@ def cut_passages(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for x, spans in zip(batch.column(at), batch.column(hits)):
-                raw, spans = x.as_py(), spans.as_py()
-                if raw is not None and spans:
-                    raw = raw.encode()
-                    places = [m.span() for m in _WORD.finditer(raw)]
-                    kept, last = [], 0
-                    for a, b in zip(spans[::2], spans[1::2]):
-                        kept.append(raw[last : places[a][0]])
-                        last = places[b - 1][1]
-                    raw = b"".join([*kept, raw[last:]]).decode()
-                out.append(raw)
-            columns = list(batch.columns)
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            spans = (list(zip(x[::2], x[1::2])) for x in (x.as_py() or () for x in batch.column(hits)))
+            yield pa.RecordBatch.from_arrays(_cut(batch.columns, at, spans), batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
